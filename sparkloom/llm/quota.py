@@ -142,6 +142,8 @@ def controlled_rounding(cells: list[list[Fraction]]) -> list[list[int]]:
 def _expanded(questions: DataFrame, attrs: set[str], id_col: str, stratum: str) -> DataFrame:
     """A row for each attribute of each question: id, stratum, attribute, category."""
     known = attributes()
+    if not attrs & known.keys():
+        return questions.sparkSession.createDataFrame([], "row_id bigint, stratum string, attribute string, category string")
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), known[a].alias("category")) for a in sorted(attrs & known.keys())])
     return questions.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(stratum).cast("string").alias("stratum"), F.explode(pairs).alias("p")).select(
         "row_id", "stratum", "p.attribute", "p.category"

@@ -208,7 +208,7 @@ def copies(df: DataFrame, column: str) -> DataFrame:
 
 def message_texts(conversations: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """The contents of all messages as texts to judge; instructions serve as further copies."""
-    base = conversations
+    base = conversations.select("idx", "task_id", "stepwise_ground_truths", "messages")
     if tasks is not None:
         base = base.join(tasks.select("task_id", "instruction").dropDuplicates(["task_id"]), "task_id", "left")
     else:
