@@ -16,8 +16,9 @@ def cells(text: Column) -> Column:
     """The numbers of a literal row by row, array<array<double>>; a scalar is [[x]], a flat list a column. Null if it is no literal."""
     t = F.translate(strip(text), "()−", "[]-")
     scalar = F.when(t.rlike(LITERAL), F.array(F.array(F.regexp_replace(t, "_", "").cast("double"))))
-    flat = F.transform(F.from_json(F.when(t.rlike(r"(?s)^\[\s*[^\[]"), t), "array<double>", {"mode": "PERMISSIVE"}), lambda x: F.array(x))
-    grid = F.from_json(F.when(t.rlike(r"(?s)^\[\s*\["), t), "array<array<double>>")
+    single = F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")) == 1  # nothing may follow the value
+    flat = F.transform(F.from_json(F.when(single & t.rlike(r"(?s)^\[\s*[^\[]"), t), "array<double>"), lambda x: F.array(x))
+    grid = F.from_json(F.when(single & t.rlike(r"(?s)^\[\s*\["), t), "array<array<double>>")
     return F.coalesce(scalar, flat, grid)
 
 

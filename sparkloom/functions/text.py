@@ -149,7 +149,7 @@ def hidden_thoughts(c: Column, placeholder: str) -> Column:
 
 def replaced_content(c: Column, tag: str, text: Column) -> Column:
     """The content of each block of a tag replaced by literal text."""
-    safe = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\\\\\"), r"\$", r"\\\\\\$")
+    safe = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     return F.regexp_replace(c, F.lit(rf"(?s)<{tag}>.*?</{tag}>"), F.concat(F.lit(f"<{tag}>"), safe, F.lit(f"</{tag}>")))
 
 

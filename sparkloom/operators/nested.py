@@ -120,8 +120,8 @@ def _json_list(text: Column, options: dict) -> Column:
     """The elements' JSON texts of a list that is perhaps encoded twice; a bare object is a list of one."""
     one = lambda c: F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", options)
     peel = lambda c: F.when(F.size(one(c)) == 1, F.element_at(one(c), 1))
-    inner = F.when(F.ltrim(text).startswith('"'), peel(text)).otherwise(text)
-    return F.when(F.ltrim(inner).startswith("{"), one(inner)).when(F.ltrim(inner).startswith("["), F.from_json(inner, "array<string>", options))
+    whole = F.when(F.ltrim(text).startswith('"'), peel(peel(text))).otherwise(peel(text))  # null unless the text is one value
+    return F.when(F.ltrim(whole).startswith("{"), F.array(whole)).when(F.ltrim(whole).startswith("["), F.from_json(whole, "array<string>", options))
 
 
 def question_links(questions: DataFrame) -> DataFrame:
