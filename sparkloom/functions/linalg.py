@@ -24,6 +24,11 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def fenced(c: Column) -> Column:
+    """The column, computed once below the filters on it: they aren't pushed through an expression that depends on the partition, which would copy it to each of its uses."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def parse(text: Column) -> Column:
     """A JSON matrix, or null."""
     return F.from_json(text, MATRIX)

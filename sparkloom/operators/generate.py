@@ -45,11 +45,6 @@ def matrix(entropy: Column, n: Column, *keys: Column) -> Column:
     return F.transform(side, lambda i: F.transform(side, lambda j: integer(entropy, *keys, i, j)))
 
 
-def fenced(c: Column) -> Column:
-    """The column, but not to be copied into a filter above it, which would repeat its chain of steps many times."""
-    return F.when(F.spark_partition_id() >= 0, c)
-
-
 _STEP = {"T": linalg.transpose, "C": linalg.cofactor, "D": linalg.determinant, "F": linalg.frobenius, "R": linalg.rank, "S": linalg.trace}
 
 
@@ -79,7 +74,7 @@ def questions(spark: SparkSession, rows: dict[int, int] | None = None, seed: int
         frames.append(
             d.select(
                 F.col("i"), F.lit(problem).alias("problem_type"), asked.alias("question"), F.lit(DIFFICULTY[len(letters)]).alias("difficulty"), F.lit(float(entropy)).alias("entropy_used"),
-                F.lit(len(letters)).alias("tool_calls_required"), fenced(F.array(*steps)).alias("stepwise"), fenced(steps[-1]["result"]).alias("final_answer"), fenced(F.col("m")).alias("matrix"),
+                F.lit(len(letters)).alias("tool_calls_required"), linalg.fenced(F.array(*steps)).alias("stepwise"), linalg.fenced(steps[-1]["result"]).alias("final_answer"), linalg.fenced(F.col("m")).alias("matrix"),
             )
         )
     out = frames[0]
@@ -94,4 +89,4 @@ def verified(df: DataFrame) -> DataFrame:
     start = linalg.as_json(F.col("matrix"))
     source = lambda s: F.when(s["dependent_on"].isNull(), start).otherwise(F.get(steps, F.element_at(s["dependent_on"], "input_matrix"))["result"])
     again = F.forall(steps, lambda s: F.coalesce(linalg.execute(s["tool"], linalg.parse(source(s))) == s["result"], F.lit(False)))
-    return df.withColumn("is_valid", fenced(again & (F.try_element_at(steps, F.lit(-1))["result"] == F.col("final_answer"))))
+    return df.withColumn("is_valid", linalg.fenced(again & (F.try_element_at(steps, F.lit(-1))["result"] == F.col("final_answer"))))

@@ -92,22 +92,22 @@ COF = "CASE len(m) WHEN 1 THEN [[1.0]] WHEN 2 THEN [[m[2][2], -m[2][1]], [-m[1][
 
 def matrices(s: SparkSession, d: str) -> DataFrame:
     held = F.from_json(F.get("stepwise", F.lit(0))["verification"]["input"], "matrix array<array<double>>")["matrix"]
-    return table(s, d, "questions").select("question_id", "problem_type", held.alias("m")).filter("m is not null")
+    return table(s, d, "questions").select("question_id", "problem_type", linalg.fenced(held).alias("m")).filter("m is not null")
 
 
 def _unary(name: str, f: Callable, sql: str, square: bool = True) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return matrices(s, d).select("question_id", f(F.col("m")).alias("result")).filter("result is not null")
+        return matrices(s, d).select("question_id", linalg.fenced(f(F.col("m"))).alias("result")).filter("result is not null")
 
     REGISTRY[name] = (run, f"{MATRICES} SELECT question_id, {sql} AS result FROM {'sq' if square else 'v'}")
 
 
-_unary("L1_transpose", lambda m: linalg.compact(linalg.transpose(m)), SHOWN.format("list_transform(range(1, len(m[1]) + 1), lambda j: list_transform(m, lambda r: r[j]))"), square=False)
-_unary("L2_cofactor", lambda m: linalg.compact(linalg.cofactor(m)), SHOWN.format(COF))
+_unary("L1_transpose", lambda m: linalg.let(linalg.transpose(m), linalg.compact), SHOWN.format("list_transform(range(1, len(m[1]) + 1), lambda j: list_transform(m, lambda r: r[j]))"), square=False)
+_unary("L2_cofactor", lambda m: linalg.let(linalg.cofactor(m), linalg.compact), SHOWN.format(COF))
 _unary("L3_determinant", linalg.determinant, DET)
 _unary("L4_frobenius", linalg.frobenius, "round(sqrt(list_sum(list_transform(flatten(m), lambda x: x * x))), 2)", square=False)
 _unary("L6_trace", linalg.trace, "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))")
-_unary("L7_product_with_transpose", lambda m: linalg.compact(linalg.multiply(m, linalg.transpose(m))), SHOWN.format("list_transform(m, lambda a: list_transform(m, lambda b: list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))))"), square=False)  # noqa: E501
+_unary("L7_product_with_transpose", lambda m: linalg.let(linalg.multiply(m, linalg.transpose(m)), linalg.compact), SHOWN.format("list_transform(m, lambda a: list_transform(m, lambda b: list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))))"), square=False)  # noqa: E501
 
 
 @query("L5_rank", f"{MATRICES}, f AS (SELECT question_id, {DET} AS det, m, {COF} AS c FROM sq) SELECT question_id, CASE WHEN det <> 0 THEN len(m) WHEN len(m) = 1 THEN 0 WHEN len(m) = 3 AND list_bool_or(list_transform(flatten(c), lambda x: x <> 0)) THEN 2 WHEN list_bool_or(list_transform(flatten(m), lambda x: x <> 0)) THEN 1 ELSE 0 END AS result FROM f")  # noqa: E501
@@ -120,12 +120,12 @@ def l5(s: SparkSession, d: str) -> DataFrame:
 def l8(s: SparkSession, d: str) -> DataFrame:
     m = F.col("m")
     first = F.transform(m, lambda r: F.get(r, F.lit(0)))
-    return matrices(s, d).select("question_id", linalg.compact(linalg.solve(m, first)).alias("result")).filter("result is not null")
+    return matrices(s, d).select("question_id", linalg.fenced(linalg.let(linalg.solve(m, first), linalg.compact)).alias("result")).filter("result is not null")
 
 
 @query("L9_inverse_trace", f"{MATRICES}, f AS (SELECT question_id, m, {DET} AS det, {COF} AS c FROM sq) SELECT question_id, round(list_sum(list_transform(range(1, len(m) + 1), lambda i: round(c[i][i] / det, 2))), 2) + 0.0 AS result FROM f WHERE det <> 0")  # noqa: E501
 def l9(s: SparkSession, d: str) -> DataFrame:
-    return matrices(s, d).select("question_id", (linalg.trace(linalg.inverse(F.col("m"))) + 0.0).alias("result")).filter("result is not null")
+    return matrices(s, d).select("question_id", linalg.fenced(linalg.let(linalg.inverse(F.col("m")), linalg.trace) + 0.0).alias("result")).filter("result is not null")
 
 
 @query("L12_execute_errors", f"{MATRICES} SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'ERROR: Function ''unknown_tool'' not found in library' WHEN len(m) <> len(m[1]) THEN 'ERROR: ValueError: Matrix must be square' END AS result FROM v WHERE question_id % 3 = 0 OR len(m) <> len(m[1])")  # noqa: E501
@@ -143,7 +143,8 @@ def l13(s: SparkSession, d: str) -> DataFrame:
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Cofactor, transpose, trace of every invertible matrix; ranges of the result per problem type."""
     m = F.col("m")
-    v = matrices(s, d).filter(linalg.determinant(m) != 0).select("problem_type", linalg.trace(linalg.transpose(linalg.cofactor(m))).alias("value"))
+    recipe = linalg.let(linalg.let(linalg.cofactor(m), linalg.transpose), linalg.trace)
+    v = matrices(s, d).filter(linalg.determinant(m) != 0).select("problem_type", linalg.fenced(recipe).alias("value"))
     return v.groupBy("problem_type").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.min(F.abs("value")).alias("min_abs"), F.count("*").alias("n"))
 
 
