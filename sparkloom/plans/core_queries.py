@@ -630,6 +630,175 @@ def g16(s: SparkSession, d: str) -> DataFrame:
     return g.groupBy("problem_type").agg(F.count("*").cast("int").alias("n"), F.bool_and("is_valid").alias("all_valid"))
 
 
+# More of the same operators, one by one --------------------------------------------------------------
+
+MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string,name:string>"
+
+
+@query("P2_parse_messages", "SELECT idx, len(messages) AS n, len(list_filter(messages, lambda m: m.content IS NOT NULL)) AS n_with_content FROM conversations_chat WHERE messages IS NOT NULL")
+def p2m(s: SparkSession, d: str) -> DataFrame:
+    """Messages stored as JSON text come back as they were (P2, P11, P16: null fields are left out of the text)."""
+    q = chat(s, d).filter("messages is not null").select("idx", F.from_json(F.to_json("messages"), f"array<{MESSAGE}>").alias("m"))
+    return q.select("idx", F.size("m").cast("bigint").alias("n"), F.size(F.filter("m", lambda m: m["content"].isNotNull())).cast("bigint").alias("n_with_content"))
+
+
+@query("P7_initial_messages", "SELECT question_id, 2 AS n, 'system' AS first_role, question AS query FROM questions")
+def p7i(s: SparkSession, d: str) -> DataFrame:
+    m = prepare.initial_messages(F.col("question"), "Answer by tools.")
+    return table(s, d, "questions").select("question_id", m.alias("m")).select("question_id", F.size("m").alias("n"), F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["content"].alias("query"))
+
+
+@query("P13_indexed_lists", "SELECT task_id, array_to_string(list_filter(list_transform(outputs, lambda x, i: CASE WHEN trim(coalesce(x, ''), ' ') <> '' THEN (i - 1) || ': ' || x END), lambda y: y IS NOT NULL), chr(10)) AS listed FROM tasks")
+def p13(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "tasks").select("task_id", prepare.indexed_list(F.col("outputs")).alias("listed"))
+
+
+@query("F8_role_filter", f"WITH {MESSAGES} SELECT idx, count(*) AS n_tool FROM mm WHERE role = 'tool' GROUP BY idx")
+def f8(s: SparkSession, d: str) -> DataFrame:
+    return chat(s, d).select("idx", F.size(F.filter("messages", lambda m: m["role"] == "tool")).cast("bigint").alias("n_tool")).filter("n_tool > 0")
+
+
+@query("F10_without_hints", f"WITH {MESSAGES}, h AS (SELECT idx, m FROM ms WHERE NOT coalesce(m.role = 'user' AND regexp_matches(m.content, '^{_SPACE}*\\[diag\\] '), false)) SELECT idx, count(*) AS n FROM h GROUP BY idx")
+def f10(s: SparkSession, d: str) -> DataFrame:
+    return chat(s, d).select("idx", F.size(validate.without_hints(F.col("messages"))).cast("bigint").alias("n")).filter("n > 0")
+
+
+@query("F4_drop_by_issues", f"{CALLS}, bad AS (SELECT idx FROM calls WHERE tool IS NOT NULL GROUP BY idx, tool HAVING count(*) > 1) SELECT idx FROM conversations_chat WHERE idx NOT IN (SELECT idx FROM bad)")
+def f4(s: SparkSession, d: str) -> DataFrame:
+    return chat(s, d).join(validate.repeated_calls(chat(s, d)).select("idx").distinct(), "idx", "left_anti").select("idx")
+
+
+@query("J11_grid", "SELECT a * 10 + b AS place, CAST(a AS DOUBLE) / 10 AS first, CAST(b AS DOUBLE) / 10 AS second FROM range(0, 10) x(a), range(0, 10) y(b)")
+def j11(s: SparkSession, d: str) -> DataFrame:
+    """A grid of two axes with its flat index; both axes are parameters, not data."""
+    a, b = s.range(10).select(F.col("id").alias("a")), s.range(10).select(F.col("id").alias("b"))
+    return a.crossJoin(b).select((F.col("a") * 10 + F.col("b")).alias("place"), (F.col("a") / 10).alias("first"), (F.col("b") / 10).alias("second"))
+
+
+@query("A10_longest_message", f"WITH {MESSAGES}, w AS (SELECT idx, len(list_filter(regexp_split_to_array(content, '{_SPACE}+'), lambda w: w <> '')) AS n FROM mm WHERE role = 'assistant') SELECT c.idx, CAST(coalesce(max(n), 0) AS BIGINT) AS longest FROM conversations_chat c LEFT JOIN w ON w.idx = c.idx GROUP BY c.idx")
+def a10(s: SparkSession, d: str) -> DataFrame:
+    n = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.size(F.filter(F.split(F.coalesce(m["content"], F.lit("")), r"(?U)\s+"), lambda w: w != "")))
+    return chat(s, d).select("idx", F.coalesce(F.array_max(n), F.lit(0)).cast("bigint").alias("longest"))
+
+
+@query("W6_last_answers", f"{ASSISTANT}, t AS (SELECT idx, pos, {_tag('answer')}[-1] AS answer FROM a) SELECT idx, arg_max(answer, pos) AS answer FROM t WHERE answer IS NOT NULL GROUP BY idx")
+def w6(s: SparkSession, d: str) -> DataFrame:
+    """The last answer of each conversation, by max_by over exploded messages."""
+    t = contents(s, d).select("idx", "pos", text.last_content(F.col("content"), "answer").alias("answer")).filter("answer is not null")
+    return t.groupBy("idx").agg(F.max_by("answer", "pos").alias("answer"))
+
+
+@query("W3_ranked_messages", f"WITH {MESSAGES}, w AS (SELECT idx, pos, length(content) AS n FROM mm WHERE content IS NOT NULL) SELECT idx, pos, n FROM w QUALIFY row_number() OVER (ORDER BY n DESC, idx, pos) <= 20")
+def w3(s: SparkSession, d: str) -> DataFrame:
+    """The top twenty is the feature: a limit over a sort, no window over all rows (O2, O3)."""
+    m = validate.messages(chat(s, d)).filter("content is not null").select("idx", "pos", F.length("content").cast("bigint").alias("n"))
+    return m.orderBy(F.desc("n"), "idx", "pos").limit(20)
+
+
+@query("O5_sorted_tools", f"{CALLS} SELECT idx, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM calls WHERE tool IS NOT NULL GROUP BY idx")
+def o5(s: SparkSession, d: str) -> DataFrame:
+    names = F.filter(prepare.tool_sequence(F.col("messages")), lambda x: x.isNotNull())
+    return chat(s, d).select("idx", F.array_sort(F.array_distinct(names)).alias("t")).filter(F.size("t") > 0).select("idx", F.array_join("t", ",").alias("tools"))
+
+
+@query("U3_union_of_sets", "SELECT question_id FROM questions WHERE tool_calls_required >= 3 UNION SELECT question_id FROM questions WHERE entropy_used > 3")
+def u3(s: SparkSession, d: str) -> DataFrame:
+    q = table(s, d, "questions")
+    return q.filter("tool_calls_required >= 3 or entropy_used > 3").select("question_id").distinct()
+
+
+@query("U6_tool_difference", f"{CALLS}, u AS (SELECT c.idx, t.actions, (SELECT list(DISTINCT tool) FROM calls k WHERE k.idx = c.idx) AS used FROM conversations_chat c JOIN tasks t ON t.task_id = c.task_id WHERE t.actions IS NOT NULL) SELECT idx, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(actions, lambda a: a.name), lambda n: n IS NOT NULL AND NOT coalesce(list_contains(used, n), false)))), ','), '') AS missing FROM u")  # noqa: E501
+def u6(s: SparkSession, d: str) -> DataFrame:
+    """Tools that a conversation's task expects but the conversation never calls."""
+    t = table(s, d, "tasks").filter("actions is not null").select("task_id", F.filter(F.transform("actions", lambda a: a["name"]), lambda n: n.isNotNull()).alias("expected"))
+    c = chat(s, d).select("idx", "task_id", F.coalesce(prepare.tool_sequence(F.col("messages")), F.array().cast("array<string>")).alias("used"))
+    return c.join(t, "task_id").select("idx", F.array_join(F.array_sort(F.array_except("expected", "used")), ",").alias("missing"))
+
+
+@query("X12_hints", "SELECT 'a' AS key, '[diag] no tool call or answer' AS hint")
+def x12(s: SparkSession, d: str) -> DataFrame:
+    return s.range(1).select(F.lit("a").alias("key"), text.hint_text(F.lit("no tool call or answer")).alias("hint"))
+
+
+@query("X23_stable_seeds")
+def x23(s: SparkSession, d: str) -> DataFrame:
+    """A seed for each question from base, type, topic and index; the hash differs between engines."""
+    return table(s, d, "questions").select("question_id", prepare.hash_order(generate.SEED, "problem_type", "topic", "question_id").alias("seed"))
+
+
+@query("X26_coprime_density", "SELECT p_partkey, round(list_product(list_transform(list_filter([2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47], lambda p: p_size % p = 0), lambda p: 1 - 1.0::DOUBLE / p)), 6) AS density FROM part WHERE p_size > 1")
+def x26(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").filter("p_size > 1").select("p_partkey", F.round(text.coprime_density(F.col("p_size")), 6).alias("density"))
+
+
+@query("X28_difficulty_of_steps", "SELECT step, least(greatest(CAST(step AS DOUBLE) / 19, 0), 1) AS difficulty FROM range(0, 25) t(step)")
+def x28(s: SparkSession, d: str) -> DataFrame:
+    return s.range(25).select(F.col("id").alias("step"), curriculum.difficulty_at(F.col("id"), 20).alias("difficulty"))
+
+
+@query("X29_chat_format", "SELECT idx, len(messages) > 0 AND list_bool_and(list_transform(messages, lambda m: m IS NOT NULL AND m.role IS NOT NULL)) AS ok FROM conversations_chat WHERE messages IS NOT NULL")
+def x29(s: SparkSession, d: str) -> DataFrame:
+    ok = (F.size("messages") > 0) & F.forall("messages", lambda m: m.isNotNull() & m["role"].isNotNull())
+    return chat(s, d).filter("messages is not null").select("idx", ok.alias("ok"))
+
+
+@query("X31_partial_format", f"{ASSISTANT} SELECT idx, pos, CAST(contains(content, '</think>') AS INTEGER) + CAST(contains(content, '<answer>') AS INTEGER) + CAST(contains(content, '</answer>') AS INTEGER) AS marks FROM a")
+def x31(s: SparkSession, d: str) -> DataFrame:
+    """Marks of a partly right format (X31, X32 average them per conversation)."""
+    has = lambda t: (F.instr("content", t) > 0).cast("int")
+    return contents(s, d).select("idx", "pos", (has("</think>") + has("<answer>") + has("</answer>")).alias("marks"))
+
+
+@query("V5_contract", "SELECT count(*) AS n, count_if(coalesce(trim(query, ' '), '') = '') AS n_blank, count_if(NOT coalesce(json_valid(ground_truth), false)) AS n_unreadable FROM base_dataset")
+def v5(s: SparkSession, d: str) -> DataFrame:
+    """Every row is checked, not only the first; missing columns are reported by prepare.missing_columns."""
+    b = table(s, d, "base_dataset")
+    readable = F.size(F.from_json(F.concat(F.lit("["), "ground_truth", F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})) == 1
+    return b.agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("query", F.lit(""))) == "").alias("n_blank"), F.count_if(~F.coalesce(readable, F.lit(False))).alias("n_unreadable"))
+
+
+@query("R4_overuse", f"{CALLS}, n AS (SELECT idx, count(*) AS used FROM calls GROUP BY idx) SELECT n.idx, CAST(CASE WHEN len(t.actions) > 0 THEN least(greatest(used - len(t.actions), 0), 3) ELSE 0 END AS INTEGER) AS overuse FROM n JOIN conversations_chat c ON c.idx = n.idx JOIN tasks t ON t.task_id = c.task_id WHERE t.actions IS NOT NULL")
+def r4(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "tasks").filter("actions is not null").select("task_id", F.size("actions").alias("expected"))
+    c = chat(s, d).select("idx", "task_id", F.size(prepare.tool_sequence(F.col("messages"))).alias("used")).filter("used > 0").join(t, "task_id")
+    return c.select("idx", metrics.overuse(F.col("used"), F.col("expected")).cast("int").alias("overuse"))
+
+
+def actions(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as actions with what followed them: idx, actions, correct, expected."""
+    acts = F.filter(F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), prepare.first_action(m)["name"].alias("name"), F.coalesce(m["content"], F.lit("")).alias("content"), F.get("messages", i + 1)["content"].alias("observation"))), lambda a: a["role"] == "assistant")  # noqa: E501
+    return chat(s, d).select("idx", acts.alias("actions"), F.coalesce("is_correct", F.lit(False)).alias("correct"), F.greatest(F.size(validate.truths(F.col("stepwise_ground_truths"))), F.lit(0)).alias("expected"))
+
+
+@query("R1_rewards")
+def r1(s: SparkSession, d: str) -> DataFrame:
+    """R1, R2, R10; the arithmetic is tested by fixtures."""
+    r = actions(s, d).withColumn("reward", F.round(metrics.reward(F.col("actions"), F.col("correct"), F.col("expected")), 6))
+    x = metrics.derived(F.col("reward"), F.size("actions"), F.col("expected") + 1)
+    return r.select("idx", "reward", x["optimal"].alias("optimal"), x["valid"].alias("valid"), x["turn_deviation"].alias("turn_deviation"))
+
+
+@query("C7_curriculum", f"WITH {BUCKETS}, n AS (SELECT count(*) AS n FROM b), st AS (SELECT step, (SELECT ceil(n / 16.0) FROM n) AS total FROM range(0, 1000000) r(step) WHERE step < (SELECT ceil(n / 16.0) FROM n)) SELECT step, round(CASE WHEN total <= 1 THEN 1.0 ELSE CAST(step AS DOUBLE) / (total - 1) END, 9) AS difficulty FROM st")
+def c7(s: SparkSession, d: str) -> DataFrame:
+    """Steps of one epoch of groups of sixteen and their difficulty: a pure function of the step, so resuming needs no replay."""
+    steps = -(-buckets(s, d).count() // 16)
+    return s.range(steps).select(F.col("id").alias("step"), F.round(curriculum.difficulty_at(F.col("id"), steps), 9).alias("difficulty"))
+
+
+@query("T1_stream_equals_batch", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def t1(s: SparkSession, d: str) -> DataFrame:
+    """Events as micro-batches into the shared folder, then counted."""
+    from sparkloom.session import ensure_checkpoint_dir
+    from sparkloom.streaming import micro
+
+    ensure_checkpoint_dir(s)
+    base = os.path.join(s.sparkContext.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
+    events = table(s, d, "events").select("event_id", "event_type")
+    events.repartition(4).write.parquet(f"{base}/in")
+    micro.write_available(micro.read_files(s, f"{base}/in", events.schema, 2), f"{base}/out", f"{base}/mark")
+    return s.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
