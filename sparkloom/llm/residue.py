@@ -36,8 +36,11 @@ SHINGLE, SIMILAR, TRUSTED = 5, 0.8, 0.5
 WORDS64, TABLE_BITS = 8, 16  # sketch of 512 bits, 32 tables
 #: Hamming distance of the sketches of two texts of similarity 0.8: 77 expected, 8 standard deviation.
 MAX_HAMMING = 110
+#: The same for one word of 64 bits: 10 expected, 3 standard deviation; a first test that spares most other pairs.
+MAX_WORD = 25
 
-# The grammar of residue. Texts are matched after plain().
+# The grammar of residue. Texts are matched after plain(). Each rule follows strings of which a text
+# must hold one for the rule to be tried; they only save time.
 
 #: Names that slots of weak bracket styles have.
 SLOT_NAMES = r"(?:(?:insert|your|enter|add)[ _-])?(?:(?:first|last|user|student|teacher|tool|course|lesson|file|company|full)[ _-]?)?(?:name|title|author|date|topic|course|lesson|answer|result|matrix|vector|step|body|intro|unit|level|student|tool|problem|question|value|url|link|email|address|city|text|content|heading|summary|image|user|subject)(?:[ _-]?[a-z]|[ _-]?\d+)?"
@@ -70,77 +73,78 @@ MARKUP = re.compile(r"^<(?:user|tool|model|system|assistant|title|body|head|html
 SCRIPTS = r"(?:java ?scripts?|js|scripts?|cookies?)(?: (?:and|und|et|y|&) (?:java ?scripts?|js|scripts?|cookies?))?"
 THING = r"(?:page|site|app|worksheet|exercise|lesson|notebook|viewer|course|document|content|worksheet|video|player|sheet|application|article|demo version)"
 FILLER = (
-    r"\b(?:(?:sample|dummy|placeholder|filler|example|default) (?:text|paragraph|heading|description|content|title)\b[.!]?\s*){1,}(?=$|[^a-z])",
-    r"\b(?:(?:your|some) )?(?:text|content|description|title) (?:goes )?here\b[.!]?",
-    r"\bthis is (?:a|an|some) (?:default|sample|placeholder|dummy|example) \w+\b",
-    r"\breplace (?:it|this|me|this text) with your own\b[\w ]*",
-    r"\bclick here to (?:edit|add|change)\b[^.\n]*",
-    r"\buntitled (?:document|page|lesson|sheet)\b\.?",
-    r"\btype something to get started\b",
-    r"\btexte provisoire\b[^.\n]*",
-    r"\btexto (?:de relleno|provisional|de ejemplo)\b[^.\n]*",
-    r"\b(?:blind|platzhalter|beispiel)text\b[^\n.]*(?:\.[^\n.]*füllt nur[^\n.]*)?",
-    r"\bhier steht (?:später|spaeter|bald)\b[^.\n]*",
-    r"(?:\b(?:undefined|null|nan|none)\b[\s/,]*){3,}|\bnan ?/ ?nan\b",
-    r"\[object object\]|#(?:ref|name|value|div/0|num|null)[!?]",
-    r"(?:^|[\n.!?>] ?)(?:todo|tbd|fixme)\b ?[:\-–]? ?(?:write|add|insert|fill|\w+ (?:missing|will be added|to be|follows|comes)|[a-z]+ section)[^\n.]*",
-    r"\b\w+: to be (?:written|added|done|announced|defined)\b",
-    r"\bxxx \w+ xxx\b",
-    r"[\[(<{](?:insert|add|enter|put|your|fill in|describe) [a-z0-9_ ]{2,40}[\])>}]",
-    r"\bpage (?:is )?(?:intentionally )?left blank\b",
-    r"(?:^|[\n.!?>] ?)coming soon\b[.!]?",
-    rf"\bthis {THING} (?:has not been written yet|is under construction|is empty|is still being written)\b",
-    r"\bcontent will be (?:available|added|published) (?:shortly|soon|later)\b",
-    r"\bcheck back (?:later|soon)\b",
-    r"\b(?:loading|please wait)(?:\.{3}|…| while)[^\n.]*",
+    ("sample|dummy|placeholder|filler|example|default", r"\b(?:(?:sample|dummy|placeholder|filler|example|default) (?:text|paragraph|heading|description|content|title)\b[.!]?\s*){1,}(?=$|[^a-z])"),
+    ("here", r"\b(?:(?:your|some) )?(?:text|content|description|title) (?:goes )?here\b[.!]?"),
+    ("this is a|this is some", r"\bthis is (?:a|an|some) (?:default|sample|placeholder|dummy|example) \w+\b"),
+    ("with your own", r"\breplace (?:it|this|me|this text) with your own\b[\w ]*"),
+    ("click here to", r"\bclick here to (?:edit|add|change)\b[^.\n]*"),
+    ("untitled", r"\buntitled (?:document|page|lesson|sheet)\b\.?"),
+    ("type something", r"\btype something to get started\b"),
+    ("texte provisoire", r"\btexte provisoire\b[^.\n]*"),
+    ("texto ", r"\btexto (?:de relleno|provisional|de ejemplo)\b[^.\n]*"),
+    ("text", r"\b(?:blind|platzhalter|beispiel)text\b[^\n.]*(?:\.[^\n.]*füllt nur[^\n.]*)?"),
+    ("hier steht", r"\bhier steht (?:später|spaeter|bald)\b[^.\n]*"),
+    ("undefined|null|nan|none", r"(?:\b(?:undefined|null|nan|none)\b[\s/,]*){3,}|\bnan ?/ ?nan\b"),
+    ("[object object]|#", r"\[object object\]|#(?:ref|name|value|div/0|num|null)[!?]|#n/a\b"),
+    ("todo|tbd|fixme", r"(?:^|[\n.!?>] ?)(?:todo|tbd|fixme)\b ?[:\-–]? ?(?:write|add|insert|fill|\w+ (?:missing|will be added|to be|follows|comes)|[a-z]+ section)[^\n.]*"),
+    (": to be ", r"\b\w+: to be (?:written|added|done|announced|defined)\b"),
+    ("xxx", r"\bxxx \w+ xxx\b"),
+    ("[|(|<|{", r"[\[(<{](?:insert|add|enter|put|your|fill in|describe) [a-z0-9_ ]{2,40}[\])>}]"),
+    ("blank", r"\bpage (?:is )?(?:intentionally )?left blank\b"),
+    ("coming soon", r"(?:^|[\n.!?>] ?)coming soon\b[.!]?"),
+    ("this ", rf"\bthis {THING} (?:has not been written yet|is under construction|is empty|is still being written)\b"),
+    ("content will be", r"\bcontent will be (?:available|added|published) (?:shortly|soon|later)\b"),
+    ("check back", r"\bcheck back (?:later|soon)\b"),
+    ("loading|please wait", r"\b(?:loading|please wait)(?:\.{3}|…| while)[^\n.]*"),
 )
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 MASH = frozenset("asdf asdfasdf qwer qwerty asdfg jkl hjkl blah bla foo bar baz qux xxx xxxx xyzzy sdfg fghj zxcv test".split())
+MASH_MARKS = ("asdf", "qwer", "jkl", "blah", "foo", "baz", "xxx", "zxcv", "sdfg", "fghj")
 STATUS = r"(?:not found|forbidden|unauthorized|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|too many requests|request time-?out|moved permanently|method not allowed|gone)"
 ERRORS = (
-    rf"<(?:title|h1)>\s*[45]\d\d\b[^<]*</(?:title|h1)>|<html>.*?[45]\d\d {STATUS}.*?</html>",
-    rf"\bhttp/\d(?:\.\d)? [45]\d\d\b(?: {STATUS})?(?:\s*(?:content-length|retry-after|server|date): ?\w+)*",
-    rf"(?:^|[\n.!?>] ?|error:? |error code:? )[45]\d\d(?: -| –|:)? ?{STATUS}\b",
-    r"\{\s*\"(?:error|status)\":\s*(?:\{\s*\"(?:code|message)\"|\"error\"|[45]\d\d)[^\n]*?\}",
-    r"\b(?:fehler|erreur|errore?|error) (?:code )?[45]\d\d ?: ?[^\n.]*",
-    r"\b(?:die seite|la page demandée|la página|the page|the requested \w+|the page you \w+ for) (?:wurde (?:leider )?nicht gefunden|est introuvable|could not be (?:loaded|found|displayed)|has moved|no longer exists|does not exist|no se ha encontrado|(?:asked|looked|were looking) for (?:has|does|could))\b[^\n.]*",
-    r"\b(?:can't|cannot|can not|couldn't|could not) find the page\b[^\n.]*",
-    r"\ble service est (?:\w+ )?indisponible\b|\bder dienst ist (?:\w+ )?nicht (?:verfügbar|erreichbar)\b|\bel servicio (?:\w+ )?no está (?:\w+ )?disponible\b",
-    r"\btoo many requests\b[.!]?(?: slow down[^\n.]*)?|\brate limit exceeded\b[^\n.]*",
-    r"\berror establishing a (?:database connection|connection to the database)\b",
-    r"\bupstream (?:request failed|connect error|timed out)\b[^\n.]*",
-    r"\bconnection (?:has )?timed out\b[^\n.]*",
-    r"\bsomething went wrong on our (?:side|end)\b|\b(?:uh-oh|oops|whoops)\b[.!,]",
-    r"\bserver is (?:temporarily|currently) (?:unable|unavailable|overloaded|down)\b[^\n.]*",
-    rf"\byou (?:don't|do not) have (?:permission|access) to (?:view|open|read|access) this\b[^\n.]*",
-    r"(?:^|[\n.!?>] ?)access (?:is )?denied\b[.!]?",
-    rf"\byou (?:must|need to|have to) (?:be signed in|be logged in|sign in|log in)\b[^\n.]*",
-    r"\byour session (?:has|is) expired\b[^\n.]*|\bplease (?:log|sign) in again\b",
-    r"\byou(?:'ve| have) reached (?:the|your) \w+ limit\b[^\n.]*",
-    r"\bnot available in your (?:region|country)\b",
-    rf"\bthis {THING} is (?:no longer|not|currently not|temporarily not) available\b[^\n.]*",
-    r"\btraceback \(most recent call last\):[^\n]*(?:\n[^\n]*file \"[^\n]*)?(?:\s*[a-z]\w*error: ?[^\n]*)?",
+    ("<title|<h1|<html", rf"<(?:title|h1)>\s*[45]\d\d\b[^<]*</(?:title|h1)>|<html>.*?[45]\d\d {STATUS}.*?</html>"),
+    ("http/", rf"\bhttp/\d(?:\.\d)? [45]\d\d\b(?: {STATUS})?(?:\s*(?:content-length|retry-after|server|date): ?\w+)*"),
+    ("not found|forbidden|unauthorized|bad gateway|bad request|unavailable|internal server error|gateway time|too many requests|request time|moved permanently|not allowed|gone", rf"(?:^|[\n.!?>] ?|error:? |error code:? )[45]\d\d(?: -| –|:)? ?{STATUS}\b"),
+    ("{", r"\{\s*\"(?:error|status)\":\s*(?:\{\s*\"(?:code|message)\"|\"error\"|[45]\d\d)[^\n]*?\}"),
+    ("fehler|error|erreur|errore", r"\b(?:fehler|erreur|errore?|error) (?:code )?[45]\d\d ?: ?[^\n.]*"),
+    ("die seite|la page|la página|the page|the requested", r"\b(?:die seite|la page demandée|la página|the page|the requested \w+|the page you \w+ for) (?:wurde (?:leider )?nicht gefunden|est introuvable|could not be (?:loaded|found|displayed)|has moved|no longer exists|does not exist|no se ha encontrado|(?:asked|looked|were looking) for (?:has|does|could))\b[^\n.]*"),
+    ("find the page", r"\b(?:can't|cannot|can not|couldn't|could not) find the page\b[^\n.]*"),
+    ("le service|der dienst|el servicio", r"\ble service est (?:\w+ )?indisponible\b|\bder dienst ist (?:\w+ )?nicht (?:verfügbar|erreichbar)\b|\bel servicio (?:\w+ )?no está (?:\w+ )?disponible\b"),
+    ("too many requests|rate limit", r"\btoo many requests\b[.!]?(?: slow down[^\n.]*)?|\brate limit exceeded\b[^\n.]*"),
+    ("error establishing", r"\berror establishing a (?:database connection|connection to the database)\b"),
+    ("upstream", r"\bupstream (?:request failed|connect error|timed out)\b[^\n.]*"),
+    ("timed out", r"\bconnection (?:has )?timed out\b[^\n.]*"),
+    ("something went wrong|uh-oh|oops", r"\bsomething went wrong on our (?:side|end)\b|\b(?:uh-oh|oops|whoops)\b[.!,]"),
+    ("server is", r"\bserver is (?:temporarily|currently) (?:unable|unavailable|overloaded|down)\b[^\n.]*"),
+    ("this", rf"\byou (?:don't|do not) have (?:permission|access) to (?:view|open|read|access) this\b[^\n.]*"),
+    ("denied", r"(?:^|[\n.!?>] ?)access (?:is )?denied\b[.!]?"),
+    ("in", rf"\byou (?:must|need to|have to) (?:be signed in|be logged in|sign in|log in)\b[^\n.]*"),
+    ("session|in again", r"\byour session (?:has|is) expired\b[^\n.]*|\bplease (?:log|sign) in again\b"),
+    ("reached", r"\byou(?:'ve| have) reached (?:the|your) \w+ limit\b[^\n.]*"),
+    ("not available in your", r"\bnot available in your (?:region|country)\b"),
+    ("available", rf"\bthis {THING} is (?:no longer|not|currently not|temporarily not) available\b[^\n.]*"),
+    ("traceback", r"\btraceback \(most recent call last\):[^\n]*(?:\n[^\n]*file \"[^\n]*)?(?:\s*[a-z]\w*error: ?[^\n]*)?"),
 )
 NOTICES = (
-    rf"\b(?:please )?(?:enable|activate|allow|turn on|switch on|accept) {SCRIPTS}\b(?: (?:and|to|in|or|for)\b[^\n.]*)?",
-    rf"\b(?:you )?need to (?:enable|turn on|activate|allow|accept) {SCRIPTS}\b[^\n.]*",
-    rf"\b{SCRIPTS} (?:must|has to|have to|needs? to) be (?:allowed|enabled|turned on|activated|accepted)\b[^\n.]*",
-    rf"\b{SCRIPTS} (?:is|are) (?:required|disabled|needed|turned off)\b[^\n.]*",
-    rf"\bthis {THING} (?:requires|needs) {SCRIPTS}\b",
-    rf"\b(?:doesn't|does not|won't|will not|can't|cannot) (?:work|run|function|load)(?: properly)? without {SCRIPTS}\b",
-    r"\bit seems to be (?:disabled|turned off|blocked) in your browser\b",
-    rf"\byour browser (?:does not|doesn't) support\b[^\n.]*|\byour browser is (?:out of date|outdated|not supported|too old)\b[^\n.]*",
-    r"\bchecking your browser before\b[^\n.]*",
-    r"\bverify (?:that )?you are (?:a )?human\b[^\n.]*|\bprove you are not a robot\b",
-    rf"\bbitte aktivieren sie {SCRIPTS}\b[^\n.]*|\b{SCRIPTS} aktivieren, um\b[^\n.]*",
-    rf"\bveuillez activer {SCRIPTS}\b[^\n.]*",
-    rf"\b(?:activa|active|habilita|habilite|por favor,? activa) {SCRIPTS}\b[^\n.]*",
-    rf"\b(?:attiva|abilita) {SCRIPTS}\b[^\n.]*",
-    r"<noscript>[^<]*</noscript>",
+    ("script|js|cookie", rf"\b(?:please )?(?:enable|activate|allow|turn on|switch on|accept) {SCRIPTS}\b(?: (?:and|to|in|or|for)\b[^\n.]*)?"),
+    ("script|js|cookie", rf"\b(?:you )?need to (?:enable|turn on|activate|allow|accept) {SCRIPTS}\b[^\n.]*"),
+    ("script|js|cookie", rf"\b{SCRIPTS} (?:must|has to|have to|needs? to) be (?:allowed|enabled|turned on|activated|accepted)\b[^\n.]*"),
+    ("script|js|cookie", rf"\b{SCRIPTS} (?:is|are) (?:required|disabled|needed|turned off)\b[^\n.]*"),
+    ("script|js|cookie", rf"\bthis {THING} (?:requires|needs) {SCRIPTS}\b"),
+    ("script|js|cookie", rf"\b(?:doesn't|does not|won't|will not|can't|cannot) (?:work|run|function|load)(?: properly)? without {SCRIPTS}\b"),
+    ("in your browser", r"\bit seems to be (?:disabled|turned off|blocked) in your browser\b"),
+    ("your browser", rf"\byour browser (?:does not|doesn't) support\b[^\n.]*|\byour browser is (?:out of date|outdated|not supported|too old)\b[^\n.]*"),
+    ("checking your browser", r"\bchecking your browser before\b[^\n.]*"),
+    ("human|robot", r"\bverify (?:that )?you are (?:a )?human\b[^\n.]*|\bprove you are not a robot\b"),
+    ("script|js|cookie", rf"\bbitte aktivieren sie {SCRIPTS}\b[^\n.]*|\b{SCRIPTS} aktivieren, um\b[^\n.]*"),
+    ("script|js|cookie", rf"\bveuillez activer {SCRIPTS}\b[^\n.]*"),
+    ("script|js|cookie", rf"\b(?:activa|active|habilita|habilite|por favor,? activa) {SCRIPTS}\b[^\n.]*"),
+    ("script|js|cookie", rf"\b(?:attiva|abilita) {SCRIPTS}\b[^\n.]*"),
+    ("<noscript>", r"<noscript>[^<]*</noscript>"),
 )
 SLOT_RE = re.compile(SLOT)
-KINDS = {kind: re.compile("|".join(f"(?:{p})" for p in rules), re.S if kind == "error" else 0) for kind, rules in (("filler", FILLER), ("error", ERRORS), ("notice", NOTICES))}
-TRAITS = re.compile(r"[{}<>\[\]~@%_#]|text|here|todo|tbd|fixme|xxx|written|page|soon|content|loading|wait|null|nan|undefined|default|replace|click|type|check|blank|construction|yet|empty|lorem|asdf|qwer|jkl|blah|[45]\d\d|error|fehler|erreur|seite|página|service|dienst|servicio|requests|rate|upstream|timed|wrong|oops|uh-oh|server|permission|access|denied|signed|session|reached|region|available|traceback|script|cookie|\bjs\b|browser|human|robot|untitled|paragraph|heading")
+RULES = [(tuple(needs.split("|")), re.compile(rule, re.S if rule.startswith("<") else 0)) for needs, rule in (*FILLER, *ERRORS, *NOTICES)]
+BRACKETS = re.compile(r"[{}<>\[\]~@%_]")
 
 
 def plain(text: str) -> str:
@@ -181,14 +185,14 @@ def runs(text: str, words: frozenset[str], least: int) -> list[tuple[int, int]]:
 
 def residue_spans(text: str) -> list[tuple[int, int]]:
     """Spans of residue in a plain() text."""
-    if not TRAITS.search(text):
-        return []
-    out = slots(text)
-    for rule in KINDS.values():
-        out += [m.span() for m in rule.finditer(text) if m.end() > m.start()]
+    out = slots(text) if BRACKETS.search(text) else []
+    for needs, rule in RULES:
+        if any(n in text for n in needs):
+            out += [m.span() for m in rule.finditer(text) if m.end() > m.start()]
     if "lorem" in text or "ipsum" in text or "dolor" in text:
         out += runs(text, LOREM, 4)
-    return out + runs(text, MASH, 4)
+    return out + (runs(text, MASH, 4) if any(w in text for w in MASH_MARKS) else [])
+
 
 
 def coverage(text: str, spans: list[tuple[int, int]]) -> float:
@@ -269,23 +273,27 @@ def alike(pairs: DataFrame) -> DataFrame:
     return pairs.select("cid_b", "text_a", "text_b").mapInArrow(run, "cid bigint")
 
 
+def table_rows(classes: DataFrame, side: str) -> DataFrame:
+    """A row for each table of each class: its key (number and bits of the table), and one word of the sketch beside those bits."""
+    per, last = 64 // TABLE_BITS, (1 << TABLE_BITS) - 1
+    entry = f"transform(sequence(0, {WORDS64 * per - 1}), i -> struct(cast(shiftleft(i, {TABLE_BITS}) + (shiftrightunsigned(sketch[i div {per}], cast((i % {per}) * {TABLE_BITS} as int)) & {last}) as int) as key, sketch[(i div {per} + 1) % {WORDS64}] as word))"  # noqa: E501
+    return classes.select(F.col("cid").alias(f"cid_{side}"), F.explode(F.expr(entry)).alias("e")).select("e.key", F.col("e.word").alias(f"word_{side}"), f"cid_{side}")
+
+
 def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """cid of every class that a trusted label reaches through links of near-duplicates."""
-    classes = examined.groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    per, last = 64 // TABLE_BITS, (1 << TABLE_BITS) - 1
-    entry = f"transform(sequence(0, {WORDS64 * per - 1}), i -> struct(i as table_no, shiftrightunsigned(sketch[i div {per}], cast((i % {per}) * {TABLE_BITS} as int)) & {last} as bits))"
-    classes = cut_lineage(classes)
-    tables = classes.select("cid", "rep", "sketch", F.explode(F.expr(entry)).alias("e")).select("cid", "rep", "sketch", "e.table_no", "e.bits")
-    texts = documents.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("text"))
+    classes = cut_lineage(examined.groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+    known = lambda side: classes.select(F.col("cid").alias(f"cid_{side}"), F.col("rep").alias(f"rep_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    text = lambda side: documents.select(F.col(id_col).cast("bigint").alias(f"rep_{side}"), F.col(text_col).alias(f"text_{side}"))
+    distance = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     reached = classes.filter("trusted").select("cid")
     ring = reached
     while True:
-        start = tables.join(ring, "cid", "left_semi").select(*[F.col(c).alias(f"{c}_a") for c in ("cid", "rep", "sketch")], "table_no", "bits")
-        others = tables.join(reached, "cid", "left_anti").select(*[F.col(c).alias(f"{c}_b") for c in ("cid", "rep", "sketch")], "table_no", "bits")
-        distance = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = start.join(others, ["table_no", "bits"]).filter(distance <= MAX_HAMMING).select("rep_a", "cid_b", "rep_b").distinct()
-        pairs = near.join(texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
-        ring = cut_lineage(alike(pairs).distinct())
+        start = table_rows(classes.join(ring, "cid", "left_semi"), "a")
+        others = table_rows(classes.join(reached, "cid", "left_anti"), "b")
+        met = start.join(others, "key").filter(F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= MAX_WORD).select("cid_a", "cid_b").distinct()
+        near = met.join(known("a"), "cid_a").join(known("b"), "cid_b").filter(distance <= MAX_HAMMING).select("rep_a", "cid_b", "rep_b")
+        ring = cut_lineage(alike(near.join(text("a"), "rep_a").join(text("b"), "rep_b")).distinct())
         if ring.isEmpty():
             return reached
         reached = cut_lineage(reached.unionByName(ring))
