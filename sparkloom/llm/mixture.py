@@ -29,6 +29,7 @@ BROADCAST_ROWS = 100_000
 def ranked_documents(documents: DataFrame, vocabulary: str, folder: str) -> DataFrame:
     """doc_id, source, n_tokens, and the rank of each document within its source by size."""
     sized = count_tokens(documents.filter("source is not null").select("doc_id", "source", "text"), ["doc_id", "source"], vocabulary, folder).filter("n_tokens > 0")
+    sized = cut_lineage(sized)  # else the sampling of ranges would count all tokens once more
     parts = partitions_for(documents.sparkSession)
     ordered = cut_lineage(sized.repartitionByRange(parts, "source", "n_tokens", "doc_id").sortWithinPartitions("source", "n_tokens", "doc_id").withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
