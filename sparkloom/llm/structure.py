@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 
 #: Tags of messages, closers of brackets, marks that end a sentence.
 TAGS = ("think", "answer", "tool_call")
@@ -18,11 +22,15 @@ NUMBER = re.compile(r"-?\d+(?:[.,]\d+)*")
 NAME = re.compile(r"(?<![\w'’])[^\W\d_](?![\w'’])")
 
 
+#: Fixed value: format characters.
+INVISIBLE = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
+
+
 def plain(text: str) -> str:
     """Compatibility form without invisible characters, with plain minus signs and single blanks."""
-    text = unicodedata.normalize("NFKC", text.replace("…", "\x00")).replace("\x00", "…").replace("−", "-")
     if not text.isascii():
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
+        text = unicodedata.normalize("NFKC", text.replace("…", "\x00")).replace("\x00", "…").replace("−", "-")
+        text = INVISIBLE.sub("", text)
     return re.sub(r"[^\S\n]+", " ", text).strip()
 
 
@@ -33,6 +41,8 @@ def unclosed(text: str) -> list[str]:
     list numbers, are skipped. Straight quotation marks open and close in turn.
     """
     stack: list[str] = []
+    if "[" in text:
+        text = MATRIX.sub(" ", text)
     for m in STEP.finditer(text):
         x = m.group()
         if x[-1] == ")" and len(x) > 1:
@@ -80,9 +90,12 @@ def is_closed(text: str) -> bool:
     return bare[-1] in ENDS or unicodedata.category(bare[-1]) in ("So", "Sk") or bare[-1] == "‍"
 
 
+LETTER = re.compile(r"[^\W\d_]")
+
+
 def is_bare(text: str) -> bool:
     """Whether a text holds no letters: a value, or nothing."""
-    return not re.search(r"[^\W\d_]", text)
+    return not LETTER.search(text)
 
 
 def mask(sentence: str, last: bool = True) -> str:
@@ -94,6 +107,18 @@ def mask(sentence: str, last: bool = True) -> str:
     return (NAME.sub("v", s) + tail).lower().strip(" " + ENDS)
 
 
+@lru_cache(maxsize=50_000)
+def known_sentence(sentence: str) -> tuple[str, bool] | None:
+    """mask() of a sentence and whether it is closed; None for one without letters. Sentences repeat heavily."""
+    return None if is_bare(sentence) else (mask(sentence), is_closed(sentence))
+
+
 def sentences(text: str) -> list[tuple[str, bool]]:
     """The sentences of a plain() text as written, and whether each is closed."""
     return [(s, is_closed(s)) for s in (x.strip() for x in SPLIT.split(text)) if s]
+
+
+def rows(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, of which few are in memory as Python values at a time, as texts may be long."""
+    for at in range(0, batch.num_rows, size):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, size).columns))

@@ -70,11 +70,10 @@ def cut_value(text: str, truths: list[str]) -> bool:
     squeezed = text.replace(" ", "")
     if "[" in S.unclosed(text) or re.fullmatch(r"-?\d+\.", squeezed):
         return True
-    for t in truths:
-        t = t.replace(" ", "")
-        if re.search(r"\d", squeezed) and t.startswith(squeezed) and len(t) > len(squeezed) and number_or_none(t) != number_or_none(squeezed):
-            return True
-    return False
+    value, values = number_or_none(squeezed), [t.replace(" ", "") for t in truths]
+    if len(squeezed) < 3 or not re.search(r"\d", squeezed) or squeezed in values or (value is not None and value in map(number_or_none, values)):
+        return False
+    return any(t.startswith(squeezed) for t in values)
 
 
 def squashed(text: str) -> str:
@@ -94,7 +93,7 @@ def judge(text: str | None, formal: bool, truths: list[str], prompts: list[str]
     if t.endswith("�"):
         t = t.rstrip("�") + " �"
     parts = S.sentences(t)
-    known = [(S.mask(s), closed) for s, closed in parts if not S.is_bare(s)]
+    known = [k for k in (S.known_sentence(s) for s, _ in parts) if k]
     if S.broken_tag(t.rstrip("… ")) or any(x in S.TAGS or x in "```[{" for x in S.unclosed(t)) or t.endswith("�"):
         return "cut", [], known[:-1]
     if S.is_bare(t):
@@ -127,7 +126,7 @@ def _parse(texts: DataFrame) -> DataFrame:
             closed: Counter[str] = Counter()
             opened: Counter[str] = Counter()
             informal: Counter[str] = Counter()
-            for key, pos, text, formal, truths, asked, prompts in zip(*(c.to_pylist() for c in b.columns)):
+            for key, pos, text, formal, truths, asked, prompts in S.rows(b):
                 state, frags, known = judge(text, formal, stated_values(truths) if truths and text and len(text) < 4000 and S.is_bare(text) else [], prompts or [])
                 for s, c in known:
                     (closed if c else opened)[s] += 1
@@ -157,7 +156,7 @@ def longer_copies(strings: DataFrame) -> DataFrame:
         before, first = None, None
         for b in batches:
             out = []
-            for s, n, part in zip(*(c.to_pylist() for c in b.columns)):
+            for s, n, part in S.rows(b):
                 if first is None:
                     first = (None, s, n, part, "first")
                     out.append(first)
