@@ -3,9 +3,9 @@
 A text is parsed by a pushdown automaton; one that ends within a tag, a bracket or a fence is cut. Else, if its
 last sentence has no closing mark, that fragment is looked up among all sentences of the corpus,
 with numbers, matrices and one-letter names masked: distinct strings are range-partitioned and
-sorted, where the longer copies of a fragment follow it directly, so one look at the next string
-tells whether the fragment is a strict prefix of a longer copy elsewhere. A fragment that is itself
-a usual ending (it ends texts at least as often as it is continued) isn't cut. Formal texts must
+sorted, where the longer copies of a fragment follow it directly, so one scan
+tells how often each fragment is a strict prefix of longer copies elsewhere. A fragment that is
+itself a usual ending (it ends texts at least as often as it is continued) isn't cut. Formal texts must
 also end like their copies do: a sentence closed everywhere else but here was cut before its mark.
 Values are compared with the true values that the same row states.
 
@@ -141,37 +141,57 @@ def _parse(texts: DataFrame) -> DataFrame:
 
 
 def longer_copies(strings: DataFrame) -> DataFrame:
-    """frag, next, n_next of every string that is a strict prefix of the next distinct one.
+    """frag, n_longer of every string that is a strict prefix of others: how often those occur together.
 
     ``strings`` has frag (distinct) and n. All strings that begin with a string follow it in the
-    order, so the next one decides.
+    order, so a stack of open prefixes counts them in one scan of each sorted partition. Prefixes
+    still open at a partition's end are continued by what the first strings of later partitions
+    share with them: each partition also tells, for every prefix of its first string, how often the
+    strings at its start begin with it. These edges are a few rows a partition.
     """
-    spark = strings.sparkSession
-    parts = partitions_for(spark)
+    parts = partitions_for(strings.sparkSession)
     ordered = cut_lineage(strings.select("frag", "n").repartitionByRange(parts, "frag").sortWithinPartitions("frag").withColumn("part", F.spark_partition_id()))
+    names, kinds = ["frag", "n_longer", "part", "edge"], (pa.string(), pa.int64(), pa.int32(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["frag", "next", "n_next", "part", "edge"]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
-        before, first = None, None
+        stack: list[list] = []  # string, n, n of longer ones
+        first, shared, n_shared, lead, part = None, 0, 0, [], None
+
+        def closed(out: list[tuple], edge: str | None) -> None:
+            s, n, longer = stack.pop()
+            if stack:
+                stack[-1][2] += n + longer
+            if longer or edge:
+                out.append((s, longer, part, edge))
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=names)
+
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for s, n, part in S.rows(b):
                 if first is None:
-                    first = (None, s, n, part, "first")
-                    out.append(first)
-                if before is not None and s.startswith(before[0]):
-                    out.append((before[0], s, n, part, None))
-                before = (s, n, part)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
-        if before is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((before[0], None, None, before[2], "last"), kinds)], names=names)
-
-    seen = cut_lineage(ordered.mapInArrow(run, "frag string, next string, n_next bigint, part int, edge string"))
-    w = Window.orderBy("part", "edge")  # a first and a last row for each partition, no more
-    edges = seen.filter("edge is not null").select("frag", "edge", F.lead("next").over(w).alias("next"), F.lead("n_next").over(w).alias("n_next"))
-    across = edges.filter("edge = 'last' and next is not null and startswith(next, frag)")
-    return seen.filter("edge is null").select("frag", "next", "n_next").unionByName(across.select("frag", "next", "n_next"))
+                    first, shared = s, len(s)
+                if shared and not s.startswith(first[:shared]):
+                    common = next((i for i, (x, y) in enumerate(zip(first[:shared], s)) if x != y), min(shared, len(s)))
+                    lead += [(first[:k], n_shared, part, "lead") for k in range(common + 1, shared + 1)]
+                    shared = common
+                n_shared += n
+                while stack and not s.startswith(stack[-1][0]):
+                    closed(out, None)
+                stack.append([s, n, 0])
+            yield batch(out)
+        if first is not None:
+            out = lead + [(first[:k], n_shared, part, "lead") for k in range(1, shared + 1)]
+            while stack:
+                closed(out, "open")
+            yield batch(out)
+
+    seen = cut_lineage(ordered.mapInArrow(run, "frag string, n_longer bigint, part int, edge string"))
+    lead = seen.filter("edge = 'lead'").select("frag", F.col("part").alias("later"), F.col("n_longer").alias("n_later"))
+    open_ = seen.filter("edge = 'open'").join(lead, "frag", "left")
+    crossed = open_.groupBy("frag", "part", "n_longer").agg(F.coalesce(F.sum(F.when(F.col("later") > F.col("part"), F.col("n_later"))), F.lit(0)).alias("n_later"))
+    return seen.filter("edge is null").select("frag", "n_longer").unionByName(crossed.select("frag", (F.col("n_longer") + F.col("n_later")).alias("n_longer")).filter("n_longer > 0"))
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -188,9 +208,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     strings = sentences.select("frag", (F.col("n_closed") + F.col("n_open")).alias("n")).unionByName(frags.join(sentences, "frag", "left_anti").withColumn("n", F.lit(0).cast("bigint")))
     longer = longer_copies(strings)
     known = frags.join(sentences, "frag", "left").join(longer, "frag", "left")
-    within = F.expr("next rlike concat('^.{', length(frag), '}[\\\\p{L}\\\\p{N}]') and frag rlike '[\\\\p{L}\\\\p{N}]$'")
-    usual = (F.coalesce("n_open", F.lit(0)) >= USUAL) & (F.col("n_open") >= F.col("n_next"))
-    continued = F.col("next").isNotNull() & (within | ~usual)
+    usual = (F.coalesce("n_open", F.lit(0)) >= USUAL) & (F.col("n_open") >= F.col("n_longer"))
+    continued = F.col("n_longer").isNotNull() & ~usual
     unmarked = (F.coalesce("n_closed", F.lit(0)) >= 1) & (F.coalesce("n_closed", F.lit(0)) >= F.coalesce("n_open", F.lit(0))) & (F.coalesce("n_informal", F.lit(0)) == 0)
     verdict = known.select("frag", continued.alias("continued"), unmarked.alias("unmarked")).filter("continued or unmarked")
     opened = asked.join(verdict, "frag").filter("continued or (unmarked and closes)").select("key", "pos")
