@@ -38,6 +38,8 @@ WORDS64, TABLE_BITS = 8, 16  # sketch of 512 bits, 32 tables
 MAX_HAMMING = 110
 #: The same for one word of 64 bits: 10 expected, 3 standard deviation; a first test that spares most other pairs.
 MAX_WORD = 25
+#: Labelled classes of one table entry that meet the others of that entry at once.
+CROWD = 2000
 
 # The grammar of residue. Texts are matched after plain(). Each rule follows strings of which a text
 # must hold one for the rule to be tried; they only save time.
@@ -280,29 +282,51 @@ def table_rows(classes: DataFrame, side: str) -> DataFrame:
     return classes.select(F.col("cid").alias(f"cid_{side}"), F.explode(F.expr(entry)).alias("e")).select("e.key", F.col("e.word").alias(f"word_{side}"), f"cid_{side}")
 
 
-def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """cid of every class that a trusted label reaches through links of near-duplicates."""
+def met_in_tables(start: DataFrame, others: DataFrame) -> DataFrame:
+    """cid_a, cid_b of the classes that share a table entry and whose words of the sketch are close."""
+    return start.join(others, "key").filter(F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= MAX_WORD).select("cid_a", "cid_b").distinct()
+
+
+def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str, crowd: int = CROWD) -> DataFrame:
+    """cid of every class that a trusted label reaches through links of near-duplicates.
+
+    Each ring of newly labelled classes meets the classes that aren't labelled yet in the tables. A
+    class needs only one link to be labelled, so where more than ``crowd`` of a ring share an entry,
+    they meet the others in shares that double, and what one share labels is gone before the next:
+    in a crowd of near-copies the first share leaves little; what isn't alike still meets everyone.
+    """
     classes = cut_lineage(examined.groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     known = lambda side: classes.select(F.col("cid").alias(f"cid_{side}"), F.col("rep").alias(f"rep_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     text = lambda side: documents.select(F.col(id_col).cast("bigint").alias(f"rep_{side}"), F.col(text_col).alias(f"text_{side}"))
     distance = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    def labelled_by(start: DataFrame, reached: DataFrame) -> DataFrame:
+        met = met_in_tables(start, table_rows(classes.join(reached, "cid", "left_anti"), "b"))
+        near = met.join(known("a"), "cid_a").join(known("b"), "cid_b").filter(distance <= MAX_HAMMING).select("rep_a", "cid_b", "rep_b")
+        return cut_lineage(alike(near.join(text("a"), "rep_a").join(text("b"), "rep_b")).distinct())
+
     reached = classes.filter("trusted").select("cid")
     ring = reached
     while True:
         start = table_rows(classes.join(ring, "cid", "left_semi"), "a")
-        others = table_rows(classes.join(reached, "cid", "left_anti"), "b")
-        met = start.join(others, "key").filter(F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= MAX_WORD).select("cid_a", "cid_b").distinct()
-        near = met.join(known("a"), "cid_a").join(known("b"), "cid_b").filter(distance <= MAX_HAMMING).select("rep_a", "cid_b", "rep_b")
-        ring = cut_lineage(alike(near.join(text("a"), "rep_a").join(text("b"), "rep_b")).distinct())
-        if ring.isEmpty():
+        most = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        ring = None
+        done, share = 0.0, 1.0 if most <= crowd else crowd / most
+        while done < 1.0:  # shares of the ring by a hash of the class
+            place = F.shiftrightunsigned(F.xxhash64(F.lit(7), "cid_a"), 11) / float(1 << 53)
+            new = labelled_by(start if share >= 1.0 else start.filter((place >= done) & (place < done + share)), reached)
+            done, share = done + share, min(2 * share, 1.0)
+            if not new.isEmpty():
+                reached = cut_lineage(reached.unionByName(new))
+                ring = new if ring is None else ring.unionByName(new)
+        if ring is None:
             return reached
-        reached = cut_lineage(reached.unionByName(ring))
 
 
-def labelled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """doc_id, is_residue, by_spread of every text that is not blank."""
     examined = cut_lineage(examine(documents, id_col, text_col))
-    reached = spread(examined, documents, id_col, text_col)
+    reached = spread(examined, documents, id_col, text_col, crowd)
     flagged = examined.join(reached.withColumn("near", F.lit(True)), "cid", "left")
     near = F.coalesce("near", F.lit(False))
     return flagged.select("doc_id", (F.col("is_residue") | near).alias("is_residue"), (near & ~F.col("is_residue")).alias("by_spread"))

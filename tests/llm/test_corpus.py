@@ -115,6 +115,21 @@ def test_labels_reach_near_duplicates_in_rings(spark):
     assert near == {1: False, 2: True, 3: True, 4: True, 5: True}
 
 
+def test_crowds_give_the_same_labels(spark):
+    """Labelled and other near-copies in one table entry: shares of the ring change nothing."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    base = [f"w{name(i)}" for i in range(120)]
+
+    def variant(i, mark):
+        w = base.copy()
+        w[i % 120] = f"v{name(i)}"
+        return " ".join([mark, *w[1:]])
+
+    rows = [(i, variant(i, "{{topic}}"), None) for i in range(40)] + [(100 + i, variant(i + 50, "wa"), None) for i in range(40)] + [(500, "The rank is 2.", None)]
+    plain, crowded = ({r["doc_id"] for r in residue.labelled(docs(spark, rows), crowd=c).filter("is_residue").collect()} for c in (2000, 5))
+    assert plain == crowded == {*range(40), *range(100, 140)}
+
+
 def test_sketch_distance_follows_similarity():
     rng = random.Random(0)
     base = [f"a{rng.randint(0, 10**9)}" for _ in range(200)]
