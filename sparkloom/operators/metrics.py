@@ -10,13 +10,18 @@ from sparkloom.functions import text
 
 def is_error(observation: Column) -> Column:
     """A tool response that reports a failure."""
-    return F.coalesce(observation.rlike(r"(?i)^(?:error:|unknown action)"), F.lit(False))
+    return F.coalesce(observation.startswith("Error:") | observation.startswith("Unknown action"), F.lit(False))
+
+
+def calls_of(actions: Column) -> Column:
+    """All actions but the last, which is the response."""
+    return F.slice(actions, F.lit(1), F.greatest(F.size(actions) - 1, F.lit(0)))
 
 
 def tool_success(actions: Column) -> Column:
-    """Share of successful calls; 0 without calls. ``actions``: array of name, content, observation."""
-    made = F.filter(actions, lambda a: a["name"] != "respond")
-    return F.coalesce(F.try_divide(F.size(F.filter(made, lambda a: ~is_error(a["observation"]))), F.size(made)), F.lit(0.0))
+    """Share of the calls with an observation that didn't fail; 0 without any. ``actions``: array of name, content, observation."""
+    seen = F.filter(calls_of(actions), lambda a: a["observation"].isNotNull())
+    return F.coalesce(F.try_divide(F.size(F.filter(seen, lambda a: ~is_error(a["observation"]))), F.size(seen)), F.lit(0.0))
 
 
 def overuse(actual: Column, expected: Column, most: int = 3) -> Column:
@@ -25,20 +30,35 @@ def overuse(actual: Column, expected: Column, most: int = 3) -> Column:
 
 
 def format_score(actions: Column) -> Column:
-    """R2: thoughts in calls weigh 1 each; in the final response a thought weighs 1 and an answer 2."""
-    has = lambda a, tag: (F.size(text.tag_contents(a["content"], tag)) > 0).cast("int")
-    weight = lambda a: F.when(a["name"] == "respond", 3).otherwise(1)
-    earned = lambda a: F.when(a["name"] == "respond", has(a, "think") + 2 * has(a, "answer")).otherwise(has(a, "think"))
-    total = F.aggregate(actions, F.lit(0), lambda s, a: s + weight(a))
-    return F.coalesce(F.try_divide(F.aggregate(actions, F.lit(0), lambda s, a: s + earned(a)), total), F.lit(0.0))
+    """R2: a thought in a call weighs 1; in the last action a thought weighs 1 and an answer 2."""
+    has = lambda a, tag: F.coalesce(F.size(text.tag_contents(a["content"], tag)) > 0, F.lit(False)).cast("int")
+    last = F.try_element_at(actions, F.lit(-1))
+    earned = F.aggregate(calls_of(actions), F.lit(0), lambda s, a: s + has(a, "think")) + has(last, "think") + 2 * has(last, "answer")
+    return F.when(F.size(actions) > 0, earned / (F.size(actions) + 2)).otherwise(0.0)
 
 
 def reward(actions: Column, correct: Column, expected: Column) -> Column:
-    """Structural failures are -1 (nothing done, no response) or -0.3 (no call); else a weighted sum in [.., 1]."""
-    n_calls = F.size(F.filter(actions, lambda a: a["name"] != "respond"))
+    """Nothing done or no response at the end gives -1, a lone action -0.3; else correctness, format and tool success less overuse, of 1.2."""
     ends = F.try_element_at(actions, F.lit(-1))["name"] == "respond"
-    score = (correct.cast("double") + 0.1 * format_score(actions) + 0.1 * tool_success(actions) - 0.1 * overuse(n_calls, expected)) / 1.2
-    return F.when(F.coalesce(F.size(actions), F.lit(0)) <= 0, -1.0).when((F.size(actions) == 1) & ends, -0.3).when(~ends, -1.0).otherwise(score)
+    score = (correct.cast("double") + 0.1 * format_score(actions) + 0.1 * tool_success(actions) - 0.1 * overuse(F.size(actions) - 1, expected)) / 1.2
+    return F.when(F.coalesce(F.size(actions), F.lit(0)) <= 0, -1.0).when(F.size(actions) == 1, -0.3).when(~ends, -1.0).otherwise(score)
+
+
+def earlier_reward(actions: Column, correct: Column, expected: Column, format_weight: float = 0.1) -> Column:
+    """Structural failures give -1; else correctness and format less a tenth for each call too many or too few, half at most."""
+    n = F.size(actions) - 1
+    last = F.try_element_at(actions, F.lit(-1))
+    off = F.when(expected > 0, F.greatest(F.lit(-0.5), -0.1 * F.abs(n - expected))).otherwise(0.0)
+    score = (1 - format_weight) * correct.cast("double") + format_weight * format_score(actions) + off
+    broken = (F.coalesce(F.size(actions), F.lit(0)) <= 1) | (last["name"] != "respond") | last["content"].isNull()
+    return F.when(broken, -1.0).otherwise(score)
+
+
+def reasoning_depth(actions: Column, least: int = 650, most: int = 3500) -> Column:
+    """Mean over the actions' texts of 1 for a length between the limits, else 0.5; 0 without texts."""
+    held = F.filter(actions, lambda a: a["content"].isNotNull())
+    total = F.aggregate(held, F.lit(0.0), lambda s, a: s + F.when((F.length(a["content"]) > least) & (F.length(a["content"]) < most), 1.0).otherwise(0.5))
+    return F.coalesce(F.try_divide(total, F.size(held)), F.lit(0.0))
 
 
 def derived(reward_: Column, turns: Column, expected_turns: Column) -> Column:

@@ -577,12 +577,6 @@ def a18(s: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count("*").alias("n_messages"), ratio(ok, F.lit(True)).alias("format_share"), ratio(ok & answered, answered).alias("answer_format_share"), F.count_if(answered).alias("n_answers"))
 
 
-@query("R3_tool_success", f"WITH {MESSAGES}, r AS (SELECT idx, regexp_matches(coalesce(content, ''), '(?i)^(error:|unknown action)') AS failed FROM mm WHERE role = 'tool') SELECT idx, round(count_if(NOT failed) / count(*), 6) AS success FROM r GROUP BY idx")
-def r3(s: SparkSession, d: str) -> DataFrame:
-    acts = F.transform(F.filter("messages", lambda m: m["role"] == "tool"), lambda m: F.struct(F.coalesce(m["name"], F.lit("?")).alias("name"), F.lit("").alias("content"), m["content"].alias("observation")))
-    return chat(s, d).select("idx", acts.alias("a")).filter(F.size("a") > 0).select("idx", F.round(metrics.tool_success(F.col("a")), 6).alias("success"))
-
-
 # Curriculum and generation -----------------------------------------------------------------------
 
 BUCKETS = "b AS (SELECT task_id, CAST(len(actions) AS INTEGER) AS bucket FROM tasks WHERE actions IS NOT NULL)"
@@ -770,12 +764,47 @@ def actions(s: SparkSession, d: str) -> DataFrame:
     return chat(s, d).select("idx", acts.alias("actions"), F.coalesce("is_correct", F.lit(False)).alias("correct"), F.greatest(F.size(validate.truths(F.col("stepwise_ground_truths"))), F.lit(0)).alias("expected"))
 
 
-@query("R1_rewards")
+_ACTIONS = f"""WITH {MESSAGES}, f AS (SELECT idx, pos, m, lead(m.content) OVER (PARTITION BY idx ORDER BY pos) AS observation FROM ms),
+act AS (SELECT idx, pos, coalesce(m.tool_calls[1].function.name, 'respond') AS name, coalesce(m.content, '') AS content, observation, row_number() OVER (PARTITION BY idx ORDER BY pos DESC) = 1 AS is_last FROM f WHERE m.role = 'assistant'),
+sc AS (SELECT idx, count(*) AS n, bool_or(is_last AND name = 'respond') AS ends, sum(CASE WHEN len({_tag('think')}) > 0 THEN 1 ELSE 0 END) + sum(CASE WHEN is_last AND len({_tag('answer')}) > 0 THEN 2 ELSE 0 END) AS earned,
+count_if(NOT is_last AND observation IS NOT NULL) AS seen, count_if(NOT is_last AND observation IS NOT NULL AND NOT (starts_with(observation, 'Error:') OR starts_with(observation, 'Unknown action'))) AS fine FROM act GROUP BY idx),
+tr AS (SELECT idx, coalesce(is_correct, false) AS correct, CASE WHEN json_valid(stepwise_ground_truths) AND json_type(stepwise_ground_truths) = 'ARRAY' THEN CAST(list_sum(list_transform(CAST(stepwise_ground_truths AS JSON[]), lambda x: len(json_keys(x)))) AS BIGINT) ELSE 0 END AS expected FROM conversations_chat),
+z AS (SELECT sc.*, tr.correct, tr.expected, CAST(earned AS DOUBLE) / (n + 2) AS format, CASE WHEN seen > 0 THEN CAST(fine AS DOUBLE) / seen ELSE 0 END AS success, CASE WHEN expected > 0 THEN least(greatest(n - 1 - expected, 0), 3) ELSE 0 END AS over, CASE WHEN expected > 0 THEN greatest(-0.5, -0.1 * abs(n - 1 - expected)) ELSE 0 END AS off FROM sc JOIN tr ON tr.idx = sc.idx) """  # noqa: E501
+
+
+@query("R1_rewards", f"{_ACTIONS} SELECT idx, round(CASE WHEN n = 1 THEN -0.3 WHEN NOT ends THEN -1 ELSE (CAST(correct AS INTEGER) + 0.1 * format + 0.1 * success - 0.1 * over) / 1.2 END, 9) AS reward FROM z")
 def r1(s: SparkSession, d: str) -> DataFrame:
-    """R1, R2, R10; the arithmetic is tested by fixtures."""
-    r = actions(s, d).withColumn("reward", F.round(metrics.reward(F.col("actions"), F.col("correct"), F.col("expected")), 6))
+    r = actions(s, d).filter(F.size("actions") > 0)
+    return r.select("idx", F.round(metrics.reward(F.col("actions"), F.col("correct"), F.col("expected")), 9).alias("reward"))
+
+
+@query("R2_format_scores", f"{_ACTIONS} SELECT idx, round(format, 9) AS format FROM z")
+def r2(s: SparkSession, d: str) -> DataFrame:
+    return actions(s, d).filter(F.size("actions") > 0).select("idx", F.round(metrics.format_score(F.col("actions")), 9).alias("format"))
+
+
+@query("R3_tool_success", f"{_ACTIONS} SELECT idx, round(success, 9) AS success FROM z")
+def r3(s: SparkSession, d: str) -> DataFrame:
+    return actions(s, d).filter(F.size("actions") > 0).select("idx", F.round(metrics.tool_success(F.col("actions")), 9).alias("success"))
+
+
+@query("R5_earlier_rewards", f"{_ACTIONS} SELECT idx, round(CASE WHEN n = 1 OR NOT ends THEN -1 ELSE 0.9 * CAST(correct AS INTEGER) + 0.1 * format + off END, 9) AS reward FROM z")
+def r5(s: SparkSession, d: str) -> DataFrame:
+    r = actions(s, d).filter(F.size("actions") > 0)
+    return r.select("idx", F.round(metrics.earlier_reward(F.col("actions"), F.col("correct"), F.col("expected")), 9).alias("reward"))
+
+
+@query("R6_reasoning_depth", f"{_ACTIONS} SELECT idx, round(avg(CASE WHEN length(content) > 100 AND length(content) < 400 THEN 1.0::DOUBLE ELSE 0.5 END), 9) AS depth FROM act GROUP BY idx")
+def r6(s: SparkSession, d: str) -> DataFrame:
+    """With limits that suit the texts of the table."""
+    return actions(s, d).filter(F.size("actions") > 0).select("idx", F.round(metrics.reasoning_depth(F.col("actions"), 100, 400), 9).alias("depth"))
+
+
+@query("R10_rollout_metrics", f"{_ACTIONS}, rw AS (SELECT idx, n, expected, round(CASE WHEN n = 1 THEN -0.3 WHEN NOT ends THEN -1 ELSE (CAST(correct AS INTEGER) + 0.1 * format + 0.1 * success - 0.1 * over) / 1.2 END, 9) AS r FROM z) SELECT idx, abs(r - 1) <= 1e-6 AS optimal, r > -0.3 AS valid, CAST(n - expected - 1 AS INTEGER) AS turn_deviation FROM rw")
+def r10(s: SparkSession, d: str) -> DataFrame:
+    r = actions(s, d).filter(F.size("actions") > 0).withColumn("reward", F.round(metrics.reward(F.col("actions"), F.col("correct"), F.col("expected")), 9))
     x = metrics.derived(F.col("reward"), F.size("actions"), F.col("expected") + 1)
-    return r.select("idx", "reward", x["optimal"].alias("optimal"), x["valid"].alias("valid"), x["turn_deviation"].alias("turn_deviation"))
+    return r.select("idx", x["optimal"].alias("optimal"), x["valid"].alias("valid"), x["turn_deviation"].alias("turn_deviation"))
 
 
 @query("C7_curriculum", f"WITH {BUCKETS}, n AS (SELECT count(*) AS n FROM b), st AS (SELECT step, (SELECT ceil(n / 16.0) FROM n) AS total FROM range(0, 1000000) r(step) WHERE step < (SELECT ceil(n / 16.0) FROM n)) SELECT step, round(CASE WHEN total <= 1 THEN 1.0 ELSE CAST(step AS DOUBLE) / (total - 1) END, 9) AS difficulty FROM st")
