@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.prepare import mixed
+from sparkloom.operators.prepare import mixed, with_rank
 
 
 def difficulty_at(step: Column, total: int) -> Column:
@@ -56,14 +56,13 @@ def unlocked(tasks: DataFrame, difficulty: float, initial: int, final: int, star
     levels = max(1, max(final, initial) - initial + 1)
     allowed = initial + min(levels - 1, math.floor(difficulty * levels))
     share = max(0.0, min(1.0, start + difficulty * (end - start)))
-    least = tasks.agg(F.min("bucket").alias("least"))
-    open_ = tasks.crossJoin(F.broadcast(least)).filter(F.col("bucket") <= F.greatest(F.lit(allowed), F.col("least")))
-    keyed = open_.withColumn("key", mixed(F.col("task_id"), seed))
-    within = Window.partitionBy("bucket").orderBy("key", "task_id")
-    ranked = keyed.withColumn("place", F.row_number().over(within)).withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
-    sizes = ranked.select("bucket", "size").distinct().withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = ranked.join(F.broadcast(sizes.select("bucket", "before")), "bucket").withColumn("position", F.col("before") + F.col("place"))
-    return d.filter((F.col("place") <= F.ceil(F.lit(share) * F.col("size"))) | (F.col("position") <= max(min_total, 1))).select("task_id", "bucket", "position")
+    least = tasks.agg(F.min("bucket").alias("least")).first()["least"]
+    open_ = tasks.filter(F.col("bucket") <= max(allowed, least if least is not None else allowed))
+    ranked = with_rank(open_.select("task_id", "bucket", mixed(F.col("task_id"), seed).alias("key")), ["bucket"], "key", "task_id")
+    earlier = Window.partitionBy(F.lit(1)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the few buckets
+    sizes = open_.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    d = ranked.join(sizes, "bucket").withColumn("position", F.col("before") + F.col("rank"))
+    return d.filter((F.col("rank") <= F.ceil(F.lit(share) * F.col("size"))) | (F.col("position") <= max(min_total, 1))).select("task_id", "bucket", "position")
 
 
 def bag_draws(pool: DataFrame, draws: int, seed: int = 0) -> DataFrame:
@@ -71,11 +70,12 @@ def bag_draws(pool: DataFrame, draws: int, seed: int = 0) -> DataFrame:
 
     Closed form: cycle c of draw i is i div n, ordered by a hash of seed, cycle and task.
     """
-    size = F.count("*").over(Window.partitionBy(F.lit(1)))
-    sized = pool.select("task_id").withColumn("size", size)
-    cycles = sized.withColumn("cycle", F.explode(F.sequence(F.lit(0), (F.ceil(F.lit(draws) / F.col("size")) - 1).cast("int"))))
-    place = F.row_number().over(Window.partitionBy("cycle").orderBy(mixed(F.col("task_id") * 1_000_003 + F.col("cycle"), seed), "task_id"))
-    return cycles.withColumn("draw", F.col("cycle") * F.col("size") + place - 1).filter(F.col("draw") < draws).select("draw", "cycle", "task_id")
+    size = pool.count()
+    if not size or draws <= 0:
+        return pool.sparkSession.createDataFrame([], "draw bigint, cycle int, task_id bigint")
+    cycles = pool.select("task_id", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // size) - 1))).alias("cycle"))
+    ranked = with_rank(cycles.withColumn("key", mixed(F.col("task_id") * 1_000_003 + F.col("cycle"), seed)), ["cycle"], "key", "task_id")
+    return ranked.withColumn("draw", F.col("cycle") * F.lit(size) + F.col("rank") - 1).filter(F.col("draw") < draws).select("draw", "cycle", "task_id")
 
 
 def coverage(draws: DataFrame, most: int = 3) -> DataFrame:

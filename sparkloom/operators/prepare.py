@@ -35,26 +35,38 @@ def example(questions: DataFrame) -> DataFrame:
 
 def representative(df: DataFrame, category: str, per_category: int, order: str, with_rest: bool = False) -> DataFrame:
     """The first rows of each category in order; ``with_rest``: then the others, marked."""
-    rank = F.row_number().over(Window.partitionBy(category).orderBy(order))
-    out = df.withColumn("is_rest", rank > per_category)
-    return out if with_rest else out.filter("not is_rest").drop("is_rest")
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(category).orderBy(order)))
+    if with_rest:
+        return ranked.withColumn("is_rest", F.col("__rank") > per_category).drop("__rank")
+    return ranked.filter(F.col("__rank") <= per_category).drop("__rank")  # each task keeps the first of its rows before the shuffle
 
 
-def stratified_split(df: DataFrame, stratum: str, key: str, test: float, validation: float, seed: int = 0) -> DataFrame:
-    """Split column with exact shares per stratum, by an arithmetic hash of the key; validation is a share of the whole.
+def with_rank(df: DataFrame, groups: list[str], key: str, tie: str, bits: int = 14) -> DataFrame:
+    """Adds ``rank`` (from 1, by a 32-bit ``key``, ties by ``tie``) and ``size`` of each row's group.
 
-    Ranks come from a count of hash prefixes, so a large stratum isn't sorted in one task: only the
-    two prefixes that hold a boundary are.
+    Ranks come from a count of key prefixes, so a large group is never sorted in one task: a task
+    ranks the rows of one prefix, and only counts of prefixes are summed along a group.
     """
-    keyed = df.withColumn("__hash", mixed(F.col(key), seed)).withColumn("__prefix", F.shiftright("__hash", 18))
-    w = Window.partitionBy(stratum).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
-    counts = keyed.groupBy(stratum, "__prefix").agg(F.count("*").alias("__n")).withColumn("__before", F.sum("__n").over(w) - F.col("__n"))
-    total = Window.partitionBy(stratum)
-    counts = counts.withColumn("__all", F.sum("__n").over(total)).withColumn("__test", F.floor(F.col("__all") * test)).withColumn("__val", F.floor(F.col("__all") * (test + validation)))
-    rank = F.row_number().over(Window.partitionBy(stratum, "__prefix").orderBy("__hash", key)) + F.col("__before")
-    joined = keyed.join(counts.withColumnRenamed(stratum, "__stratum"), F.col(stratum).eqNullSafe(F.col("__stratum")) & (keyed["__prefix"] == counts["__prefix"])).drop(counts["__prefix"])
-    out = joined.withColumn("split", F.when(rank <= F.col("__test"), "test").when(rank <= F.col("__val"), "validation").otherwise("train"))
-    return out.drop("__hash", "__prefix", "__n", "__before", "__all", "__test", "__val", "__stratum")
+    keyed = df.withColumn("__prefix", F.shiftright(key, 32 - bits))
+    upto = Window.partitionBy(*groups).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
+    named = [F.col(g).alias(f"__{g}") for g in groups]
+    counts = (
+        keyed.groupBy(*groups, "__prefix").agg(F.count("*").alias("__n"))
+        .select(*named, F.col("__prefix").alias("__p"), (F.sum("__n").over(upto) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(*groups)).alias("size"))
+    )
+    same = F.col("__prefix") == F.col("__p")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    place = F.row_number().over(Window.partitionBy(*groups, "__prefix").orderBy(key, tie))
+    return keyed.join(counts, same).withColumn("rank", place + F.col("__before")).drop("__prefix", "__p", "__before", *[f"__{g}" for g in groups])
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, test: float, validation: float, seed: int = 0) -> DataFrame:
+    """Split column with exact shares per stratum, by an arithmetic hash of the key; validation is a share of the whole."""
+    ranked = with_rank(df.withColumn("__hash", mixed(F.col(key), seed)), [stratum], "__hash", key)
+    r = F.col("rank")
+    split = F.when(r <= F.floor(F.col("size") * test), "test").when(r <= F.floor(F.col("size") * (test + validation)), "validation").otherwise("train")
+    return ranked.withColumn("split", split).drop("__hash", "rank", "size")
 
 
 def head_per_split(df: DataFrame, n: int, order: str, split: str = "split") -> DataFrame:

@@ -143,8 +143,8 @@ def issues(c: DataFrame) -> DataFrame:
 
 def issue_report(c: DataFrame) -> DataFrame:
     """Conversations per failed check, and their percentage of all conversations."""
-    total = c.agg(F.count("*").alias("total"))
-    return issues(c).groupBy("check_name").agg(F.count("*").alias("n_failed")).crossJoin(F.broadcast(total)).select("check_name", "n_failed", F.round(F.col("n_failed") * 100 / F.col("total"), 6).alias("percent"))
+    total = c.count()
+    return issues(c).groupBy("check_name").agg(F.count("*").alias("n_failed")).select("check_name", "n_failed", F.round(F.col("n_failed") * 100 / F.lit(total), 6).alias("percent"))
 
 
 def clean(c: DataFrame) -> DataFrame:
@@ -162,5 +162,5 @@ def edited(c: DataFrame, config: DataFrame) -> DataFrame:
     numbered = F.transform(replaced, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
     kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("to_remove", F.array().cast("array<int>")), x["i"])), lambda x: x["m"])
     due = F.coalesce(F.size("messages") == F.col("initial_msg_count"), F.lit(False))
-    out = c.join(F.broadcast(config), "idx", "left").withColumn("messages", F.when(due, kept).otherwise(F.col("messages")))
+    out = c.join(config, "idx", "left").withColumn("messages", F.when(due, kept).otherwise(F.col("messages")))
     return out.withColumn("as_expected", F.coalesce(F.size("messages") == F.col("expected_final_msg_count"), F.lit(True))).drop("to_remove", "to_replace", "initial_msg_count", "expected_final_msg_count")

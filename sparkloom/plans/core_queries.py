@@ -664,9 +664,9 @@ def f4(s: SparkSession, d: str) -> DataFrame:
 
 @query("J11_grid", "SELECT a * 10 + b AS place, CAST(a AS DOUBLE) / 10 AS first, CAST(b AS DOUBLE) / 10 AS second FROM range(0, 10) x(a), range(0, 10) y(b)")
 def j11(s: SparkSession, d: str) -> DataFrame:
-    """A grid of two axes with its flat index; both axes are parameters, not data."""
-    a, b = s.range(10).select(F.col("id").alias("a")), s.range(10).select(F.col("id").alias("b"))
-    return a.crossJoin(b).select((F.col("a") * 10 + F.col("b")).alias("place"), (F.col("a") / 10).alias("first"), (F.col("b") / 10).alias("second"))
+    """A grid of two axes, each point from its mixed-radix index, so nothing is joined."""
+    i = F.col("id")
+    return s.range(100).select(i.alias("place"), (F.floor(i / 10) / 10).alias("first"), (i % 10 / 10).alias("second"))
 
 
 @query("A10_longest_message", f"WITH {MESSAGES}, w AS (SELECT idx, len(list_filter(regexp_split_to_array(content, '{_SPACE}+'), lambda w: w <> '')) AS n FROM mm WHERE role = 'assistant') SELECT c.idx, CAST(coalesce(max(n), 0) AS BIGINT) AS longest FROM conversations_chat c LEFT JOIN w ON w.idx = c.idx GROUP BY c.idx")
