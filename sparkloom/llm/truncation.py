@@ -235,7 +235,7 @@ def message_texts(conversations: DataFrame, tasks: DataFrame | None = None) -> D
     m = base.select(F.col("idx").cast("string").alias("key"), "stepwise_ground_truths", F.array("instruction", user).alias("prompts"), F.posexplode("messages").alias("pos", "m"))
     role = F.coalesce("m.role", F.lit(""))
     texts = m.select(
-        "key", "pos", F.col("m.content").alias("text"), (role != "user").alias("formal"), F.when(role == "tool", F.col("stepwise_ground_truths")).alias("truths"),
+        "key", "pos", F.col("m.content").alias("text"), (role != "user").alias("formal"), F.when(role.isin("tool", "assistant"), F.col("stepwise_ground_truths")).alias("truths"),
         F.lit(True).alias("asked"), F.when(role == "assistant", F.col("prompts")).alias("prompts"),
     ).filter("text is not null")
     if tasks is not None:
