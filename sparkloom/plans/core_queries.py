@@ -128,10 +128,11 @@ def l9(s: SparkSession, d: str) -> DataFrame:
     return matrices(s, d).select("question_id", linalg.fenced(linalg.let(linalg.inverse(F.col("m")), linalg.trace) + 0.0).alias("result")).filter("result is not null")
 
 
-@query("L12_execute_errors", f"{MATRICES} SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'ERROR: Function ''unknown_tool'' not found in library' WHEN len(m) <> len(m[1]) THEN 'ERROR: ValueError: Matrix must be square' END AS result FROM v WHERE question_id % 3 = 0 OR len(m) <> len(m[1])")  # noqa: E501
+@query("L12_execute", f"{MATRICES} SELECT question_id, CASE WHEN problem_type IS NULL THEN 'ERROR: Function ''unknown_tool'' not found in library' WHEN len(m) <> len(m[1]) THEN 'ERROR: ValueError: Matrix must be square' ELSE CAST(list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS VARCHAR) END AS result FROM v")  # noqa: E501
 def l12(s: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("question_id") % 3 == 0, "unknown_tool").otherwise("matrix_trace")
-    return matrices(s, d).select("question_id", linalg.execute(name, F.col("m")).alias("result")).filter("result like 'ERROR%'")
+    """The trace of every matrix by the tool's name; questions without a type ask for an unknown tool."""
+    name = F.when(F.col("problem_type").isNull(), "unknown_tool").otherwise("matrix_trace")
+    return matrices(s, d).select("question_id", linalg.execute(name, F.col("m")).alias("result"))
 
 
 @query("L13_wide_matrices_exact")
@@ -524,11 +525,11 @@ def v15(s: SparkSession, d: str) -> DataFrame:
     return validate.clean(chat(s, d)).select("idx")
 
 
-@query("V16_edited", "SELECT idx, CAST(len(messages) - CASE WHEN len(messages) = 5 AND idx % 10 = 1 THEN 2 ELSE 0 END AS INTEGER) AS n_messages FROM conversations_chat WHERE messages IS NOT NULL")
+@query("V16_edited", "SELECT idx, CAST(len(messages) - CASE WHEN len(messages) = 5 THEN 2 ELSE 0 END AS INTEGER) AS n_messages FROM conversations_chat WHERE messages IS NOT NULL")
 def v16(s: SparkSession, d: str) -> DataFrame:
-    """An edit for every tenth conversation that has five messages."""
+    """An edit for every conversation, which applies to those of five messages."""
     c = chat(s, d)
-    config = c.filter("idx % 10 = 1").select("idx", F.array(F.lit(2), F.lit(3)).alias("to_remove"), F.create_map(F.lit(4), F.lit("checked")).alias("to_replace"), F.lit(5).alias("initial_msg_count"), F.lit(3).alias("expected_final_msg_count"))
+    config = c.select("idx", F.array(F.lit(2), F.lit(3)).alias("to_remove"), F.create_map(F.lit(4), F.lit("checked")).alias("to_replace"), F.lit(5).alias("initial_msg_count"), F.lit(3).alias("expected_final_msg_count"))
     return validate.edited(c, config).filter("messages is not null").select("idx", F.size("messages").alias("n_messages"))
 
 
