@@ -116,25 +116,34 @@ def analysis(c: Column, tools: tuple[str, ...]) -> Column:
     )
 
 
+#: Reasons of unusable messages, in the order of the contract; the last stands for none of the others.
+REASONS = (
+    "multiple <think> blocks (nested/repeated)",
+    "multiple <tool_call> blocks (nested/repeated)",
+    "multiple <answer> blocks (nested/repeated)",
+    "no <think>/<tool_call>/<answer> blocks",
+    "both tool call and answer present",
+    "no tool call or answer",
+    "missing <think>",
+    "invalid tool JSON",
+    "invalid tool arguments",
+    "unknown tool name",
+    "content outside allowed tags",
+    "invalid format",
+    "answer without tool response",
+    "unspecified issue",
+)
+
+
 def failure_reason(a: Column, policy_ok: Column) -> Column:
-    """X11: the first reason that applies, in the fixed order of the contract."""
-    calls, answers, thinks = a["tool_call_count"] > 0, a["answer_count"] > 0, a["think_count"] > 0
-    return (
-        F.when(a["think_count"] > 1, "multiple <think> blocks (nested/repeated)")
-        .when(a["tool_call_count"] > 1, "multiple <tool_call> blocks (nested/repeated)")
-        .when(a["answer_count"] > 1, "multiple <answer> blocks (nested/repeated)")
-        .when(~thinks & ~calls & ~answers, "no <think>/<tool_call>/<answer> blocks")
-        .when(calls & answers, "both tool call and answer present")
-        .when(~calls & ~answers, "no tool call or answer")
-        .when(~thinks, "missing <think>")
-        .when(calls & ~a["call"]["json_valid"], "invalid tool JSON")
-        .when(calls & ~a["call"]["arguments_valid"], "invalid tool arguments")
-        .when(calls & ~a["name_known"], "unknown tool name")
-        .when(a["outside"], "content outside allowed tags")
-        .when(~a["valid"], "invalid format")
-        .when(answers & ~policy_ok, "answer without tool response")
-        .otherwise("unspecified issue")
-    )
+    """X11: the first reason that applies to an analysis()."""
+    n = {t: a[f"{t}_count"] for t in TAGS}
+    called, answered = n["tool_call"] > 0, n["answer"] > 0
+    tests = [n[t] > 1 for t in TAGS]
+    tests += [n["think"] + n["tool_call"] + n["answer"] == 0, called & answered, ~called & ~answered, n["think"] == 0]
+    tests += [called & ~ok for ok in (a["call"]["json_valid"], a["call"]["arguments_valid"], a["name_known"])]
+    tests += [a["outside"], ~a["valid"], answered & ~policy_ok]
+    return F.coalesce(*[F.when(test, reason) for test, reason in zip(tests, REASONS)], F.lit(REASONS[-1]))
 
 
 def spaced_think(c: Column) -> Column:
