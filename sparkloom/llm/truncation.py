@@ -24,7 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import structure as S
@@ -216,6 +216,16 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     return rows.filter("kind = 't' and state = 'cut'").select("key", "pos").unionByName(opened).distinct()
 
 
+def has_letters(c: Column) -> Column:
+    """Whether a text isn't a bare value, so that its truths needn't be sent along."""
+    return c.rlike("\\p{L}")
+
+
+def may_be_open(c: Column) -> Column:
+    """Whether a text might end without a closing mark, so that its prompts must be sent along."""
+    return ~c.rlike("[.>]\\s*\\z")
+
+
 def copies(df: DataFrame, column: str) -> DataFrame:
     """Texts that only serve as copies."""
     return df.select(
@@ -233,10 +243,10 @@ def message_texts(conversations: DataFrame, tasks: DataFrame | None = None) -> D
         base = base.withColumn("instruction", F.lit(None).cast("string"))
     user = F.get(F.filter("messages", lambda x: x["role"] == "user"), F.lit(0))["content"]
     m = base.select(F.col("idx").cast("string").alias("key"), "stepwise_ground_truths", F.array("instruction", user).alias("prompts"), F.posexplode("messages").alias("pos", "m"))
-    role = F.coalesce("m.role", F.lit(""))
+    role, content = F.coalesce("m.role", F.lit("")), F.col("m.content")
     texts = m.select(
-        "key", "pos", F.col("m.content").alias("text"), (role != "user").alias("formal"), F.when(role.isin("tool", "assistant"), F.col("stepwise_ground_truths")).alias("truths"),
-        F.lit(True).alias("asked"), F.when(role == "assistant", F.col("prompts")).alias("prompts"),
+        "key", "pos", F.col("m.content").alias("text"), (role != "user").alias("formal"), F.when(role.isin("tool", "assistant") & ~has_letters(content), F.col("stepwise_ground_truths")).alias("truths"),
+        F.lit(True).alias("asked"), F.when((role == "assistant") & may_be_open(content), F.col("prompts")).alias("prompts"),
     ).filter("text is not null")
     if tasks is not None:
         texts = texts.unionByName(copies(tasks.select("instruction"), "instruction"))
