@@ -40,6 +40,8 @@ MAX_HAMMING = 110
 MAX_WORD = 25
 #: Labelled classes of one table entry that meet the others of that entry at once.
 CROWD = 2000
+#: Table rows of a ring, of 20 bytes each, that are sent to the others' tasks; more are shuffled.
+BROADCAST_ROWS = 500_000
 
 # The grammar of residue. Texts are matched after plain(). Each rule follows strings of which a text
 # must hold one for the rule to be tried; they only save time.
@@ -309,12 +311,15 @@ def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str
     ring = reached
     while True:
         start = table_rows(classes.join(ring, "cid", "left_semi"), "a")
-        most = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+        counted = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        most = counted["most"] or 0
+        if (counted["all"] or 0) <= BROADCAST_ROWS:
+            start = F.broadcast(start)
         ring = None
         done, share = 0.0, 1.0 if most <= crowd else crowd / most
         while done < 1.0:  # shares of the ring by a hash of the class
             place = F.shiftrightunsigned(F.xxhash64(F.lit(7), "cid_a"), 11) / float(1 << 53)
-            new = labelled_by(start if share >= 1.0 else start.filter((place >= done) & (place < done + share)), reached)
+            new = labelled_by(start if share >= 1.0 else start.filter((place >= done) & (place < done + share)), reached)  # a hint stays below a filter
             done, share = done + share, min(2 * share, 1.0)
             if not new.isEmpty():
                 reached = cut_lineage(reached.unionByName(new))
