@@ -6,7 +6,6 @@ Query names begin with the operator's id in the survey. Every query runs over it
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -339,7 +338,7 @@ def k1(s: SparkSession, d: str) -> DataFrame:
     from sparkloom.sources.io import write_splits
 
     ensure_checkpoint_dir(s)
-    path = os.path.join(s.sparkContext.getCheckpointDir() or tempfile.gettempdir(), f"splits-{uuid.uuid4().hex}")
+    path = os.path.join(s.sparkContext.getCheckpointDir(), f"splits-{uuid.uuid4().hex}")
     write_splits(table(s, d, "questions").select("question_id", "split").filter("split is not null"), path)
     return s.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 

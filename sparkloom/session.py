@@ -30,7 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application.
+
+    The archive is made on the driver and served to the executors by Spark; none of them reads the driver's folder.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_sparkloom_shipped", False):
         return
