@@ -90,6 +90,9 @@ def is_closed(text: str) -> bool:
     return bare[-1] in ENDS or unicodedata.category(bare[-1]) in ("So", "Sk") or bare[-1] == "‍"
 
 
+#: A plain number, or a whole matrix: most values need no more than this look.
+SCALAR = re.compile(r"\s*-?\d+(?:\.\d+)?\s*")
+WHOLE_MATRIX = re.compile(r"\s*\[\s*\[[^\[\]]*\](?:\s*,\s*\[[^\[\]]*\])*\s*\]\s*")
 LETTER = re.compile(r"[^\W\d_]")
 
 

@@ -88,7 +88,13 @@ def ends_like(text: str, prompts: list[str]) -> bool:
 
 def judge(text: str | None, formal: bool, truths: list[str], prompts: list[str] = []) -> tuple[str, list[str], list[tuple[str, bool]]]:
     """cut, whole, or open (trail: before dots) with the fragments to look up; and the masked sentences for the corpus."""
-    if not text or not (t := S.plain(text)):
+    if not text:
+        return "whole", [], []
+    if S.SCALAR.fullmatch(text):
+        return ("cut" if truths and cut_value(text.strip(), truths) else "whole"), [], []
+    if S.WHOLE_MATRIX.fullmatch(text) and S.is_bare(text):
+        return "whole", [], []
+    if not (t := S.plain(text)):
         return "whole", [], []
     if t.endswith("�"):
         t = t.rstrip("�") + " �"
