@@ -5,8 +5,9 @@ last sentence has no closing mark, that fragment is looked up among all sentence
 with numbers, matrices and one-letter names masked: distinct strings are range-partitioned and
 sorted, where the longer copies of a fragment follow it directly, so one scan
 tells how often each fragment is a strict prefix of longer copies elsewhere. A fragment that is
-itself a usual ending (it ends texts at least as often as it is continued) isn't cut. Formal texts must
-also end like their copies do: a sentence closed everywhere else but here was cut before its mark.
+itself a usual ending (it ends more texts than continue it) isn't cut. Formal texts must
+also end like their copies do: a sentence that most formal texts close was cut before its mark where it
+is open. Equal texts count once, so a hot text that is cut again and again doesn't outvote its whole copies.
 Values are compared with the true values that the same row states.
 
 Sorting distinct strings keeps hot texts (one system prompt in a third of the rows) from a single
@@ -20,10 +21,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from sparkloom.session import cut_lineage, partitions_for
 
 #: A text of fewer characters without closing mark counts as informal.
 SHORT = 12
-#: How often an open sentence must end a text to be a usual ending.
-USUAL = 10
+#: How a text holds a sentence, as bits: closed and open ones of formal texts, and of informal ones.
+CLOSED, OPEN, INFORMAL_CLOSED, INFORMAL_OPEN = 1, 2, 4, 8
 
 
 def stated_values(text: str | None) -> list[str]:
@@ -120,32 +121,38 @@ def judge(text: str | None, formal: bool, truths: list[str], prompts: list[str]
     return "trail" if trailed else "open", list(dict.fromkeys((S.mask(bare), S.mask(bare, last=False)))), known
 
 
-ROWS = "kind string, key string, pos int, state string, frag string, n_closed bigint, n_open bigint, n_informal bigint"
+ROWS = "kind string, key string, pos int, state string, frag string, text_id bigint, held int, formal boolean"
 
 
 def _parse(texts: DataFrame) -> DataFrame:
-    """Judged texts (kind t) and the corpus' masked sentences with their counts per batch (kind s)."""
+    """Judged texts (kind t) and the corpus' masked sentences with the texts that hold them (kind s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            closed: Counter[str] = Counter()
-            opened: Counter[str] = Counter()
-            informal: Counter[str] = Counter()
+            held: dict[tuple[str, int], int] = {}
             for key, pos, text, formal, truths, asked, prompts in S.rows(b):
                 state, frags, known = judge(text, formal, stated_values(truths) if truths and text and len(text) < 4000 and S.is_bare(text) else [], prompts or [])
-                for s, c in known:
-                    (closed if c else opened)[s] += 1
-                    informal[s] += not formal
+                if known:
+                    text_id = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                    for s, c in known:
+                        held[s, text_id] = held.get((s, text_id), 0) | ((CLOSED if c else OPEN) if formal else (INFORMAL_CLOSED if c else INFORMAL_OPEN))
                 if asked:
-                    out += [("t", key, pos, state, f, None, None, None if formal else 1) for f in (frags or [None])]
-            out += [("s", None, None, None, s, closed[s], opened[s], informal[s]) for s in closed.keys() | opened.keys()]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["kind", "key", "pos", "state", "frag", "n_closed", "n_open", "n_informal"])
+                    out += [("t", key, pos, state, f, None, None, formal) for f in (frags or [None])]
+            out += [("s", None, None, None, s, text_id, how, None) for (s, text_id), how in held.items()]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["kind", "key", "pos", "state", "frag", "text_id", "held", "formal"])
 
     return texts.select("key", "pos", "text", "formal", "truths", "asked", "prompts").mapInArrow(run, ROWS)
 
 
+def sentence_counts(rows: DataFrame) -> DataFrame:
+    """frag, and of how many distinct texts it is a closed or open sentence: n_closed, n_open; of formal ones: n_formal_closed, n_formal_open."""
+    held = rows.filter("kind = 's'").groupBy("frag", "text_id").agg(F.bit_or("held").alias("held"))
+    n = lambda bits, name: F.count(F.when(F.col("held").bitwiseAND(F.lit(bits)) != 0, 1)).alias(name)
+    return held.groupBy("frag").agg(n(CLOSED | INFORMAL_CLOSED, "n_closed"), n(OPEN | INFORMAL_OPEN, "n_open"), n(CLOSED, "n_formal_closed"), n(OPEN, "n_formal_open"))
+
+
 def longer_copies(strings: DataFrame) -> DataFrame:
     """frag, n_longer of every string that is a strict prefix of others: how often those occur together.
 
@@ -208,15 +215,15 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     prompts array<string> (texts that it may give back whole, or null).
     """
     rows = cut_lineage(_parse(texts))
-    sentences = rows.filter("kind = 's'").groupBy("frag").agg(F.sum("n_closed").alias("n_closed"), F.sum("n_open").alias("n_open"), F.sum("n_informal").alias("n_informal"))
-    asked = rows.filter("kind = 't' and state in ('open', 'trail')").select("key", "pos", "frag", (F.col("n_informal").isNull() & (F.col("state") == "open")).alias("closes"))
+    sentences = sentence_counts(rows)
+    asked = rows.filter("kind = 't' and state in ('open', 'trail')").select("key", "pos", "frag", (F.col("formal") & (F.col("state") == "open")).alias("closes"))
     frags = asked.select("frag").distinct()
     strings = sentences.select("frag", (F.col("n_closed") + F.col("n_open")).alias("n")).unionByName(frags.join(sentences, "frag", "left_anti").withColumn("n", F.lit(0).cast("bigint")))
     longer = longer_copies(strings)
     known = frags.join(sentences, "frag", "left").join(longer, "frag", "left")
-    usual = (F.coalesce("n_open", F.lit(0)) >= USUAL) & (F.col("n_open") >= F.col("n_longer"))
-    continued = F.col("n_longer").isNotNull() & ~usual
-    unmarked = (F.coalesce("n_closed", F.lit(0)) >= 1) & (F.coalesce("n_closed", F.lit(0)) >= F.coalesce("n_open", F.lit(0))) & (F.coalesce("n_informal", F.lit(0)) == 0)
+    count = lambda c: F.coalesce(c, F.lit(0))
+    continued = F.col("n_longer").isNotNull() & (count("n_open") <= F.col("n_longer"))
+    unmarked = (count("n_formal_closed") >= 1) & (count("n_formal_closed") >= count("n_formal_open"))
     verdict = known.select("frag", continued.alias("continued"), unmarked.alias("unmarked")).filter("continued or unmarked")
     opened = asked.join(verdict, "frag").filter("continued or (unmarked and closes)").select("key", "pos")
     return rows.filter("kind = 't' and state = 'cut'").select("key", "pos").unionByName(opened).distinct()

@@ -51,6 +51,28 @@ def test_cut_dots(spark):
     assert {tuple(r) for r in truncation.found(chat(spark, rows)).collect()} == {(3, 0)}
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_usual_endings_by_shares(spark, times):
+    """An ending of eight texts that one continues is usual, however large the table is; one that is mostly continued is cut."""
+    rows = [(i, 1, [("assistant", f"Row {i} was read. so the rank of it stays")], None) for i in range(8 * times)]
+    rows += [(1000 + i, 1, [("assistant", f"Row {i} was read. so the rank of it stays as it was.")], None) for i in range(times)]
+    rows += [(2000 + i, 1, [("assistant", f"Row {i} was read. then the trace of it was")], None) for i in range(3 * times)]
+    rows += [(3000 + i, 1, [("assistant", f"Row {i} was read. then the trace of it was added.")], None) for i in range(5 * times)]
+    assert {r["idx"] for r in truncation.found(chat(spark, rows)).collect()} == set(range(2000, 2000 + 3 * times))
+
+
+def test_hot_cut_texts_do_not_outvote_their_copies(spark):
+    whole = "The sign pattern was checked before. then every product was added to the sum."
+    rows = [(i, 1, [("assistant", whole[:60])], None) for i in range(40)] + [(100 + i, 1, [("assistant", whole)], None) for i in range(3)]
+    assert {r["idx"] for r in truncation.found(chat(spark, rows)).collect()} == set(range(40))
+
+
+def test_formal_texts_end_like_formal_copies(spark):
+    """A user message with the same sentence doesn't matter."""
+    rows = [(1, 1, [("assistant", "Terms were added. So every sign is kept.")], None), (2, 1, [("assistant", "Rows were read. So every sign is kept")], None), (3, 1, [("user", "So every sign is kept")], None)]
+    assert {tuple(r) for r in truncation.found(chat(spark, rows)).collect()} == {(2, 0)}
+
+
 @pytest.mark.parametrize("parts", [1, 4, 40])
 def test_longer_copies_equal_brute_force(spark, parts):
     import random
