@@ -103,7 +103,8 @@ FILLER = (
 )
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 MASH = frozenset("asdf asdfasdf qwer qwerty asdfg jkl hjkl blah bla foo bar baz qux xxx xxxx xyzzy sdfg fghj zxcv test".split())
-MASH_MARKS = ("asdf", "qwer", "jkl", "blah", "foo", "baz", "xxx", "zxcv", "sdfg", "fghj")
+#: Neighbouring words of these lists that are filler.
+RUN = 4
 STATUS = r"(?:not found|forbidden|unauthorized|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|too many requests|request time-?out|moved permanently|method not allowed|gone)"
 ERRORS = (
     ("<title|<h1|<html", rf"<(?:title|h1)>\s*[45]\d\d\b[^<]*</(?:title|h1)>|<html>.*?[45]\d\d {STATUS}.*?</html>"),
@@ -193,10 +194,11 @@ def residue_spans(text: str) -> list[tuple[int, int]]:
     for needs, rule in RULES:
         if any(n in text for n in needs):
             out += [m.span() for m in rule.finditer(text) if m.end() > m.start()]
-    if "lorem" in text or "ipsum" in text or "dolor" in text:
-        out += runs(text, LOREM, 4)
-    return out + (runs(text, MASH, 4) if any(w in text for w in MASH_MARKS) else [])
-
+    words = re.findall(r"[^\W_]+", text)
+    for known in (LOREM, MASH):
+        if sum(map(known.__contains__, words)) >= RUN:  # met by every text with a run
+            out += runs(text, known, RUN)
+    return out
 
 
 def coverage(text: str, spans: list[tuple[int, int]]) -> float:

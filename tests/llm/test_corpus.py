@@ -98,6 +98,13 @@ def test_residue_grammar(spark):
     assert residue.found(docs(spark, [])).count() == 0
 
 
+def test_filler_without_common_marks(spark):
+    """Runs of any words of the filler lists, not only of the frequent ones."""
+    filler = ["bla bla bla bla", "test test test test", "Ut enim ad minim veniam quis nostrud exercitation ullamco laboris.", "bar qux xyzzy bar"]
+    rows = [(i, t, None) for i, t in enumerate(filler)] + [(100, "A test of the bar, a test of foo, and a test.", None), (101, "In est one, ad two, et three, ex four.", None)]
+    assert {r["doc_id"] for r in residue.found(docs(spark, rows)).collect()} == set(range(len(filler)))
+
+
 def test_labels_reach_near_duplicates_in_rings(spark):
     """A chain of texts, each near the next; only the first shows a mark of residue."""
     name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
