@@ -4,15 +4,16 @@ A grammar of residue labels spans of a text: unfilled slots in any common bracke
 errors a reader got instead of the page, and demands for scripts, cookies or another browser, in
 several languages. Slots that a sentence merely speaks about (quoted as code, or named by a verb
 such as "replaces" or "reads") are left out. A text whose residue covers at least half of it is a
-trusted example; trusted labels are spread to near-duplicates: SimHash sketches of the texts' word
-shingles are cut into partitioned tables, texts that share a table entry are compared by Hamming
-distance and then by the Jaccard similarity of their shingles, and the label follows the links
-through the connected component, one ring of neighbours at a time, until a ring is empty. Texts
+trusted example; trusted labels are spread to near-duplicates: each text's word shingles are put in
+one order for all texts, rare ones first, of which two similar texts share one among the first few;
+texts that do are compared by the Jaccard similarity of their shingles, and the label follows the links
+through the connected component, one ring of neighbours at a time, until a ring is empty. No link
+between texts of any length is missed. Texts
 that are only partly residue are found by the grammar but don't spread their label, as their
 near-duplicates may be the same text without the residue.
 
 Texts equal up to digits, case and white space are one class, compared once. Nothing but the number
-of texts in a ring reaches the driver.
+of texts in a ring, and the most frequent shingles of a sample of fixed size, reaches the driver.
 
 Defined cases: null, empty and blank texts are no cases and have no neighbours; repeated texts share
 their label; a text of fewer words than a shingle is one shingle; extra columns are not read.
@@ -33,14 +34,16 @@ from pyspark.sql import functions as F
 from sparkloom.session import cut_lineage
 
 SHINGLE, SIMILAR, TRUSTED = 5, 0.8, 0.5
-WORDS64, TABLE_BITS = 8, 16  # sketch of 512 bits, 32 tables
+#: SIMILAR in thousandths, for exact comparisons.
+PERMILLE = round(SIMILAR * 1000)
+#: Texts whose shingles are counted, and most shingles kept of them. Any order finds all links; counts make it cheap.
+SAMPLED, FREQUENT = 10_000, 50_000
+WORDS64 = 8  # sketch of 512 bits
 #: Hamming distance of the sketches of two texts of similarity 0.8: 77 expected, 8 standard deviation.
 MAX_HAMMING = 110
-#: The same for one word of 64 bits: 10 expected, 3 standard deviation; a first test that spares most other pairs.
-MAX_WORD = 25
 #: Labelled classes of one table entry that meet the others of that entry at once.
 CROWD = 2000
-#: Table rows of a ring, of 20 bytes each, that are sent to the others' tasks; more are shuffled.
+#: Table rows of a ring, of 24 bytes each, that are sent to the others' tasks; more are shuffled.
 BROADCAST_ROWS = 500_000
 
 # The grammar of residue. Texts are matched after plain(). Each rule follows strings of which a text
@@ -228,7 +231,7 @@ SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i
 
 
 def sketch(hashes: np.ndarray) -> list[int]:
-    """SimHash of a set of shingles: each bit by majority."""
+    """SimHash of a set of shingles: each bit by majority. A measure beside the operator, which compares shingles exactly."""
     votes, n = np.zeros(WORDS64 * 64, np.int64), len(hashes)
     for at in range(0, n, 4096):
         with np.errstate(over="ignore"):
@@ -243,8 +246,40 @@ def class_id(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def least(n: int) -> int:
+    """How many of n shingles a text must share at least with one that is similar."""
+    return -(-PERMILLE * n // 1000)
+
+
+def leading(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order by count and hash: as many as can't all be missing in a similar text. ``frequent`` is sorted."""
+    count = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        count = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, count))][: len(hashes) - least(len(hashes)) + 1]
+
+
+def frequent_shingles(documents: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample by a hash of the ids, sorted, and their counts."""
+    every = max(1, documents.count() // SAMPLED)
+    sample = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null").filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(every)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingles(key) for t in b.column(0) if (key := masked(plain(t.as_py())))]
+            grams, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    counted = sample.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
+    grams, counts = np.array([r["gram"] for r in counted], np.int64).view(np.uint64), np.array([r["n"] for r in counted], np.int64)
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
 def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, cid (class), is_residue, trusted, sketch of every text that is not blank."""
+    """doc_id, cid (class), is_residue, trusted, n_grams, grams (the leading ones) of every text that is not blank."""
+    frequent, counts = frequent_shingles(documents, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,13 +289,14 @@ def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 key = masked(text)
                 if key:
                     spans = residue_spans(text)
-                    rows.append((i, class_id(key), bool(spans), bool(spans) and coverage(text, spans) >= TRUSTED, sketch(shingles(key))))
-            columns = zip(*rows) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "cid", "is_residue", "trusted", "sketch"])
+                    hashes = shingles(key)
+                    rows.append((i, class_id(key), bool(spans), bool(spans) and coverage(text, spans) >= TRUSTED, len(hashes), leading(hashes, frequent, counts).view(np.int64)))
+            columns = zip(*rows) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "cid", "is_residue", "trusted", "n_grams", "grams"])
 
     return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(
-        run, "doc_id bigint, cid bigint, is_residue boolean, trusted boolean, sketch array<bigint>"
+        run, "doc_id bigint, cid bigint, is_residue boolean, trusted boolean, n_grams int, grams array<bigint>"
     )
 
 
@@ -273,22 +309,22 @@ def alike(pairs: DataFrame) -> DataFrame:
             for x, y in zip(b.column(1), b.column(2)):
                 s, t = (shingles(masked(plain(v.as_py()))) for v in (x, y))
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both >= SIMILAR * (len(s) + len(t) - both))
+                keep.append(both >= least(len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["cid"])
 
     return pairs.select("cid_b", "text_a", "text_b").mapInArrow(run, "cid bigint")
 
 
 def table_rows(classes: DataFrame, side: str) -> DataFrame:
-    """A row for each table of each class: its key (number and bits of the table), and one word of the sketch beside those bits."""
-    per, last = 64 // TABLE_BITS, (1 << TABLE_BITS) - 1
-    entry = f"transform(sequence(0, {WORDS64 * per - 1}), i -> struct(cast(shiftleft(i, {TABLE_BITS}) + (shiftrightunsigned(sketch[i div {per}], cast((i % {per}) * {TABLE_BITS} as int)) & {last}) as int) as key, sketch[(i div {per} + 1) % {WORDS64}] as word))"  # noqa: E501
-    return classes.select(F.col("cid").alias(f"cid_{side}"), F.explode(F.expr(entry)).alias("e")).select("e.key", F.col("e.word").alias(f"word_{side}"), f"cid_{side}")
+    """A row for each leading shingle of each class: the shingle as key, and how many shingles the class has from there on and in all."""
+    rows = classes.select(F.col("cid").alias(f"cid_{side}"), F.col("n_grams").alias(f"n_{side}"), F.posexplode("grams").alias("at", "key"))
+    return rows.select("key", f"cid_{side}", f"n_{side}", (F.col(f"n_{side}") - F.col("at")).alias(f"left_{side}"))
 
 
 def met_in_tables(start: DataFrame, others: DataFrame) -> DataFrame:
-    """cid_a, cid_b of the classes that share a table entry and whose words of the sketch are close."""
-    return start.join(others, "key").filter(F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= MAX_WORD).select("cid_a", "cid_b").distinct()
+    """cid_a, cid_b of the classes that share a leading shingle. At the first one they share, enough others must be left on both sides."""
+    enough = F.least("left_a", "left_b").cast("bigint") * (1000 + PERMILLE) >= (F.col("n_a").cast("bigint") + F.col("n_b")) * PERMILLE
+    return start.join(others, "key").filter(enough).select("cid_a", "cid_b").distinct()
 
 
 def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str, crowd: int = CROWD) -> DataFrame:
@@ -299,14 +335,13 @@ def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str
     they meet the others in shares that double, and what one share labels is gone before the next:
     in a crowd of near-copies the first share leaves little; what isn't alike still meets everyone.
     """
-    classes = cut_lineage(examined.groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    known = lambda side: classes.select(F.col("cid").alias(f"cid_{side}"), F.col("rep").alias(f"rep_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    classes = cut_lineage(examined.groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.min("doc_id").alias("rep"), F.first("n_grams").alias("n_grams"), F.first("grams").alias("grams")))
+    known = lambda side: classes.select(F.col("cid").alias(f"cid_{side}"), F.col("rep").alias(f"rep_{side}"))
     text = lambda side: documents.select(F.col(id_col).cast("bigint").alias(f"rep_{side}"), F.col(text_col).alias(f"text_{side}"))
-    distance = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
     def labelled_by(start: DataFrame, reached: DataFrame) -> DataFrame:
         met = met_in_tables(start, table_rows(classes.join(reached, "cid", "left_anti"), "b"))
-        near = met.join(known("a"), "cid_a").join(known("b"), "cid_b").filter(distance <= MAX_HAMMING).select("rep_a", "cid_b", "rep_b")
+        near = met.join(known("a"), "cid_a").join(known("b"), "cid_b").select("rep_a", "cid_b", "rep_b")
         return cut_lineage(alike(near.join(text("a"), "rep_a").join(text("b"), "rep_b")).distinct())
 
     reached = classes.filter("trusted").select("cid")

@@ -4,6 +4,7 @@ import os
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,6 +138,34 @@ def test_crowds_give_the_same_labels(spark):
     assert plain == crowded == {*range(40), *range(100, 140)}
 
 
+@pytest.mark.parametrize("n", [8, 9, 14, 19, 29, 60, 300])
+def test_labels_reach_every_similar_text(spark, n):
+    """Texts without their end, at a similarity of just 0.8 or little more, of every length; and none below."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    rows, near = [], set()
+    for i in range(60):
+        words = ["{{topic}}"] + [word() for _ in range(n - 1)]
+        cut, short = (words[: 4 + -(-4 * (n - 4) // 5)], words[: 3 + -(-4 * (n - 4) // 5)])
+        rows += [(3 * i, " ".join(words), None), (3 * i + 1, " ".join(cut).replace("{{topic}}", "topic"), None), (3 * i + 2, " ".join(short).replace("{{topic}}", "topic"), None)]
+        near.add(3 * i + 1)
+    got = {r["doc_id"] for r in residue.labelled(docs(spark, [r for r in rows if r[0] % 3 != 2])).filter("by_spread").collect()}
+    assert got == near
+    alone = {r["doc_id"] for r in residue.labelled(docs(spark, [r for r in rows if r[0] % 3 != 1])).filter("by_spread").collect()}
+    assert alone == set()
+
+
+def test_leading_shingles_of_similar_sets_meet():
+    rng = random.Random(5)
+    frequent, counts = np.arange(0, 400, 7, dtype=np.uint64), np.arange(0, 400, 7, dtype=np.int64)[::-1]
+    for _ in range(2000):
+        a = set(rng.sample(range(400), rng.randint(1, 40)))
+        b = set(rng.sample(sorted(a), rng.randint(-(-len(a) * 4 // 5), len(a)))) | set(rng.sample(range(400), rng.randint(0, 4)))
+        if len(a & b) >= residue.SIMILAR * len(a | b):
+            x, y = (set(residue.leading(np.array(sorted(v), np.uint64), frequent, counts).tolist()) for v in (a, b))
+            assert x & y
+
+
 def test_sketch_distance_follows_similarity():
     rng = random.Random(0)
     base = [f"a{rng.randint(0, 10**9)}" for _ in range(200)]
