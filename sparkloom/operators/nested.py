@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+STEPS = "src string, record_id bigint, step_pos int, tool string, step_id string, result string, inputs map<string,string>, generator_type string, input string"
 LINKS = "src string, record_id bigint, step_pos int, tool string, parent_pos int"
 
 
@@ -130,19 +131,28 @@ def question_links(questions: DataFrame) -> DataFrame:
     return questions.select(F.col("question_id").cast("bigint").alias("record_id"), steps.alias("steps")).mapInArrow(native_links, LINKS)
 
 
+STRICT = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}
+
+
+def export_elements(read) -> Column:
+    """``read`` of each element of ``stepwise_ground_truths``, given as a map of its fields' texts."""
+    return F.transform(_json_list(F.col("stepwise_ground_truths"), STRICT), lambda e: F.transform(F.array(F.from_json(e, "map<string,string>", STRICT)), read)[0])
+
+
+def export_tools() -> Column:
+    """The tools that each element of ``stepwise_ground_truths`` names."""
+    return export_elements(lambda m: F.when(F.array_contains(F.map_keys(m), "tool"), F.array(F.element_at(m, "tool"))).otherwise(F.array_distinct(F.map_keys(m))))
+
+
+def export_edges() -> Column:
+    """``dependency_edges`` as structs of two places."""
+    edges = F.from_json("dependency_edges", "array<array<string>>", STRICT)
+    return F.transform(F.filter(edges, lambda e: F.size(e) == 2), lambda e: F.struct(e[0].try_cast("bigint").alias("src"), e[1].try_cast("bigint").alias("dst")))
+
+
 def export_links(base: DataFrame) -> DataFrame:
     """Steps of ``base_dataset.stepwise_ground_truths`` with the places their edges name."""
-    strict = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"}
-    elements = F.transform(
-        _json_list(F.col("stepwise_ground_truths"), strict),
-        lambda e: F.transform(
-            F.array(F.from_json(e, "map<string,string>", strict)),
-            lambda m: F.when(F.array_contains(F.map_keys(m), "tool"), F.array(F.element_at(m, "tool"))).otherwise(F.array_distinct(F.map_keys(m))),
-        )[0],
-    )
-    edges = F.from_json("dependency_edges", "array<array<string>>", strict)
-    pairs = F.transform(F.filter(edges, lambda e: F.size(e) == 2), lambda e: F.struct(e[0].try_cast("bigint").alias("src"), e[1].try_cast("bigint").alias("dst")))
-    return base.select(F.col("base_id").cast("bigint").alias("record_id"), elements.alias("elements"), pairs.alias("edges")).mapInArrow(parsed_links, LINKS)
+    return base.select(F.col("base_id").cast("bigint").alias("record_id"), export_tools().alias("elements"), export_edges().alias("edges")).mapInArrow(parsed_links, LINKS)
 
 
 def flatten_links(questions: DataFrame, base: DataFrame) -> DataFrame:
@@ -155,3 +165,64 @@ def record_table(links: DataFrame) -> DataFrame:
     return links.groupBy("src", "record_id").agg(
         F.count_distinct("step_pos", "tool").alias("n_steps"), F.sum((F.col("parent_pos") >= 0).cast("bigint")).alias("n_links")
     )
+
+
+def native_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kernel over native nested steps: columns record_id, steps array<struct of the fields of a step>."""
+    for b in batches:
+        ids, steps = b.column(0), b.column(1)
+        rec, pos, at = children(steps)
+        values = values_of(steps).take(pa.array(at))
+        held = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+        fields = [pc.struct_field(values, [i]).take(pa.array(held)) for i in range(6)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(held), "questions", object), pa.string()), ids.take(pa.array(rec[held])), pa.array(pos[held].astype(np.int32)), *fields],
+            names=["src", "record_id", "step_pos", "tool", "step_id", "result", "inputs", "generator_type", "input"],
+        )
+
+
+def question_steps(questions: DataFrame) -> DataFrame:
+    """The steps of ``questions.stepwise`` with their optional fields."""
+    v = lambda s, name: s["verification"][name].alias(name)
+    steps = F.transform("stepwise", lambda s: F.when(s.isNotNull(), F.struct(s["tool"].alias("tool"), s["step_id"].alias("step_id"), s["result"].alias("result"), v(s, "inputs"), v(s, "generator_type"), v(s, "input"))))
+    return questions.select(F.col("question_id").cast("bigint").alias("record_id"), steps.alias("steps")).mapInArrow(native_steps, STEPS)
+
+
+def export_steps(base: DataFrame) -> DataFrame:
+    """The steps of ``base_dataset.stepwise_ground_truths``; an element that names no tool holds results by tool."""
+
+    def read(m: Column) -> Column:
+        field = lambda name: F.try_element_at(m, F.lit(name))
+        named = F.array(F.struct(field("tool").alias("tool"), field("step_id").alias("step_id"), field("result").alias("result")))
+        by_tool = F.transform(F.array_distinct(F.map_keys(m)), lambda k: F.struct(k.alias("tool"), F.lit(None).cast("string").alias("step_id"), F.try_element_at(m, k).alias("result")))
+        return F.when(F.array_contains(F.map_keys(m), "tool"), named).otherwise(by_tool)
+
+    rows = base.select(F.col("base_id").cast("bigint").alias("record_id"), F.posexplode(export_elements(read)).alias("step_pos", "steps")).select("record_id", "step_pos", F.explode("steps").alias("s"))
+    none = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    return rows.select(F.lit("base_dataset").alias("src"), "record_id", "step_pos", "s.tool", "s.step_id", "s.result", none("inputs", "map<string,string>"), none("generator_type"), none("input"))
+
+
+def flatten_steps(questions: DataFrame, base: DataFrame) -> DataFrame:
+    """Both sources as one step table: one row for each step, also for one without a tool."""
+    return question_steps(questions).unionByName(export_steps(base))
+
+
+def all_records(questions: DataFrame, base: DataFrame) -> DataFrame:
+    """Parent table with a row for each input row, also for one without any step: its numbers of steps and links, and its final answer."""
+    total = lambda sizes: F.coalesce(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(x.cast("bigint"), F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"))
+    there = lambda of, at: (at >= 0) & (at < F.size(of))
+    steps = F.col("stepwise")
+    parents = lambda s: F.filter(F.array_distinct(F.filter(F.map_values(s["verification"]["dependent_on"]), lambda v: there(steps, v))), lambda v: F.get(steps, v).isNotNull())
+    q = questions.select(
+        F.lit("questions").alias("src"), F.col("question_id").cast("bigint").alias("record_id"), total(F.transform(steps, lambda s: s.isNotNull().cast("int"))).alias("n_steps"),
+        total(F.transform(steps, lambda s: F.when(s.isNotNull(), F.size(parents(s))))).alias("n_links"), F.col("golden.final_answer").alias("final_answer"), F.col("golden.from_step_id").alias("from_step_id"),
+    )
+    els = F.col("elements")
+    n_tools = lambda at: F.coalesce(F.size(F.get(els, at.cast("int"))), F.lit(0))
+    inside = F.array_distinct(F.filter("edges", lambda e: there(els, e["src"]) & there(els, e["dst"])))
+    parsed = base.select(F.col("base_id").cast("bigint").alias("record_id"), "ground_truth", export_tools().alias("elements"), export_edges().alias("edges"))
+    b = parsed.select(
+        F.lit("base_dataset").alias("src"), "record_id", total(F.transform(els, lambda e: F.size(e))).alias("n_steps"),
+        total(F.transform(inside, lambda e: F.when(n_tools(e["src"]) > 0, n_tools(e["dst"])))).alias("n_links"), F.col("ground_truth").alias("final_answer"), F.lit(None).cast("string").alias("from_step_id"),
+    )
+    return q.unionByName(b)

@@ -72,6 +72,16 @@ def p4_records(s: SparkSession, d: str) -> DataFrame:
     return nested.record_table(nested.flatten_links(table(s, d, "questions"), table(s, d, "base_dataset")))
 
 
+@query("p4_all_records")
+def p4_all_records(s: SparkSession, d: str) -> DataFrame:
+    return nested.all_records(table(s, d, "questions"), table(s, d, "base_dataset"))
+
+
+@query("p4_steps")
+def p4_steps(s: SparkSession, d: str) -> DataFrame:
+    return nested.flatten_steps(table(s, d, "questions"), table(s, d, "base_dataset"))
+
+
 # Matrix functions --------------------------------------------------------------------------------
 
 MATRICES = """WITH t AS (SELECT question_id, problem_type, CAST(json_extract(stepwise[1].verification.input, '$.matrix') AS DOUBLE[][]) AS m FROM questions),

@@ -72,6 +72,25 @@ def test_links_of_empty_tables(spark):
     assert out.count() == 0 and out.columns == ["src", "record_id", "step_pos", "tool", "parent_pos"]
 
 
+def test_every_record_and_step(spark):
+    """Records without steps have a row, steps without a tool count, and the optional fields of steps are kept."""
+    full = ("a", "5", "s0", (None, {"m": "x"}, "gen", "[[1]]"))
+    q = questions(spark, Q_ROWS + [(8, [None, None]), (9, [full, step(None, {"m": 0})])]).withColumn("golden", F.expr("named_struct('final_answer', '7', 'from_step_id', 's0')"))
+    b_rows = B_ROWS + [(90, None, None), (91, "{broken", None), (92, "[]", None), (93, '[{"tool": "t", "result": 3, "step_id": "z"}, {"u": 4}]', "[[0, 1]]")]
+    b = base(spark, b_rows).withColumn("ground_truth", F.lit("g"))
+    records = nested.all_records(q, b).collect()
+    assert len(records) == len(Q_ROWS) + 2 + len(b_rows) and {r["final_answer"] for r in records} == {"7", "g"}
+    of = {(r["src"], r["record_id"]): (r["n_steps"], r["n_links"]) for r in records}
+    assert of["questions", 2] == of["questions", 3] == of["questions", 8] == of["base_dataset", 90] == of["base_dataset", 91] == of["base_dataset", 92] == (0, 0)
+    assert of["questions", 9] == (2, 1) and of["questions", 4] == (2, 0) and of["base_dataset", 93] == (2, 1)
+    steps, links = nested.flatten_steps(q, b).collect(), nested.flatten_links(q, b).collect()
+    key = lambda r: (r["src"], r["record_id"], r["step_pos"], r["tool"])
+    assert {key(r) for r in steps} == {key(r) for r in links} and sum(r["n_steps"] for r in records) == len(steps)
+    assert sum(r["n_links"] for r in records) == sum(r["parent_pos"] >= 0 for r in links)
+    assert [tuple(r)[3:] for r in steps if r["src"] == "questions" and r["record_id"] == 9] == [("a", "s0", "5", {"m": "x"}, "gen", "[[1]]"), (None, "0", "1", None, None, None)]
+    assert [tuple(r)[2:6] for r in steps if r["record_id"] == 93] == [(0, "t", "z", "3"), (1, "u", None, "4")]
+
+
 def test_links_of_random_records(spark):
     rng = random.Random(3)
     rows = []
