@@ -23,7 +23,7 @@ def cells(text: Column) -> Column:
 
 
 def is_scalar(text: Column) -> Column:
-    return F.coalesce(strip(text).rlike(LITERAL), F.lit(False))
+    return F.coalesce(F.translate(strip(text), "−", "-").rlike(LITERAL), F.lit(False))
 
 
 def equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:

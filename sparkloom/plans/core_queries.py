@@ -399,6 +399,12 @@ def x9(s: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", F.length(text.normalized(F.col("question"))).cast("bigint").alias("n"))
 
 
+@query("X9_normalized_all")
+def x9_all(s: SparkSession, d: str) -> DataFrame:
+    """Every question's normalised length (no SQL: DuckDB has no NFKC)."""
+    return table(s, d, "questions").select("question_id", F.length(text.normalized(F.col("question"))).cast("bigint").alias("n"))
+
+
 @query("X10_spaced_thoughts", f"{ASSISTANT} SELECT idx, pos, regexp_replace(regexp_replace(content, '<think>{_SPACE}*', '<think>\n', 'g'), '{_SPACE}*</think>', '\n</think>', 'g') AS content FROM a")
 def x10(s: SparkSession, d: str) -> DataFrame:
     return contents(s, d).select("idx", "pos", text.spaced_think(F.col("content")).alias("content"))
@@ -431,6 +437,12 @@ def x16(s: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", F.get(F.get(answers.cells(F.col("answer")), F.lit(0)), F.lit(0)).alias("value"))
 
 
+@query("X16_literals_all")
+def x16_all(s: SparkSession, d: str) -> DataFrame:
+    """The numbers of every answer, null where it is no literal."""
+    return table(s, d, "questions").select("question_id", answers.cells(F.col("answer")).alias("cells"))
+
+
 _VALUE = "TRY_CAST(replace({}, '−', '-') AS DOUBLE)"
 
 
@@ -440,6 +452,12 @@ def x17(s: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", answers.equal(F.col("answer"), F.col("golden.final_answer")).alias("same"))
 
 
+@query("X17_equal_all")
+def x17_all(s: SparkSession, d: str) -> DataFrame:
+    """Every answer against its final answer, whatever they are."""
+    return table(s, d, "questions").select("question_id", answers.equal(F.col("answer"), F.col("golden.final_answer")).alias("same"))
+
+
 @query("X19_hidden_thoughts", f"{ASSISTANT} SELECT idx, pos, regexp_replace(content, '(?s)<think>.*?</think>', '[$1]', 'g') AS content FROM a")
 def x19(s: SparkSession, d: str) -> DataFrame:
     return contents(s, d).select("idx", "pos", text.hidden_thoughts(F.col("content"), "[$1]").alias("content"))

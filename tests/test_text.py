@@ -72,3 +72,20 @@ def test_text_functions(spark, f, given, expected):
 
 def test_coprime_density(spark):
     assert spark.createDataFrame([(6,)], "n int").select(F.round(text.coprime_density(F.col("n")), 6)).first()[0] == round(0.5 * 2 / 3, 6)
+
+
+def test_answer_queries_run_on_every_row(spark, tmp_path):
+    """Matrices, prose, broken literals and letters that normalisation changes."""
+    from sparkloom.plans import core_queries
+
+    rows = [
+        (1, "½ ﬁt −1", "[[1, 2], [3, 4]]", ("[[1.0,2],[3,4]]",)), (2, "x²", "(1, 2)", ("[1, 2]",)), (3, "plain", "So the rank is 2.", ("2",)), (4, "é", "[[1, 2], [3", ("[[1, 2], [3, 4]]",)),
+        (5, None, None, ("2",)), (6, "a", "−2.5", ("-2.5",)), (7, "a", "[[2]]", ("2",)), (8, "a", "[1, x]", ("[1, x]",)), (9, "a", "[[1, 2]]", ("[[1, 3]]",)), (10, "a", "2", None),
+    ]
+    spark.createDataFrame(rows, "question_id bigint, question string, answer string, golden struct<final_answer:string>").write.parquet(f"{tmp_path}/questions.parquet")
+    got = {q: dict(tuple(r) for r in core_queries.queries()[q](spark, str(tmp_path)).collect()) for q in ("X9_normalized_all", "X16_literals_all", "X17_equal_all")}
+    assert all(set(g) == set(range(1, 11)) for g in got.values())
+    assert [got["X9_normalized_all"][i] for i in range(1, 6)] == [len("1⁄2 fit -1"), 2, 5, 1, None]
+    assert got["X16_literals_all"][1] == [[1.0, 2.0], [3.0, 4.0]] and got["X16_literals_all"][2] == [[1.0], [2.0]] and got["X16_literals_all"][6] == [[-2.5]]
+    assert all(got["X16_literals_all"][i] is None for i in (3, 4, 5))
+    assert {i for i, same in got["X17_equal_all"].items() if same} == {1, 2, 6}
