@@ -132,7 +132,7 @@ def _parse(texts: DataFrame) -> DataFrame:
             out: list[tuple] = []
             held: dict[tuple[str, int], int] = {}
             for key, pos, text, formal, truths, asked, prompts in S.rows(b):
-                state, frags, known = judge(text, formal, stated_values(truths) if truths and text and len(text) < 4000 and S.is_bare(text) else [], prompts or [])
+                state, frags, known = judge(text, formal, stated_values(truths) if truths and text and S.is_bare(text) else [], prompts or [])
                 if known:
                     text_id = xxhash.xxh3_64_intdigest(text) - (1 << 63)
                     for s, c in known:

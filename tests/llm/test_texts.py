@@ -46,6 +46,13 @@ def test_cut_cases(spark):
     assert got == {(1, 2), (1, 3), (1, 4), (1, 5)}
 
 
+def test_long_bare_values_are_compared(spark):
+    """A value of any length that is the start of the stated one was cut."""
+    value = "; ".join(str(1000 + i) for i in range(1500))
+    rows = [(i, 1, [("tool", value[:n])], '[{"values": "%s"}]' % value) for i, n in enumerate((100, 3998, 6004, len(value)))]
+    assert {r["idx"] for r in truncation.found(chat(spark, rows)).collect()} == {0, 1, 2}
+
+
 def test_cut_dots(spark):
     rows = [(1, 1, [("assistant", "Hmm, one thing at a time…")], None), (2, 1, [("assistant", "The tool may complain about this input.")], None), (3, 1, [("assistant", "Hmm, one thing at a time… The tool may compl…")], None)]
     assert {tuple(r) for r in truncation.found(chat(spark, rows)).collect()} == {(3, 0)}
