@@ -343,7 +343,7 @@ def found(questions: DataFrame, share: float = SHARE) -> DataFrame:
 
 def report(questions: DataFrame, share: float = SHARE) -> DataFrame:
     """Per evaluation split and source: rows, rows that overlap with training, and pairs, added up from group sizes."""
-    hit = Overlap(questions, share).overlapping().withColumnRenamed("row_id", "question_id")
+    hit = Overlap(questions, share).overlapping().groupBy(F.col("row_id").alias("question_id")).agg(F.max("n").alias("n"))  # an id may be repeated
     rows = questions.select("question_id", split_name(F.col("split")).alias("split"), "source").filter("split in ('validation', 'test')")
     return rows.join(hit, "question_id", "left").groupBy("split", "source").agg(
         F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_pairs")
