@@ -101,6 +101,6 @@ def test_hot_string_in_chunks(spark, monkeypatch):
 
 def test_records():
     a = overlap.read_record("Compute the rank of A, where A = [[1, 2], [2, 4.0]].", "Rank: 1.0")
-    assert a == ("1,2;2,4 / | / 1", "compute the rank of # where # | rank", 13)
+    assert a == ("1,2;2,4 / | / 1", "compute the rank of # where # | rank", 14)
     assert overlap.read_text("1 2; 3 4")[0] == overlap.read_text("[[1.0, 2], [3, 4]]")[0] != overlap.read_text("[[1, 2, 3, 4]]")[0]
     assert overlap.operations("find the rnak of the trasnpose with norm || # ||".split()) == "RTF"
