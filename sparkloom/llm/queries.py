@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "p7_mix": lambda s, d: mixture.Mixture(table(s, d, "documents"), table(s, d, "mix_targets")).rows(),
         "p7_shares": lambda s, d: mixture.Mixture(table(s, d, "documents"), table(s, d, "mix_targets")).shares(),
         "p8_found": lambda s, d: residue.found(table(s, d, "documents")),
+        "p8_report": lambda s, d: residue.report(table(s, d, "documents")),
         "p8_kept": lambda s, d: residue.exclude(table(s, d, "documents")).select("doc_id"),
     }
 

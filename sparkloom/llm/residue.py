@@ -1,22 +1,27 @@
 """Template residue, filler, error pages and script notices standing where content should be.
 
-A grammar of residue labels spans of a text: unfilled slots in any common bracket style, filler,
-errors a reader got instead of the page, and demands for scripts, cookies or another browser, in
-several languages. Slots that a sentence merely speaks about (quoted as code, or named by a verb
-such as "replaces" or "reads") are left out. A text whose residue covers at least half of it is a
-trusted example; trusted labels are spread to near-duplicates: each text's word shingles are put in
-one order for all texts, rare ones first, of which two similar texts share one among the first few;
-texts that do are compared by the Jaccard similarity of their shingles, and the label follows the links
-through the connected component, one ring of neighbours at a time, until a ring is empty. No link
-between texts of any length is missed. Texts
-that are only partly residue are found by the grammar but don't spread their label, as their
-near-duplicates may be the same text without the residue.
-
-Texts equal up to digits, case and white space are one class, compared once. Nothing but the number
-of texts in a ring, and the most frequent shingles of a sample of fixed size, reaches the driver.
+Texts are taken apart into passages: sentences and lines, numbers and ids masked, unfilled slots
+masked by one mark. Equal passages are one class. A small trusted seed comes from texts that are
+nothing but residue: at most ``SEED_PASSAGES`` passages, each of which a grammar of residue covers
+for the most part. The grammar sees no other text. Everything else is found by likeness: each class
+has a SimHash of its letter grams; the sketch is partitioned into ``BANDS`` tables; classes that
+share a table entry are compared by Hamming distance, then by the similarity of their grams; and the
+trusted labels follow the links through the connected components, one ring of neighbours at a time,
+until a ring is empty. A text that holds a labelled passage anywhere is a case.
+
+A passage may run into its neighbours without a mark between them, so parts of a sentence that
+begin or end at an inner capital, another script, a label or a list mark are passages, too, of up to
+``PART`` characters.
+
+Nothing but the size of a ring reaches the driver. A class needs only one link to be labelled, so
+where more than ``CROWD`` labelled classes share a table entry, they meet the others in shares that
+double, and what one share labels is gone before the next.
 
 Defined cases: null, empty and blank texts are no cases and have no neighbours; repeated texts share
-their label; a text of fewer words than a shingle is one shingle; extra columns are not read.
+their label and repeated ids give one row; an empty table gives an empty result; extra columns are
+not read. Links between
+passages neither of which is near any labelled one are never looked for. The tables meet a pair of
+similarity 0.8 with a probability of 0.97, one of 0.9 with 0.9998 (tests measure both).
 """
 
 from __future__ import annotations
@@ -28,23 +33,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import cut_lineage
-
-SHINGLE, SIMILAR, TRUSTED = 5, 0.8, 0.5
-#: SIMILAR in thousandths, for exact comparisons.
-PERMILLE = round(SIMILAR * 1000)
-#: Texts whose shingles are counted, and most shingles kept of them. Any order finds all links; counts make it cheap.
-SAMPLED, FREQUENT = 10_000, 50_000
-WORDS64 = 8  # sketch of 512 bits
-#: Hamming distance of the sketches of two texts of similarity 0.8: 77 expected, 8 standard deviation.
-MAX_HAMMING = 110
+from sparkloom.llm.structure import INVISIBLE
+from sparkloom.session import cut_lineage, partitions_for
+
+#: Similarity of the letter grams of two passages that are near-duplicates, in thousandths.
+PERMILLE = 800
+#: Letters of a gram, most passages of a trusted text, share of a trusted passage that the grammar must cover, most characters of a part.
+GRAM, SEED_PASSAGES, COVERED, PART = 4, 3, 0.8, 200
+#: The sketch has BANDS * 16 bits; each 16 bits are the entry of one table.
+LONGS = 12
+BANDS = LONGS * 4
+#: Hamming distance of the sketches of two passages of similarity 0.8: 116 expected, 10 standard deviation.
+MAX_HAMMING = 170
 #: Labelled classes of one table entry that meet the others of that entry at once.
-CROWD = 2000
+CROWD = 200
 #: Table rows of a ring, of 24 bytes each, that are sent to the others' tasks; more are shuffled.
 BROADCAST_ROWS = 500_000
+#: The mark of a slot in a masked passage.
+SLOT_MARK = "§"
 
 # The grammar of residue. Texts are matched after plain(). Each rule follows strings of which a text
 # must hold one for the rule to be tried; they only save time.
@@ -150,18 +159,66 @@ NOTICES = (
     ("script|js|cookie", rf"\b(?:attiva|abilita) {SCRIPTS}\b[^\n.]*"),
     ("<noscript>", r"<noscript>[^<]*</noscript>"),
 )
+#: Sentences that are residue wherever they stand, with {things}, {scripts}, {states} and {parts} to fill in: further trusted examples.
+THINGS = ("page", "site", "app", "lesson", "course", "exercise", "worksheet", "notebook", "viewer", "document", "content", "video", "sheet", "article", "application")
+SCRIPTED = ("javascript", "js", "scripts", "cookies", "cookies and javascript", "javascript and cookies", "cookies and scripts")
+STATES = ("not found", "forbidden", "unauthorized", "bad gateway", "bad request", "service unavailable", "internal server error", "gateway timeout", "gateway time-out", "too many requests", "request timeout", "method not allowed", "gone")
+PARTS = ("intro", "introduction", "summary", "solution", "proof", "example", "diagram", "description", "answer", "text", "title", "content", "heading", "paragraph", "conclusion", "section", "body")
+EXAMPLES = (
+    "please enable {scripts} to view this {things}", "please enable {scripts} to continue", "enable {scripts} and reload", "enable {scripts} and reload the page", "you need to enable {scripts} to run this {things}",
+    "you need to turn on {scripts} to run this {things}", "{scripts} must be allowed before the {things} can be shown", "{scripts} must be enabled to view this {things}", "{scripts} is required to view this {things}",
+    "{scripts} is disabled in your browser", "this {things} requires {scripts}", "this {things} needs {scripts}", "it seems to be disabled in your browser", "this {things} does not work without {scripts}",
+    "we're sorry but this {things} doesn't work without {scripts}", "<noscript>we're sorry but this {things} doesn't work without {scripts}.</noscript>", "<noscript>you need to enable {scripts} to run this {things}.</noscript>",
+    "your browser does not support the embedded player", "your browser does not support this video", "your browser is out of date and cannot display this {things}", "your browser is not supported",
+    "checking your browser before showing the {things}", "checking your browser before accessing the {things}", "verify that you are human to continue", "please verify you are a human", "prove you are not a robot",
+    "bitte aktivieren sie {scripts}, um die seite anzuzeigen", "bitte aktivieren sie {scripts}, um die aufgabe anzuzeigen", "bitte aktivieren sie {scripts}, um fortzufahren", "veuillez activer {scripts} pour afficher cette page", "veuillez activer {scripts} pour continuer",
+    "activa {scripts} en tu navegador para ver esta lección", "activa {scripts} en tu navegador para ver esta página", "habilita {scripts} para continuar", "attiva {scripts} nel tuo browser per vedere questa pagina",
+    "0 {states}", "error 0: {states}", "0 - {states}", "http/0 0 {states}", "<html><head><title>0 {states}</title></head><body><center><h0>0 {states}</h0></center></body></html>", '{"error": {"code": 0, "message": "{states}"}}',
+    '{"status": "error", "detail": "{states}", "request_id": "0"}', '{"status": 0, "error": "{states}"}', '{"error": "{states}"}', "the requested {things} could not be loaded", "the requested {things} could not be found",
+    "the page you were looking for does not exist", "the page you asked for has moved or no longer exists", "we can't find the page you are looking for", "this {things} is no longer available", "this {things} is not available in your region",
+    "fehler 0: die seite wurde nicht gefunden", "die seite wurde leider nicht gefunden", "der dienst ist derzeit nicht verfügbar", "erreur 0 : la page demandée est introuvable", "le service est momentanément indisponible",
+    "error 0: no se ha encontrado la página", "el servicio no está disponible en este momento", "errore 0: pagina non trovata", "too many requests", "slow down and try again in a minute", "rate limit exceeded, retry after 0 s",
+    "error establishing a database connection", "error establishing a connection to the database", "upstream request failed", "the connection has timed out", "something went wrong on our side", "sorry, something went wrong on our side",
+    "the server is temporarily unable to handle the request", "you don't have permission to view this {things}", "access denied", "you must be signed in to read this {things}", "please log in to continue", "your session has expired", "please log in again",
+    "you have reached the request limit", "please try again later", "traceback (most recent call last)", "sample text", "dummy text", "placeholder text", "filler text", "your text here", "text goes here", "your title here", "title goes here",
+    "sample paragraph", "example heading", "sample text sample text sample text", "your text here your text here your text here", "this is a default description", "this is a sample page", "this is a placeholder", "replace it with your own words", "replace this text with your own",
+    "click here to edit this paragraph and add your own content", "click here to add text", "untitled document", "type something to get started", "texte provisoire, à remplacer avant la publication", "texto de relleno, sustituir antes de publicar",
+    "dies ist ein blindtext", "er sagt nichts aus und füllt nur die fläche", "hier steht später der text der übung", "hier steht bald ein text", "testo segnaposto", "undefined undefined undefined", "null null null", "nan nan nan", "nan / nan", "undefined", "[object object]",
+    "[object object], [object object]", "#ref! #ref! #n/a", "#value!", "#div/0!", "todo: write {parts}", "todo: add {parts}", "todo {parts}", "fixme {parts} missing", "tbd - {parts} will be added later", "tbd", "{parts}: to be written", "{parts} to be added", "xxx {parts} xxx",
+    "[insert {parts}]", "(insert {parts})", "<insert {parts} here>", "[add {parts} here]", "(your {parts} here)", "this page is intentionally left blank", "coming soon", "this {things} has not been written yet", "this {things} is under construction",
+    "content will be available shortly", "content will be added soon", "check back later", "loading...", "loading", "please wait while the {things} starts", "please wait while the matrix viewer starts", "please wait",
+)
+FILLING = {"{things}": THINGS, "{scripts}": SCRIPTED, "{states}": STATES, "{parts}": PARTS}
 SLOT_RE = re.compile(SLOT)
 RULES = [(tuple(needs.split("|")), re.compile(rule, re.S if rule.startswith("<") else 0)) for needs, rule in (*FILLER, *ERRORS, *NOTICES)]
 BRACKETS = re.compile(r"[{}<>\[\]~@%_]")
+QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'))
+CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+BLANKS = re.compile(r"[^\S\n]+")
+SENTENCES = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+|\n+|<(?:user|model|tool|system|assistant)>", re.I)
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+HEX = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b")
+MEANT = re.compile(r"[^\W\d_]|[§#]")
+WORD = re.compile(r"[^\W_]+")
+DIGIT = re.compile(r"\d")
+#: Places within a sentence where another one may begin without a mark before it: a capital, a label or list mark, another script.
+BORDER = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-Þ][^\W\d_A-ZÀ-ÖØ-Þ])|(?<=\s)(?=\*\*)|(?<=[:)>|*§]\s)|(?<=\s)(?=(?:[^\w\s]+|\d+[.):]+)\s)|(?<=[\x00-\u024f]\s)(?=[^\x00-\u024f])|(?<=[^\x00-\u024f]\s)(?=[\x00-\u024f])")
+
+
+def readable(text: str) -> str:
+    """Compatibility form with no invisible characters, single blanks, plain quotes; line breaks and case stay."""
+    text = unicodedata.normalize("NFKC", text)
+    if not text.isascii():
+        text = INVISIBLE.sub("", text)
+        for mark, plain_mark in QUOTES:
+            text = text.replace(mark, plain_mark)
+    text = CONTROL.sub("", text.replace("\r\n", "\n"))
+    return BLANKS.sub(" ", text)
 
 
 def plain(text: str) -> str:
-    """Compatibility form in lower case, no invisible characters, single blanks, plain quotes; line breaks stay."""
-    text = unicodedata.normalize("NFKC", text)
-    if not text.isascii():
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
-    text = re.sub(r"[\x00-\x08\x0b-\x1f\x7f]", "", text.replace("\r\n", "\n").replace("’", "'").replace("‘", "'").replace("“", '"').replace("”", '"'))
-    return re.sub(r"[^\S\n]+", " ", text).casefold()
+    """readable() without case."""
+    return readable(text).casefold()
 
 
 def slots(text: str) -> list[tuple[int, int]]:
@@ -180,7 +237,7 @@ def slots(text: str) -> list[tuple[int, int]]:
 def runs(text: str, words: frozenset[str], least: int) -> list[tuple[int, int]]:
     """Spans of at least ``least`` neighbouring words of a list."""
     out, start, last, n = [], 0, 0, 0
-    for m in re.finditer(r"[^\W_]+", text):
+    for m in WORD.finditer(text):
         if m.group() in words:
             start, n = (m.start(), 1) if not n else (start, n + 1)
             last = m.end()
@@ -191,172 +248,232 @@ def runs(text: str, words: frozenset[str], least: int) -> list[tuple[int, int]]:
     return out + [(start, last)] * (n >= least)
 
 
-def residue_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of residue in a plain() text."""
-    out = slots(text) if BRACKETS.search(text) else []
-    for needs, rule in RULES:
-        if any(n in text for n in needs):
-            out += [m.span() for m in rule.finditer(text) if m.end() > m.start()]
-    words = re.findall(r"[^\W_]+", text)
-    for known in (LOREM, MASH):
-        if sum(map(known.__contains__, words)) >= RUN:  # met by every text with a run
-            out += runs(text, known, RUN)
+def examples() -> list[str]:
+    """EXAMPLES with everything filled in."""
+    out = []
+    for text in EXAMPLES:
+        filled = [text]
+        for name, values in FILLING.items():
+            filled = [f.replace(name, v) for f in filled for v in (values if name in f else ("",))]
+        out += filled
     return out
 
 
-def coverage(text: str, spans: list[tuple[int, int]]) -> float:
-    """Share of the text's sentences (by characters) that hold residue."""
-    held, total = 0, 0
-    for m in re.finditer(r"[^\n.!?]*[\n.!?]*", text):
-        if m.group().strip():
-            total += len(m.group())
-            held += any(a < m.end() and b > m.start() for a, b in spans) and len(m.group())
-    return held / total if total else 0.0
-
-
-def masked(text: str) -> str:
-    """What classes are made by: one spelling for all numbers and white space."""
-    return re.sub(r"\s+", " ", re.sub(r"\d+(?:\.\d+)?", "0", text)).strip()
-
-
-def shingles(text: str) -> np.ndarray:
-    """Distinct hashes of the runs of five words of a masked text."""
-    words = re.findall(r"\w+", text) or [text]
-    grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-    return np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64)
+def covered(text: str) -> bool:
+    """Whether the grammar covers each sentence of a text for the most part; ``text`` is plain() and masked, and a slot covers its sentence."""
+    spans = sorted(m.span() for needs, rule in RULES if any(n in text for n in needs) for m in rule.finditer(text))
+    at = 0
+    for end, following in [*(m.span() for m in SENTENCES.finditer(text)), (len(text), len(text))]:
+        if masked(text[at:end]) and SLOT_MARK not in text[at:end]:
+            held, upto = 0, at
+            for a, b in spans:
+                a, b = max(a, upto), min(b, end)
+                if b > a:
+                    held, upto = held + b - a, b
+            if held < COVERED * len(text[at:end].strip()):
+                return False
+        at = following
+    return True
+
+
+def with_slots_masked(text: str) -> str:
+    """A readable() text with a mark for each slot that stands for content, and for each run of filler words."""
+    low = text.casefold()
+    words = WORD.findall(low)
+    has_slots, fillers = BRACKETS.search(text), [known for known in (LOREM, MASH) if sum(map(known.__contains__, words)) >= RUN]  # met by every text with a run
+    if not has_slots and not fillers:
+        return text
+    if len(low) != len(text):  # some letters have no single lower one
+        text = low
+    out, upto = [], 0
+    for a, b in sorted((slots(low) if has_slots else []) + [span for known in fillers for span in runs(low, known, RUN)]):
+        if a >= upto:
+            out += [text[upto:a], f" {SLOT_MARK} "]
+            upto = b
+    return BLANKS.sub(" ", "".join((*out, text[upto:])))
+
+
+def masked(passage: str) -> str:
+    """What classes are made by: no case, one spelling for all numbers and ids, no marks at the ends; empty without letters or marks."""
+    if DIGIT.search(passage):
+        passage = NUMBER.sub("0", HEX.sub("0", passage))
+    out = passage.casefold().strip(" .!?,;:\"'…*_`|>-")
+    return out if MEANT.search(out) else ""
+
+
+def passages(text: str) -> tuple[list[str], set[str]]:
+    """The masked passages of a readable() text with its slots masked, and the parts of those that may hold several."""
+    whole, parts = [], set()
+    for sentence in SENTENCES.split(text):
+        if not (key := masked(sentence)):
+            continue
+        whole.append(key)
+        for m in BORDER.finditer(sentence):
+            i = m.start()
+            if i <= PART:
+                parts.add(sentence[:i])
+            if len(sentence) - i <= PART:
+                parts.add(sentence[i:])
+    return whole, {p for p in map(masked, parts) if p}
+
+
+def grams(passage: str, known: dict[str, list[int]]) -> set[int]:
+    """Hashes of the letter grams within the padded words of a passage; ``known`` keeps those of words met before."""
+    out: set[int] = set()
+    for w in passage.split():
+        held = known.get(w)
+        if held is None:
+            padded = f" {w} "
+            held = [xxhash.xxh3_64_intdigest(padded[i : i + GRAM]) for i in range(max(1, len(padded) - GRAM + 1))]
+            if len(known) > 100_000:
+                known.clear()
+            known[w] = held
+        out.update(held)
+    return out
 
 
 #: Odd multipliers that spread one hash to several.
-SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(WORDS64)], np.uint64)
-
+SPREAD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(LONGS)], np.uint64)
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """SimHash of a set of shingles: each bit by majority. A measure beside the operator, which compares shingles exactly."""
-    votes, n = np.zeros(WORDS64 * 64, np.int64), len(hashes)
-    for at in range(0, n, 4096):
-        with np.errstate(over="ignore"):
-            h = hashes[at : at + 4096, None] * SPREAD
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-        votes += np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > n).view(np.int64).tolist()
 
+class Sketcher:
+    """SimHash of passages: every bit by the majority of the grams of its distinct words. Votes of words met before are kept."""
 
-def class_id(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    def __init__(self, most: int = 50_000):
+        self.most, self.known, self.votes, self.place = most, {}, np.zeros((1024, LONGS * 64), np.int16), {}
 
+    def _word(self, w: str) -> int:
+        i = self.place.get(w)
+        if i is None:
+            i = self.place[w] = len(self.place)
+            if i >= len(self.votes):
+                self.votes = np.concatenate((self.votes, np.zeros_like(self.votes)))
+            hashes = np.array(sorted(grams(w, self.known)), np.uint64)
+            total = np.zeros(LONGS * 64, np.int64)
+            for at in range(0, len(hashes), 4096):  # a word may be very long
+                with np.errstate(over="ignore"):
+                    h = hashes[at : at + 4096, None] * SPREAD
+                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    h ^= h >> np.uint64(29)
+                total += 2 * np.unpackbits(np.ascontiguousarray(h).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) - len(h)
+            self.votes[i] = np.clip(total, -30_000, 30_000)
+        return i
 
-def least(n: int) -> int:
-    """How many of n shingles a text must share at least with one that is similar."""
-    return -(-PERMILLE * n // 1000)
+    def sketch(self, passage: str) -> np.ndarray:
+        if len(self.place) > self.most:
+            self.place.clear()
+        total, words = np.zeros(LONGS * 64, np.int64), sorted(set(passage.split()))
+        for at in range(0, len(words), 1024):
+            total += self.votes_of(words[at : at + 1024])
+        return np.packbits(total > 0).view(np.int64)
 
+    def votes_of(self, words: list[str]) -> np.ndarray:
+        places = [self._word(w) for w in words]
+        return self.votes[places].sum(axis=0, dtype=np.int64)
 
-def leading(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the order by count and hash: as many as can't all be missing in a similar text. ``frequent`` is sorted."""
-    count = np.zeros(len(hashes), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        count = np.where(frequent[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, count))][: len(hashes) - least(len(hashes)) + 1]
 
+def class_id(passage: str) -> int:
+    return xxhash.xxh3_64_intdigest(passage) - (1 << 63)
 
-def frequent_shingles(documents: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample by a hash of the ids, sorted, and their counts."""
-    every = max(1, documents.count() // SAMPLED)
-    sample = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("text is not null").filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(every)) == 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [shingles(key) for t in b.column(0) if (key := masked(plain(t.as_py())))]
-            grams, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
-
-    counted = sample.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
-    grams, counts = np.array([r["gram"] for r in counted], np.int64).view(np.uint64), np.array([r["n"] for r in counted], np.int64)
-    order = np.argsort(grams)
-    return grams[order], counts[order]
+def similar(a: set[int], b: set[int]) -> bool:
+    both = len(a & b)
+    return both * 1000 >= PERMILLE * (len(a) + len(b) - both)
 
 
 def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, cid (class), is_residue, trusted, n_grams, grams (the leading ones) of every text that is not blank."""
-    frequent, counts = frequent_shingles(documents, id_col, text_col)
+    """doc_id, cid, trusted of every passage of every text; passage: its string, with the first row of each class in a task's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for b in batches:
-            rows = []
+            out: list[tuple] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                text = plain(t.as_py() or "")
-                key = masked(text)
-                if key:
-                    spans = residue_spans(text)
-                    hashes = shingles(key)
-                    rows.append((i, class_id(key), bool(spans), bool(spans) and coverage(text, spans) >= TRUSTED, len(hashes), leading(hashes, frequent, counts).view(np.int64)))
-            columns = zip(*rows) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "cid", "is_residue", "trusted", "n_grams", "grams"])
-
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(
-        run, "doc_id bigint, cid bigint, is_residue boolean, trusted boolean, n_grams int, grams array<bigint>"
-    )
-
-
-def alike(pairs: DataFrame) -> DataFrame:
-    """The pairs of texts whose shingles are similar enough: cid_b of (cid_b, text_a, text_b)."""
+                text = readable(t.as_py() or "")
+                text = with_slots_masked(text)
+                whole, parts = passages(text)
+                seed = 0 < len(set(whole)) <= SEED_PASSAGES and covered(text.casefold())
+                for p in {*whole, *parts}:
+                    cid = class_id(p)
+                    trusted = seed and p in whole
+                    out.append((i, cid, trusted, None if cid in told else p))
+                    told.add(cid)
+                if len(told) > 1_000_000:
+                    told.clear()
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["doc_id", "cid", "trusted", "passage"])
+
+    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, passage string")
+
+
+def classes_of(examined: DataFrame) -> DataFrame:
+    """cid, trusted, n_grams, sketch, passage: one row a class, sketched once; the trusted examples are classes, too."""
+    spark = examined.sparkSession
+    given = spark.createDataFrame([(class_id(p), True, p) for p in sorted({masked(with_slots_masked(e)) for e in examples()})], "cid bigint, trusted boolean, passage string")
+    distinct = examined.select("cid", "trusted", "passage").unionByName(given).groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.max("passage").alias("passage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        sketcher = Sketcher()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(1), b.column(2)):
-                s, t = (shingles(masked(plain(v.as_py()))) for v in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both >= least(len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["cid"])
+            texts = b.column("passage").to_pylist()
+            flat = np.concatenate([sketcher.sketch(p) for p in texts]) if texts else np.empty(0, np.int64)
+            sketch = pa.FixedSizeListArray.from_arrays(pa.array(flat), LONGS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("trusted"), pa.array([len(grams(p, known)) for p in texts], pa.int32()), sketch, b.column("passage")], names=["cid", "trusted", "n_grams", "sketch", "passage"])
 
-    return pairs.select("cid_b", "text_a", "text_b").mapInArrow(run, "cid bigint")
+    # a fixed number of tasks, as a few bytes of text are much work
+    return distinct.repartition(partitions_for(spark), "cid").mapInArrow(run, "cid bigint, trusted boolean, n_grams int, sketch array<bigint>, passage string")
 
 
-def table_rows(classes: DataFrame, side: str) -> DataFrame:
-    """A row for each leading shingle of each class: the shingle as key, and how many shingles the class has from there on and in all."""
-    rows = classes.select(F.col("cid").alias(f"cid_{side}"), F.col("n_grams").alias(f"n_{side}"), F.posexplode("grams").alias("at", "key"))
-    return rows.select("key", f"cid_{side}", f"n_{side}", (F.col(f"n_{side}") - F.col("at")).alias(f"left_{side}"))
+def size_class(n: Column) -> Column:
+    """Sets of similarity 0.8 differ in size by a factor of 1.25 at most, so by one class at most."""
+    return F.least(1 + F.floor(F.log(n.cast("double")) / float(np.log(1000 / PERMILLE)) + 1e-9), F.lit(62)).cast("bigint")
 
 
-def met_in_tables(start: DataFrame, others: DataFrame) -> DataFrame:
-    """cid_a, cid_b of the classes that share a leading shingle. At the first one they share, enough others must be left on both sides."""
-    enough = F.least("left_a", "left_b").cast("bigint") * (1000 + PERMILLE) >= (F.col("n_a").cast("bigint") + F.col("n_b")) * PERMILLE
-    return start.join(others, "key").filter(enough).select("cid_a", "cid_b").distinct()
+def table_rows(classes: DataFrame, side: str, beside: bool) -> DataFrame:
+    """A row for each table: its number, the class' 16 bits and size as key; ``beside``: also under the neighbouring sizes."""
+    longs = classes.select(F.col("cid").alias(f"cid_{side}"), size_class(F.col("n_grams")).alias("size"), F.posexplode("sketch").alias("at", "bits"))
+    entry = lambda j: F.shiftleft(F.shiftrightunsigned("bits", 16 * j).bitwiseAND(F.lit(0xFFFF)) + F.shiftleft(F.col("at").cast("bigint") * 4 + j, 16), 6)
+    return longs.select(f"cid_{side}", F.explode(F.array(*[entry(j) + F.col("size") + d for j in range(4) for d in ((-1, 0, 1) if beside else (0,))])).alias("key"))
 
 
-def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str, crowd: int = CROWD) -> DataFrame:
-    """cid of every class that a trusted label reaches through links of near-duplicates.
+def alike(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid of the classes cid_b of ``met`` (cid_a, cid_b) that are near cid_a: by the Hamming distance of the sketches, then by the grams."""
+    named = lambda side: classes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("cid", "sketch", "passage")])
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    near = met.join(named("a"), "cid_a").join(named("b"), "cid_b").filter(apart <= MAX_HAMMING)
 
-    Each ring of newly labelled classes meets the classes that aren't labelled yet in the tables. A
-    class needs only one link to be labelled, so where more than ``crowd`` of a ring share an entry,
-    they meet the others in shares that double, and what one share labels is gone before the next:
-    in a crowd of near-copies the first share leaves little; what isn't alike still meets everyone.
-    """
-    classes = cut_lineage(examined.groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.min("doc_id").alias("rep"), F.first("n_grams").alias("n_grams"), F.first("grams").alias("grams")))
-    known = lambda side: classes.select(F.col("cid").alias(f"cid_{side}"), F.col("rep").alias(f"rep_{side}"))
-    text = lambda side: documents.select(F.col(id_col).cast("bigint").alias(f"rep_{side}"), F.col(text_col).alias(f"text_{side}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for b in batches:
+            done: set[int] = set()  # one link is enough
+            for cid, x, y in zip(*(b.column(c).to_pylist() for c in ("cid_b", "passage_a", "passage_b"))):
+                if cid not in done and (SLOT_MARK in x) == (SLOT_MARK in y) and similar(grams(x, known), grams(y, known)):
+                    done.add(cid)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(done), pa.int64())], names=["cid"])
+
+    return near.select("cid_b", "passage_a", "passage_b").mapInArrow(run, "cid bigint")
 
-    def labelled_by(start: DataFrame, reached: DataFrame) -> DataFrame:
-        met = met_in_tables(start, table_rows(classes.join(reached, "cid", "left_anti"), "b"))
-        near = met.join(known("a"), "cid_a").join(known("b"), "cid_b").select("rep_a", "cid_b", "rep_b")
-        return cut_lineage(alike(near.join(text("a"), "rep_a").join(text("b"), "rep_b")).distinct())
 
+def spread(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """cid of every class that a trusted label reaches through links of near-duplicates."""
     reached = classes.filter("trusted").select("cid")
     ring = reached
     while True:
-        start = table_rows(classes.join(ring, "cid", "left_semi"), "a")
+        start = table_rows(classes.join(ring, "cid", "left_semi"), "a", True)
         counted = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
         most = counted["most"] or 0
-        if (counted["all"] or 0) <= BROADCAST_ROWS:
-            start = F.broadcast(start)
+        if not most:
+            return reached
+        small = counted["all"] <= BROADCAST_ROWS
         ring = None
         done, share = 0.0, 1.0 if most <= crowd else crowd / most
         while done < 1.0:  # shares of the ring by a hash of the class
             place = F.shiftrightunsigned(F.xxhash64(F.lit(7), "cid_a"), 11) / float(1 << 53)
-            new = labelled_by(start if share >= 1.0 else start.filter((place >= done) & (place < done + share)), reached)  # a hint stays below a filter
+            part = start if share >= 1.0 else start.filter((place >= done) & (place < done + share))
+            others = table_rows(classes.join(reached, "cid", "left_anti"), "b", False)
+            met = (F.broadcast(part) if small else part).join(others, "key").select("cid_a", "cid_b").distinct()
+            new = cut_lineage(alike(met, classes).distinct())
             done, share = done + share, min(2 * share, 1.0)
             if not new.isEmpty():
                 reached = cut_lineage(reached.unionByName(new))
@@ -366,19 +483,24 @@ def spread(examined: DataFrame, documents: DataFrame, id_col: str, text_col: str
 
 
 def labelled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """doc_id, is_residue, by_spread of every text that is not blank."""
+    """doc_id, by_spread of every text that holds residue: by_spread unless it is of the trusted seed itself."""
     examined = cut_lineage(examine(documents, id_col, text_col))
-    reached = spread(examined, documents, id_col, text_col, crowd)
-    flagged = examined.join(reached.withColumn("near", F.lit(True)), "cid", "left")
-    near = F.coalesce("near", F.lit(False))
-    return flagged.select("doc_id", (F.col("is_residue") | near).alias("is_residue"), (near & ~F.col("is_residue")).alias("by_spread"))
+    reached = spread(cut_lineage(classes_of(examined)), crowd)
+    return examined.join(reached, "cid").groupBy("doc_id").agg((~F.bool_or("trusted")).alias("by_spread"))
 
 
 def found(documents: DataFrame) -> DataFrame:
     """doc_id of each document that holds residue in place of content."""
-    return labelled(documents).filter("is_residue").select("doc_id")
+    return labelled(documents).select("doc_id")
+
+
+def report(documents: DataFrame) -> DataFrame:
+    """Per source: documents, those of the trusted seed, and those found by spread."""
+    return documents.join(labelled(documents), "doc_id", "left").groupBy("source").agg(
+        F.count("*").alias("n_documents"), F.count_if(F.col("by_spread") == F.lit(False)).alias("n_seed"), F.count_if("by_spread").alias("n_spread")
+    )
 
 
 def exclude(documents: DataFrame) -> DataFrame:
     """The documents without residue, all columns kept; null and blank texts stay."""
-    return documents.join(found(documents).distinct(), "doc_id", "left_anti")
+    return documents.join(found(documents), "doc_id", "left_anti")

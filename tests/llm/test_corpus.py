@@ -90,13 +90,15 @@ CONTENT = [
 ]
 
 
-def test_residue_grammar(spark):
-    rows = [(i, t, None) for i, t in enumerate(RESIDUE)] + [(100 + i, t, None) for i, t in enumerate(CONTENT)] + [(0, RESIDUE[0], None), (500, "The rank is kept. " * 20_000, None)]
+def test_residue(spark):
+    rows = [(i, t, None) for i, t in enumerate(RESIDUE)] + [(100 + i, t, None) for i, t in enumerate(CONTENT)] + [(0, RESIDUE[0], None), (500, "The rank is kept. " * 20_000, None), (501, "Wort" * 300_000, None)]
     got = [r["doc_id"] for r in residue.found(docs(spark, rows)).collect()]
-    assert sorted(set(got)) == list(range(len(RESIDUE))) and got.count(0) == 2
+    assert sorted(got) == list(range(len(RESIDUE)))  # a repeated id gives one row
     kept = {r["doc_id"] for r in residue.exclude(docs(spark, rows)).collect()}
-    assert kept == {100 + i for i in range(len(CONTENT))} | {500}
+    assert kept == {100 + i for i in range(len(CONTENT))} | {500, 501}
     assert residue.found(docs(spark, [])).count() == 0
+    r = residue.report(docs(spark, rows)).first()
+    assert r["n_seed"] + r["n_spread"] == len(RESIDUE) + 1
 
 
 def test_filler_without_common_marks(spark):
@@ -106,74 +108,68 @@ def test_filler_without_common_marks(spark):
     assert {r["doc_id"] for r in residue.found(docs(spark, rows)).collect()} == set(range(len(filler)))
 
 
-def test_labels_reach_near_duplicates_in_rings(spark):
-    """A chain of texts, each near the next; only the first shows a mark of residue."""
-    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
-    words = [f"w{name(i)}" for i in range(200)]
-    chain = [" ".join(words)]
-    for i in range(3):
+def test_passages_within_longer_texts(spark):
+    """A passage that is trusted where it stands alone is found at the start, in the middle and at the end of other texts."""
+    other = ["The rank is 2.", "Note that the trace is kept", "Why does the sign change?"]
+    rows = [(1, "Your browser is out of date and cannot display this notebook.", None), (2, f"{other[0]} Your browser is out of date and cannot display this notebook! {other[2]}", None)]
+    rows += [(3, f"{other[1]} Your browser is out of date and cannot display this notebook", None), (4, f"- Your browser is out of date and cannot display this notebook {other[1]}", None), (5, " ".join(other), None)]
+    got = {r["doc_id"]: r["by_spread"] for r in residue.labelled(docs(spark, rows)).collect()}
+    assert got.keys() == {1, 2, 3, 4} and not got[1] and got[2] and got[3]
+
+
+def chain_of_passages(n):
+    words = [f"word{chr(97 + i)}{chr(97 + i)}x" for i in range(24)]
+    out = [" ".join(words)]
+    for i in range(n):
         words = words.copy()
-        for j in range(3):
-            words[50 * i + 15 * j + 20] = f"changed{name(3 * i + j)}"
-        chain.append(" ".join(words))
-    rows = [(1, chain[0].replace("wf ", "{{topic}} "), None)] + [(2 + i, t, None) for i, t in enumerate(chain)] + [(50, " ".join(f"other{name(i)}" for i in range(200)), None)]
-    a, b = (set(residue.shingles(residue.masked(t)).tolist()) for t in (rows[0][1], chain[3]))
-    assert len(a & b) / len(a | b) < residue.SIMILAR  # the last is reached through the others only
-    near = {r["doc_id"]: r["by_spread"] for r in residue.labelled(docs(spark, rows)).filter("is_residue").collect()}
-    assert near == {1: False, 2: True, 3: True, 4: True, 5: True}
+        words[3 * i], words[3 * i + 1] = f"changed{chr(97 + i)}", f"other{chr(105 + i)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_labels_reach_near_duplicates_in_rings(spark):
+    """A chain of passages, each near the next; only the first is trusted."""
+    chain = chain_of_passages(4)
+    assert not residue.similar(residue.grams(chain[0], {}), residue.grams(chain[4], {}))  # reached through the others only
+    rows = [(p, i == 0) for i, p in enumerate(chain)] + [("something else altogether stands in this passage", False)]
+    df = spark.createDataFrame([(i, residue.class_id(p), t, p) for i, (p, t) in enumerate(rows)], "doc_id bigint, cid bigint, trusted boolean, passage string")
+    reached = {r["cid"] for r in residue.spread(residue.classes_of(df)).collect()}
+    assert reached & {residue.class_id(p) for p, _ in rows} == {residue.class_id(p) for p in chain}
 
 
 def test_crowds_give_the_same_labels(spark):
     """Labelled and other near-copies in one table entry: shares of the ring change nothing."""
-    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
-    base = [f"w{name(i)}" for i in range(120)]
-
-    def variant(i, mark):
-        w = base.copy()
-        w[i % 120] = f"v{name(i)}"
-        return " ".join([mark, *w[1:]])
-
-    rows = [(i, variant(i, "{{topic}}"), None) for i in range(40)] + [(100 + i, variant(i + 50, "wa"), None) for i in range(40)] + [(500, "The rank is 2.", None)]
-    plain, crowded = ({r["doc_id"] for r in residue.labelled(docs(spark, rows), crowd=c).filter("is_residue").collect()} for c in (2000, 5))
-    assert plain == crowded == {*range(40), *range(100, 140)}
-
-
-@pytest.mark.parametrize("n", [8, 9, 14, 19, 29, 60, 300])
-def test_labels_reach_every_similar_text(spark, n):
-    """Texts without their end, at a similarity of just 0.8 or little more, of every length; and none below."""
-    rng = random.Random(n)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
-    rows, near = [], set()
-    for i in range(60):
-        words = ["{{topic}}"] + [word() for _ in range(n - 1)]
-        cut, short = (words[: 4 + -(-4 * (n - 4) // 5)], words[: 3 + -(-4 * (n - 4) // 5)])
-        rows += [(3 * i, " ".join(words), None), (3 * i + 1, " ".join(cut).replace("{{topic}}", "topic"), None), (3 * i + 2, " ".join(short).replace("{{topic}}", "topic"), None)]
-        near.add(3 * i + 1)
-    got = {r["doc_id"] for r in residue.labelled(docs(spark, [r for r in rows if r[0] % 3 != 2])).filter("by_spread").collect()}
-    assert got == near
-    alone = {r["doc_id"] for r in residue.labelled(docs(spark, [r for r in rows if r[0] % 3 != 1])).filter("by_spread").collect()}
-    assert alone == set()
-
-
-def test_leading_shingles_of_similar_sets_meet():
-    rng = random.Random(5)
-    frequent, counts = np.arange(0, 400, 7, dtype=np.uint64), np.arange(0, 400, 7, dtype=np.int64)[::-1]
-    for _ in range(2000):
-        a = set(rng.sample(range(400), rng.randint(1, 40)))
-        b = set(rng.sample(sorted(a), rng.randint(-(-len(a) * 4 // 5), len(a)))) | set(rng.sample(range(400), rng.randint(0, 4)))
-        if len(a & b) >= residue.SIMILAR * len(a | b):
-            x, y = (set(residue.leading(np.array(sorted(v), np.uint64), frequent, counts).tolist()) for v in (a, b))
-            assert x & y
-
-
-def test_sketch_distance_follows_similarity():
-    rng = random.Random(0)
-    base = [f"a{rng.randint(0, 10**9)}" for _ in range(200)]
-    a = residue.shingles(" ".join(base))
-    b = residue.shingles(" ".join(base[:190] + ["x"] * 10))
-    c = residue.shingles(" ".join(f"b{rng.randint(0, 10**9)}" for _ in range(200)))
-    bits = lambda x, y: sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(residue.sketch(x), residue.sketch(y)))
-    assert bits(a, a) == 0 and bits(a, b) < residue.MAX_HAMMING < bits(a, c)
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}z" for i in range(60)]
+    variant = lambda i: " ".join([*base[: i % 60], f"v{chr(97 + i % 26)}{chr(97 + i // 26)}", *base[i % 60 + 1 :]])
+    df = spark.createDataFrame([(i, residue.class_id(variant(i)), i < 40, variant(i)) for i in range(90)] + [(500, 5, False, "the rank is kept")], "doc_id bigint, cid bigint, trusted boolean, passage string")
+    c = residue.classes_of(df).checkpoint()
+    plain, crowded = ({r["cid"] for r in residue.spread(c, crowd=n).collect()} for n in (2000, 5))
+    assert plain == crowded and {residue.class_id(variant(i)) for i in range(90)} <= plain and 5 not in plain
+
+
+@pytest.mark.parametrize("length", [8, 15, 40, 150])
+def test_recall_of_the_tables(spark, length):
+    """Pairs just above the similarity that counts: at least 0.9 of them meet in a table and pass the Hamming test."""
+    rng = random.Random(length)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    pairs = []
+    while len(pairs) < 200:
+        a = [word() for _ in range(length)]
+        b = a.copy()
+        for i in rng.sample(range(length), max(1, round(length * 0.11))):
+            b[i] = word() if rng.random() < 0.5 else b[i][: len(b[i]) // 2] + word()[:2]
+        x, y = " ".join(a), " ".join(b)
+        s, t = residue.grams(x, {}), residue.grams(y, {})
+        if 0.8 <= len(s & t) / len(s | t) < 0.86:
+            pairs.append((x, y))
+    rows = [(i, residue.class_id(p), False, p) for i, p in enumerate(p for pair in pairs for p in pair)]
+    c = residue.classes_of(spark.createDataFrame(rows, "doc_id bigint, cid bigint, trusted boolean, passage string")).filter("not trusted").checkpoint()
+    met = residue.table_rows(c, "a", True).join(residue.table_rows(c, "b", False), "key").filter("cid_a <> cid_b").select("cid_a", "cid_b").distinct()
+    n = len({frozenset((r["cid_a"], r["cid_b"])) for r in met.collect()} & {frozenset(map(residue.class_id, p)) for p in pairs})
+    assert n >= 0.9 * len(pairs)
+    near = residue.alike(met, c).distinct().count()
+    assert near >= 0.9 * 2 * len(pairs)
 
 
 @settings(max_examples=150, deadline=None)
@@ -228,4 +224,4 @@ def test_minima_take_from_the_larger():
 
 def test_unclosed_groups_of_copies_stay_one_class(spark):
     rows = [(i, "Please enable JavaScript to view page 12 now, or leave this place for another.", None) for i in range(300)] + [(999, "The rank is 2.", None)]
-    assert residue.labelled(docs(spark, rows)).filter(F.col("is_residue")).count() == 300
+    assert residue.labelled(docs(spark, rows)).count() == 300
