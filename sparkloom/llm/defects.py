@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import structure as S
-from sparkloom.llm.truncation import copies, cut_texts, has_letters, may_be_open, message_texts
+from sparkloom.llm.truncation import copies, cut_messages, cut_texts, has_letters, instructions, may_be_open
 
 # Marks of no answer, function words, and the refusal grammar.
 NO_ANSWER = frozenset(
@@ -225,10 +225,9 @@ def question_pairs(questions: DataFrame) -> DataFrame:
 def task_pairs(conversations: DataFrame, tasks: DataFrame) -> DataFrame:
     """instruction with the closing assistant message of each conversation of a task."""
     closing = F.expr("filter(transform(messages, (m, i) -> struct(i as pos, m.role as role, m.content as content, coalesce(size(m.tool_calls), 0) as calls)), m -> m.role = 'assistant' and m.calls <= 0)")
-    held = tasks.select("task_id", "instruction").dropDuplicates(["task_id"])
     last = conversations.select(F.col("idx").cast("bigint").alias("idx"), "task_id", F.try_element_at(closing, F.lit(-1)).alias("m")).filter("m is not null and task_id is not null")
-    pairs = last.select("idx", "task_id", F.col("m.pos").alias("pos"), F.col("m.content").alias("content")).join(held, "task_id")
-    cut = cut_texts(message_texts(conversations, tasks)).select(F.col("key").cast("bigint").alias("idx"), "pos", F.lit(True).alias("cut"))
+    pairs = last.select("idx", "task_id", F.col("m.pos").alias("pos"), F.col("m.content").alias("content")).join(instructions(tasks), "task_id")
+    cut = cut_messages(conversations, tasks).select("idx", F.col("msg_pos").alias("pos"), F.lit(True).alias("cut"))
     respond = F.when(F.instr("content", "<") > 0, _response("content")).otherwise(F.col("content"))
     return pairs.join(cut, ["idx", "pos"], "left").select(F.lit("task").alias("pair_kind"), F.col("idx").alias("pair_id"), F.col("instruction").alias("prompt"), respond.alias("response"), "cut")
 

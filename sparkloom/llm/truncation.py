@@ -121,7 +121,7 @@ def judge(text: str | None, formal: bool, truths: list[str], prompts: list[str]
     return "trail" if trailed else "open", list(dict.fromkeys((S.mask(bare), S.mask(bare, last=False)))), known
 
 
-ROWS = "kind string, key string, pos int, state string, frag string, text_id bigint, held int, formal boolean"
+ROWS = "kind string, key string, pos int, state string, frag string, text_id bigint, held int, formal boolean, text string"
 
 
 def _parse(texts: DataFrame) -> DataFrame:
@@ -138,10 +138,11 @@ def _parse(texts: DataFrame) -> DataFrame:
                     for s, c in known:
                         held[s, text_id] = held.get((s, text_id), 0) | ((CLOSED if c else OPEN) if formal else (INFORMAL_CLOSED if c else INFORMAL_OPEN))
                 if asked:
-                    out += [("t", key, pos, state, f, None, None, formal) for f in (frags or [None])]
-            out += [("s", None, None, None, s, text_id, how, None) for (s, text_id), how in held.items()]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["kind", "key", "pos", "state", "frag", "text_id", "held", "formal"])
+                    kept = text if formal and prompts and frags else None  # further prompts may come
+                    out += [("t", key, pos, state, f, None, None, formal, kept if i == 0 else None) for i, f in enumerate(frags or [None])]
+            out += [("s", None, None, None, s, text_id, how, None, None) for (s, text_id), how in held.items()]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names=["kind", "key", "pos", "state", "frag", "text_id", "held", "formal", "text"])
 
     return texts.select("key", "pos", "text", "formal", "truths", "asked", "prompts").mapInArrow(run, ROWS)
 
@@ -157,25 +158,25 @@ def longer_copies(strings: DataFrame) -> DataFrame:
     """frag, n_longer of every string that is a strict prefix of others: how often those occur together.
 
     ``strings`` has frag (distinct) and n. All strings that begin with a string follow it in the
-    order, so a stack of open prefixes counts them in one scan of each sorted partition. Prefixes
-    still open at a partition's end are continued by what the first strings of later partitions
-    share with them: each partition also tells, for every prefix of its first string, how often the
-    strings at its start begin with it. These edges are a few rows a partition.
+    order, so a stack of open prefixes counts them in one scan of each sorted partition. Strings
+    still open at a partition's end may be continued in later partitions, at whose start the longer
+    ones must stand: those are told the lengths and hashes of the open strings, a few for each
+    partition and never the strings, and count what begins with them.
     """
     parts = partitions_for(strings.sparkSession)
     ordered = cut_lineage(strings.select("frag", "n").repartitionByRange(parts, "frag").sortWithinPartitions("frag").withColumn("part", F.spark_partition_id()))
-    names, kinds = ["frag", "n_longer", "part", "edge"], (pa.string(), pa.int64(), pa.int32(), pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[list] = []  # string, n, n of longer ones
-        first, shared, n_shared, lead, part = None, 0, 0, [], None
+        part = None
+        names, kinds = ["frag", "n_longer", "part", "hash"], (pa.string(), pa.int64(), pa.int32(), pa.int64())
 
-        def closed(out: list[tuple], edge: str | None) -> None:
+        def closed(out: list[tuple], is_open: bool) -> None:
             s, n, longer = stack.pop()
             if stack:
                 stack[-1][2] += n + longer
-            if longer or edge:
-                out.append((s, longer, part, edge))
+            if longer or is_open:
+                out.append((s, longer, part, prefix_hash(s) if is_open else None))
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=names)
@@ -183,36 +184,64 @@ def longer_copies(strings: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for s, n, part in S.rows(b):
-                if first is None:
-                    first, shared = s, len(s)
-                if shared and not s.startswith(first[:shared]):
-                    common = next((i for i, (x, y) in enumerate(zip(first[:shared], s)) if x != y), min(shared, len(s)))
-                    lead += [(first[:k], n_shared, part, "lead") for k in range(common + 1, shared + 1)]
-                    shared = common
-                n_shared += n
                 while stack and not s.startswith(stack[-1][0]):
-                    closed(out, None)
+                    closed(out, False)
                 stack.append([s, n, 0])
             yield batch(out)
-        if first is not None:
-            out = lead + [(first[:k], n_shared, part, "lead") for k in range(1, shared + 1)]
+        if stack:
+            out = []
             while stack:
-                closed(out, "open")
+                closed(out, True)
             yield batch(out)
 
-    seen = cut_lineage(ordered.mapInArrow(run, "frag string, n_longer bigint, part int, edge string"))
-    lead = seen.filter("edge = 'lead'").select("frag", F.col("part").alias("later"), F.col("n_longer").alias("n_later"))
-    open_ = seen.filter("edge = 'open'").join(lead, "frag", "left")
-    crossed = open_.groupBy("frag", "part", "n_longer").agg(F.coalesce(F.sum(F.when(F.col("later") > F.col("part"), F.col("n_later"))), F.lit(0)).alias("n_later"))
-    return seen.filter("edge is null").select("frag", "n_longer").unionByName(crossed.select("frag", (F.col("n_longer") + F.col("n_later")).alias("n_longer")).filter("n_longer > 0"))
+    seen = cut_lineage(ordered.mapInArrow(scan, "frag string, n_longer bigint, part int, hash bigint"))
+    edges = [tuple(r) for r in seen.filter("hash is not null").select("part", F.length("frag"), "hash").collect()]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[list] | None = None  # prefix, hash, n of what begins with it
+        done: list[tuple] = []
+        for b in batches:
+            for s, n, part in S.rows(b) if open_ or open_ is None else ():
+                if open_ is None:
+                    open_ = [[s[:length], h, 0] for p, length, h in edges if p < part and length <= len(s) and prefix_hash(s[:length]) == h]
+                for e in open_:
+                    if s.startswith(e[0]):
+                        e[2] += n
+                done += [(e[1], e[2]) for e in open_ if not s.startswith(e[0])]
+                open_ = [e for e in open_ if s.startswith(e[0])]
+                if not open_:
+                    break
+        done += [(h, n) for _, h, n in open_ or []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else [[]] * 2)], names=["hash", "n_later"])
+
+    later = ordered.mapInArrow(follow, "hash bigint, n_later bigint").groupBy("hash").agg(F.sum("n_later").alias("n_later"))
+    crossed = seen.filter("hash is not null").join(later, "hash", "left").select("frag", (F.col("n_longer") + F.coalesce("n_later", F.lit(0))).alias("n_longer"))
+    return seen.filter("hash is null").select("frag", "n_longer").unionByName(crossed.filter("n_longer > 0"))
+
 
+def prefix_hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+def given_back(opened: DataFrame, prompts: DataFrame) -> DataFrame:
+    """key, pos of the open texts that stop where one of the ``prompts`` (key, prompt) stops, and so were written to their end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([ends_like(S.plain(t), [p]) for t, p in zip(b.column("text").to_pylist(), b.column("prompt").to_pylist())], pa.bool_())
+            yield b.select(["key", "pos"]).filter(ok)
 
-def cut_texts(texts: DataFrame) -> DataFrame:
-    """key, pos of each asked text that was cut.
+    held = opened.filter("text is not null").select("key", "pos", "text").join(prompts.filter("prompt is not null"), "key")
+    return held.select("key", "pos", "text", "prompt").mapInArrow(run, "key string, pos int")
+
+
+def cut_texts(texts: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
+    """key, pos, cause of each asked text that was cut: by its structure, as a prefix of longer copies, or before its closing mark.
 
     ``texts``: key string, pos int, text string, formal boolean (prose that closes its sentences),
     truths string (JSON of true values, or null), asked boolean (else it only serves as a copy),
-    prompts array<string> (texts that it may give back whole, or null).
+    prompts array<string> (texts that it may give back whole, or null). ``prompts``: key, prompt of
+    further such texts, looked up for open texts only.
     """
     rows = cut_lineage(_parse(texts))
     sentences = sentence_counts(rows)
@@ -225,8 +254,10 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     continued = F.col("n_longer").isNotNull() & (count("n_open") <= F.col("n_longer"))
     unmarked = (count("n_formal_closed") >= 1) & (count("n_formal_closed") >= count("n_formal_open"))
     verdict = known.select("frag", continued.alias("continued"), unmarked.alias("unmarked")).filter("continued or unmarked")
-    opened = asked.join(verdict, "frag").filter("continued or (unmarked and closes)").select("key", "pos")
-    return rows.filter("kind = 't' and state = 'cut'").select("key", "pos").unionByName(opened).distinct()
+    opened = asked.join(verdict, "frag").filter("continued or (unmarked and closes)").groupBy("key", "pos").agg(F.when(F.bool_or("continued"), "prefix").otherwise("mark").alias("cause"))
+    if prompts is not None:
+        opened = opened.join(given_back(rows.filter("kind = 't'"), prompts), ["key", "pos"], "left_anti")
+    return rows.filter("kind = 't' and state = 'cut'").select("key", "pos", F.lit("structure").alias("cause")).distinct().unionByName(opened)
 
 
 def has_letters(c: Column) -> Column:
@@ -247,15 +278,15 @@ def copies(df: DataFrame, column: str) -> DataFrame:
     ).filter("text is not null")
 
 
+def instructions(tasks: DataFrame) -> DataFrame:
+    """task_id, instruction: one row a task; of a task with several instructions the first in order."""
+    return tasks.filter("task_id is not null").groupBy("task_id").agg(F.min("instruction").alias("instruction"))
+
+
 def message_texts(conversations: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """The contents of all messages as texts to judge; instructions serve as further copies."""
-    base = conversations.select("idx", "task_id", "stepwise_ground_truths", "messages")
-    if tasks is not None:
-        base = base.join(tasks.select("task_id", "instruction").dropDuplicates(["task_id"]), "task_id", "left")
-    else:
-        base = base.withColumn("instruction", F.lit(None).cast("string"))
     user = F.get(F.filter("messages", lambda x: x["role"] == "user"), F.lit(0))["content"]
-    m = base.select(F.col("idx").cast("string").alias("key"), "stepwise_ground_truths", F.array("instruction", user).alias("prompts"), F.posexplode("messages").alias("pos", "m"))
+    m = conversations.select(F.col("idx").cast("string").alias("key"), "stepwise_ground_truths", F.array(user).alias("prompts"), F.posexplode("messages").alias("pos", "m"))
     role, content = F.coalesce("m.role", F.lit("")), F.col("m.content")
     texts = m.select(
         "key", "pos", F.col("m.content").alias("text"), (role != "user").alias("formal"), F.when(role.isin("tool", "assistant") & ~has_letters(content), F.col("stepwise_ground_truths")).alias("truths"),
@@ -266,15 +297,27 @@ def message_texts(conversations: DataFrame, tasks: DataFrame | None = None) -> D
     return texts
 
 
+def task_prompts(conversations: DataFrame, tasks: DataFrame) -> DataFrame:
+    """key, prompt: the instruction of each conversation's task."""
+    return conversations.select(F.col("idx").cast("string").alias("key"), "task_id").join(instructions(tasks), "task_id").select("key", F.col("instruction").alias("prompt"))
+
+
+def cut_messages(conversations: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """idx, msg_pos, cause of each message whose content was cut."""
+    cut = cut_texts(message_texts(conversations, tasks), None if tasks is None else task_prompts(conversations, tasks))
+    return cut.select(F.col("key").cast("bigint").alias("idx"), F.col("pos").alias("msg_pos"), "cause")
+
+
 def found(conversations: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """idx, msg_pos of each message whose content was cut."""
-    return cut_texts(message_texts(conversations, tasks)).select(F.col("key").cast("bigint").alias("idx"), F.col("pos").alias("msg_pos"))
+    return cut_messages(conversations, tasks).select("idx", "msg_pos")
 
 
 def report(conversations: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
-    """Per source: messages with content, cut ones, and their share."""
-    cut = found(conversations, tasks).withColumn("is_cut", F.lit(1))
+    """Per source: messages with content, cut ones by cause, and their share."""
+    cut = cut_messages(conversations, tasks)
     m = conversations.select("idx", "source", F.posexplode("messages").alias("msg_pos", "m")).filter("m.content is not null").select("idx", "source", "msg_pos")
+    causes = [F.count_if(F.col("cause") == c).alias(f"n_{c}") for c in ("structure", "prefix", "mark")]
     return m.join(cut, ["idx", "msg_pos"], "left").groupBy("source").agg(
-        F.count("*").alias("n_messages"), F.count("is_cut").alias("n_cut"), F.round(F.count("is_cut") / F.count("*"), 6).alias("cut_share")
+        F.count("*").alias("n_messages"), F.count("cause").alias("n_cut"), *causes, F.round(F.count("cause") / F.count("*"), 6).alias("cut_share")
     )

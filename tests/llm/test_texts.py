@@ -97,6 +97,23 @@ def test_longer_copies_equal_brute_force(spark, parts):
     assert len(got) == len(set(got)) and dict(got) == {s: n for s, n in expected.items() if n}
 
 
+def test_very_long_strings_leave_few_edges(spark):
+    """A string of a megabyte in each partition: what crosses their borders is counted without its prefixes."""
+    base = "x" * 1_000_000
+    strings = [base[:500_000], base[:999_999], base, base + "a", base + "b" * 500_000, "y" + base, "y" + base + "z"]
+    df = spark.createDataFrame([(s, 1) for s in strings], "frag string, n bigint")
+    got = {len(r["frag"]): r["n_longer"] for r in truncation.longer_copies(df).collect()}
+    assert got == {500_000: 4, 999_999: 3, 1_000_000: 2, 1_000_001: 1}
+
+
+def test_causes(spark):
+    whole = "The sign pattern was checked before. then every product was added to the sum."
+    rows = [(1, 1, [("assistant", whole)], None), (2, 1, [("assistant", whole[:60])], None), (3, 1, [("assistant", whole[:-1])], None), (4, 1, [("assistant", "<think>The sign")], None)]
+    assert {r["idx"]: r["cause"] for r in truncation.cut_messages(chat(spark, rows)).collect()} == {2: "prefix", 3: "mark", 4: "structure"}
+    r = truncation.report(chat(spark, rows)).first()
+    assert (r["n_messages"], r["n_cut"], r["n_structure"], r["n_prefix"], r["n_mark"]) == (4, 3, 1, 1, 1)
+
+
 def test_empty_tables(spark):
     c, t, q = chat(spark, []), spark.createDataFrame([], TASKS), spark.createDataFrame([], QUESTIONS)
     assert truncation.found(c, t).count() == 0 and truncation.report(c, t).count() == 0 and defects.found(q, c, t).count() == 0
