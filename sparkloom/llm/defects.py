@@ -5,12 +5,12 @@ The tests, in this order, so that a pair has at most one defect:
 - ``truncated``: the response's text was cut, judged by the pushdown parser and the prefix join of
   ``truncation`` over all responses.
 - ``empty``: null, blank, or only a mark that stands for no answer.
-- ``copy``: greedy string tiling covers nearly all words of the response and of the prompt, and the
-  response adds no value of its own. Bare values are never copies.
-- ``refusal``: a refusal grammar of several languages, or a closed response to a question for a
-  value that states no value at all.
-- ``other_language``: the response's script or function words belong to another language than the
-  prompt's.
+- ``copy``: greedy string tiling covers nearly all words of the response and of the prompt, however
+  often it is given back, and the response adds no value of its own. Bare values are never copies.
+- ``refusal``: a grammar of refusals, sequences of slots (agent, negation, act, duty, reason) in
+  several languages, in a response that states no value of its own.
+- ``other_language``: the response's script, or letter n-grams by a margin, belong to another language
+  than the prompt's.
 
 Where a response has an answer tag, the response is what the tag holds. Defined cases: a null
 prompt can be neither copied nor differ in language; repeated rows are judged alike; ties between
@@ -27,49 +27,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import structure as S
+from sparkloom.llm.language import differs
 from sparkloom.llm.truncation import copies, cut_messages, cut_texts, has_letters, instructions, may_be_open
 
-# Marks of no answer, function words, and the refusal grammar.
+# Marks of no answer and the words of the refusal grammar.
 NO_ANSWER = frozenset(
     "na|none|null|nil|nan|noanswer|noresponse|nothing|undefined|empty|blank|tbd|unknown|notavailable|notapplicable|noreply|noanswergiven|keineantwort|keine|leer|sansréponse|pasderéponse|aucune|aucuneréponse|sinrespuesta|ninguna|ninguno|vacío|nessunarisposta|nessuna|geenantwoord|brakodpowiedzi".split("|")
 )
-WORDS = {
-    "en": "the of is and to for that this which with was so as be what does find let take compute determine calculate evaluate where equals work then",
-    "de": "der die das und ist nicht wir für zuerst wurden ein eine auch dem den sich von sei berechne bitte bestimme also",
-    "fr": "le la les et est une pour donc de des que dans on avec encore fois qui soit calcule trouve donne par",
-    "es": "el la los las es una por con que se de del y este también solo al sea calcula halla encuentra",
-    "it": "il lo gli è una per con che di della sono alla quindi dei ho solo ancora nel dopo calcolo",
-    "nl": "de het een van en niet dat dus zijn voor met op pas aan wordt eerst deze",
-    "pt": "o os um uma é para com que não da do em se seu foi ao mais apenas",
-    "pl": "i jest nie na się to z do że po więc dopiero zatem jeszcze raz są",
-}
-LANGUAGES_OF: dict[str, list[str]] = {}
-for _language, _words in WORDS.items():
-    for _word in _words.split():
-        LANGUAGES_OF.setdefault(_word, []).append(_language)
-SCRIPTS = (("ru", r"[Ѐ-ӿ]"), ("zh", r"[一-鿿぀-ヿ]"), ("ko", r"[가-힯]"), ("ar", r"[؀-ۿ]"), ("el", r"[Ͱ-Ͽ]"), ("he", r"[֐-׿]"), ("hi", r"[ऀ-ॿ]"))
-DOING = r"(?:help|assist|answer|solve|solving|do|work|comput|calculat|provid|tak|complet|process|handl|discuss|support|respond|reply|continu|fulfil|perform|give|offer|share)\w*"
-REFUSAL = re.compile(
-    "|".join(
-        (
-            rf"\b(?:can't|cannot|can not|couldn't|could not|won't|will not|shan't|don't|do not|am not able to|are not able to|not able to|unable to|not going to|not willing to|would rather not|prefer not to|not in a position to|not allowed to|not permitted to|must not|not supposed to)\s+(?:be |\w+ly |wish to |want to |feel comfortable )?{DOING}",
-            r"\b(?:must|have to|need to|will|would like to|'ll) (?:politely |respectfully )?(?:decline|refuse|pass on)\b|\bi (?:decline|refuse)\b",
-            r"\b(?:not possible|impossible) for me to\b|\b(?:beyond|outside|not (?:part|within)) (?:of )?my (?:role|scope|ability|abilities|remit|task|job|purpose|capabilities)\b",
-            r"\b(?:don't|do not) have the (?:ability|permission|means|capability)\b|\bas an? (?:ai|language model|assistant|teaching assistant)\b.*\b(?:can't|cannot|won't|not)\b",
-            r"\bno (?:solution|answer|help) (?:will|can) be (?:given|provided|offered)\b|\b(?:reply|answer|response) (?:was|is|has been) withheld\b|\bagainst (?:my|the|our) (?:policy|policies|rules|guidelines)\b",
-            r"\b(?:talk|speak) about something else\b|\bnot doing \w+ today\b",
-            r"\b(?:leider|bedauere|bedaure|entschuldigung|tut mir leid)\b.*\b(?:nicht|kein\w*|ablehnen|weigern)\b|\bkann (?:ich|dir|ihnen)\b.*\bnicht (?:helfen|beantworten|lösen|weiterhelfen)\b|\bmuss ich (?:leider )?(?:ablehnen|passen)\b",
-            r"\b(?:désolée?|je regrette|malheureusement|pardon)\b.*\b(?:ne|n')\b|\bje (?:ne (?:peux|suis|veux|saurais)|dois (?:refuser|décliner)|refuse)\b|\bje n['e]",
-            r"\b(?:lo siento|perdón|disculpa|lamentablemente|por desgracia)\b.*\b(?:no|negarme|rechazar)\b|\bno (?:puedo|voy a|me es posible|estoy en condiciones)\b|\bdebo (?:negarme|rechazar|declinar)\b",
-            r"\b(?:mi dispiace|purtroppo)\b.*\bnon\b|\bhelaas\b.*\b(?:niet|geen)\b|\b(?:desculpe|infelizmente)\b.*\bnão\b",
-        )
-    )
-)
-VALUE = re.compile(r"\d")
-NUMBER_WORD = re.compile(r"\b(?:zero|one|two|three|four|null|eins|zwei|drei|un|deux|trois|uno|dos|tres)\b")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: The grammar of refusals: words that fill a slot, by language, and sequences of slots. A slot in brackets may be missing.
+SLOTS = {
+    "en": {
+        "agent": "i|we|i'm|i am|we're|we are|this assistant|this model|the assistant|the tutor|i have|we have|myself",
+        "start": r"^|[.!?,:;…-]\s*|\b(?:sorry|but|so|unfortunately|nope|no|however|apologies)\s+",
+        "how": "really|simply|just|also|unfortunately|currently|respectfully|politely|sadly|still",
+        "negation": "can't|cannot|can not|cant|couldn't|could not|won't|will not|shan't|shall not|don't|do not|am not able to|are not able to|not able to|unable to|am not going to|not going to|not willing to|unwilling to|not in a position to|not allowed to|not permitted to|must not|may not|not supposed to|would rather not|'d rather not|prefer not to|would prefer not to|refuse to|decline to|have to refuse to|am not here to",
+        "being": "be|wish to|want to|feel comfortable|comfortably|possibly|even|be able to",
+        "act": r"(?:help|assist|answer|solv|do|work|comput|calculat|provid|tak|complet|process|handl|discuss|support|respond|reply|continu|fulfil|perform|give|offer|share|engag|carry|say|go|tell)\w*",
+        "duty": "must|have to|need to|will|would like to|'ll|am going to|should|shall|am forced to|am afraid i must",
+        "decline": r"declin\w*|refus\w*|pass on|abstain|turn (?:this|that|it) down|skip (?:this|that|it)",
+        "impossible": "(?:is |it's |was )?(?:not possible|impossible|out of the question) for (?:me|us) to",
+        "beyond": r"(?:beyond|outside|outside of|not part of|not within|out of) (?:of )?(?:my|our|what (?:i|we)\b)(?: \w+)?",
+        "lack": "(?:don't|do not|lack|without) (?:have )?(?:the )?(?:ability|permission|means|capability|capacity|authority|tools)",
+        "kind": r"(?:requests?|questions?|problems?|tasks?|exercises?) (?:of|like) (?:this|that|these)(?: (?:sort|kind|type|nature|one))?",
+        "unsupported": "(?:is|are) not (?:supported|allowed|permitted|answered|handled|accepted|possible here)",
+        "rules": r"(?:my|our|the|these) (?:\w+ )?(?:instructions|rules|guidelines|policy|policies|settings|restrictions)",
+        "forbid": r"(?:do not|don't|does not|doesn't|will not|won't) (?:allow|permit|let)|forbid\w*|prohibit\w*|prevent\w*|keep me from",
+        "outcome": "(?:no|not any) (?:solution|answer|help|reply|response|result)|(?:the )?(?:reply|answer|response|solution|result)",
+        "withheld": "(?:will|can|could|may) (?:not )?be (?:given|provided|offered|shared|shown)(?: here)?|(?:was|is|has been|were|stays?|remains?) (?:withheld|withdrawn|blocked|open)",
+        "wish": "(?:i|we)(?:'d| would)? (?:prefer|rather|like|ask|suggest)(?: that)?(?: you)?",
+        "alone": r"you (?:do|solve|try|work|to do|to solve|to try|complete|figure)\b[^.!?]*\b(?:yourself|on your own|alone|by yourself)",
+        "topic": "(?:talk|speak|chat) about something (?:else|different)|change the (?:subject|topic)|another topic instead",
+        "today": r"not doing (?:\w+ ){1,3}(?:today|now|here|anymore)",
+        "against": "against (?:my|the|our) (?:policy|policies|rules|guidelines|instructions|principles)",
+    },
+    "de": {
+        "regret": "leider|bedauere|bedaure|entschuldigung|verzeihung|tut mir leid|als (?:assistent|modell|ki)",
+        "negated": r"nicht (?:helfen|beantworten|lösen|weiterhelfen|antworten|möglich|dienen|bearbeiten|rechnen)|kein\w* (?:antwort|hilfe|lösung)|ablehnen|weigern|verweigern|passen",
+        "modal": "kann ich|kann dir|kann ihnen|ich kann|darf ich|ich darf|muss ich|ich muss|werde ich|ich werde|möchte ich|ich möchte",
+    },
+    "fr": {
+        "regret": "désolée?|je regrette|malheureusement|pardon|en tant qu['e]\\s?\\w+",
+        "negated": r"(?:ne|n['e]) ?\w+ pas \w+|refuser|refuse|décliner|impossible de",
+        "modal": "je ne peux|je ne suis|je ne veux|je ne saurais|je dois|je refuse|il m'est|je n",
+    },
+    "es": {
+        "regret": "lo siento|perdón|disculpa|disculpe|lamentablemente|por desgracia|como (?:asistente|modelo)",
+        "negated": r"no (?:puedo|voy a|me es posible|estoy en condiciones|quiero|debo|podré)|negarme|rechazar|declinar",
+        "modal": "no puedo|no voy a|no me es posible|no estoy|debo (?:negarme|rechazar|declinar)|tengo que (?:negarme|rechazar)",
+    },
+    "it": {"regret": "mi dispiace|purtroppo|mi spiace|come assistente", "negated": r"non (?:posso|sono in grado|voglio|mi è possibile)|rifiutare|declinare", "modal": "non posso|non sono in grado|devo (?:rifiutare|declinare)"},
+    "nl": {"regret": "helaas|sorry|het spijt me", "negated": r"niet (?:helpen|beantwoorden|oplossen)|geen (?:antwoord|hulp)|weigeren", "modal": "kan ik niet|ik kan niet|ik moet weigeren"},
+    "pt": {"regret": "desculpe|infelizmente|lamento", "negated": r"não (?:posso|consigo|vou)|recusar", "modal": "não posso|não consigo|devo recusar"},
+}
+SENTENCES = {
+    "en": (
+        "agent [how] negation [how] [being] act", "start negation [how] [being] act", "agent [how] duty [how] decline", "agent [how] decline", "impossible act", "beyond", "agent lack", "kind unsupported", "rules forbid", "outcome withheld", "wish alone", "topic", "today", "against",
+    ),
+}
+FOREIGN = ("regret ... negated", "modal ... negated")
+
+
+def _compiled(rule: str, slots: dict[str, str]) -> str:
+    """A sequence of slots as a pattern: blanks between, anything up to the sentence's end for dots."""
+    out = ""
+    for part in rule.split():
+        if part == "...":
+            out += r"[^.!?]*?"
+        elif part.startswith("["):
+            out += rf"(?:\b(?:{slots[part[1:-1]]})\s+)?"
+        elif part == "start":
+            out += f"(?:{slots[part]})"
+        else:
+            out += rf"(?:(?<!\w)(?:{slots[part]})(?!\w)\s*)"
+    return out
+
+
+REFUSAL = re.compile("|".join(_compiled(rule, slots) for lang, slots in SLOTS.items() for rule in SENTENCES.get(lang, FOREIGN)))
 TOKEN = re.compile(r"-?\d+(?:\.\d+)?|[^\W\d_]+")
 TILE = 3
+#: Running hashes of tiles.
+BASE, PRIME = 1_000_003, (1 << 61) - 1
 
 
 def response_of(content: str | None) -> str | None:
@@ -90,95 +127,91 @@ def is_empty(text: str | None) -> bool:
     return not bare or bare in NO_ANSWER
 
 
-def tiling(a: list[str], b: list[str], least: int = TILE) -> tuple[set[int], set[int]]:
-    """Greedy string tiling: places of ``a`` and ``b`` under the longest common tiles, marked longest first."""
-    marked_a: set[int] = set()
-    marked_b: set[int] = set()
-    where: dict[tuple, list[int]] = {}
-    for j in range(len(b) - least + 1):
-        where.setdefault(tuple(b[j : j + least]), []).append(j)
-    while True:
-        best, tiles = least, []
-        for i in range(len(a) - least + 1):
-            if i in marked_a:
-                continue
-            for j in where.get(tuple(a[i : i + least]), ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in marked_a and j + n not in marked_b:
-                    n += 1
-                if n > best:
-                    best, tiles = n, [(i, j, n)]
-                elif n == best:
-                    tiles.append((i, j, n))
-        if not tiles:
-            return marked_a, marked_b
-        for i, j, n in tiles:
-            if not marked_a.intersection(range(i, i + n)) and not marked_b.intersection(range(j, j + n)):
-                marked_a.update(range(i, i + n))
-                marked_b.update(range(j, j + n))
+def tiling(a: list[str], b: list[str], least: int = TILE, again: bool = False) -> tuple[set[int], set[int]]:
+    """Greedy string tiling: places of ``a`` and ``b`` under the longest common tiles, marked longest first.
+
+    Running hashes: for tile lengths that fall by halves, every unmarked window of ``b`` is hashed
+    once, and each window of ``a`` that meets one is stretched as far as it goes, longest tiles
+    first. Without ``again`` a place of ``b`` serves once; with it, b may be given back many times.
+    """
+    free_a, free_b = [True] * len(a), [True] * len(b)
+    length = max(min(len(a), len(b)), least) if min(len(a), len(b)) >= least else 0
+    while length >= least:
+        where: dict[int, list[int]] = {}
+        for j, key in _windows(b, free_b, length):
+            held = where.setdefault(key, [])
+            if len(held) < 2 or not again:
+                held.append(j)
+        tiles = []
+        for i, key in _windows(a, free_a, length):
+            for j in where.get(key, ())[:8] if again else where.get(key, ()):
+                if a[i : i + length] == b[j : j + length]:
+                    n = length
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                        n += 1
+                    tiles.append((-n, i, j))
+                    break
+        marked = False
+        for n, i, j in sorted(tiles):
+            n = -n
+            while n >= length and not (all(free_a[i : i + n]) and all(free_b[j : j + n])):
+                n -= 1  # another tile took its end
+            if n >= length:
+                free_a[i : i + n] = [False] * n
+                if not again:
+                    free_b[j : j + n] = [False] * n
+                marked = True
+        if not (marked and tiles):
+            length = length // 2 if length // 2 >= least or length == least else least
+    return {i for i, f in enumerate(free_a) if not f}, {j for j, f in enumerate(free_b) if not f}
+
+
+def _windows(tokens: list[str], free: list[bool], length: int):
+    """Start and running hash of each window of unmarked tokens."""
+    value, top, run = 0, pow(BASE, length - 1, PRIME), 0
+    for k, t in enumerate(tokens):
+        if not free[k]:
+            value, run = 0, 0
+            continue
+        if run == length:
+            value = (value - hash(tokens[k - length]) * top) % PRIME
+            run -= 1
+        value = (value * BASE + hash(t)) % PRIME
+        run += 1
+        if run == length:
+            yield k - length + 1, value
 
 
 def is_copy(prompt: str | None, text: str) -> bool:
-    """Whether a plain() response gives the prompt back and nothing more."""
+    """Whether a plain() response gives the prompt back, once or more, and nothing more."""
     if not prompt:
         return False
     a, b = TOKEN.findall(text.lower()), TOKEN.findall(S.plain(prompt).lower())
     words = [i for i, t in enumerate(a) if t[0].isalpha()]
     asked = [j for j, t in enumerate(b) if t[0].isalpha()]
-    if len(words) < 3 or not asked or len(a) > 2 * len(b) + 20 or len(a) < 0.5 * len(b):
-        return False
-    if len({a[i] for i in words}.intersection(b)) < 0.6 * len({a[i] for i in words}):
+    if not words or not asked or {*a}.isdisjoint(b):
         return False
-    in_a, in_b = tiling(a, b)
+    if a == b:
+        return True
+    in_a, in_b = tiling(a, b, min(TILE, len(b)))
     if len(a) > len(b):  # the prompt may be given back more than once
-        rest = [i for i in range(len(a)) if i not in in_a]
-        while rest and (again := tiling([a[i] for i in rest], b)[0]):
-            in_a |= {rest[i] for i in again}
-            rest = [i for i in rest if i not in in_a]
+        in_a |= tiling(a, b, min(TILE, len(b)), again=True)[0]
     new_numbers = {t for i, t in enumerate(a) if i not in in_a and not t[0].isalpha()} - set(b)
     return not new_numbers and sum(i in in_a for i in words) >= 0.7 * len(words) and sum(j in in_b for j in asked) >= 0.7 * len(asked)
 
 
 def is_refusal(text: str, prompt: str | None) -> bool:
-    """Whether a plain() response declines to answer."""
+    """Whether a plain() response declines to answer: by the grammar, and stating no value of its own."""
     low = text.lower().replace("’", "'")
-    if VALUE.search(low):
-        m = REFUSAL.search(low)
-        own = set(re.findall(r"\d+", low)) - set(re.findall(r"\d+", prompt or ""))
-        return bool(m) and not own and not re.search(r"(?:\b(?:is|equals|to|ist|est|es)|=|:)\s*-?[\[\d]", low)
-    return bool(REFUSAL.search(low)) or (S.is_closed(low) and len(WORD.findall(low)) >= 3 and not NUMBER_WORD.search(low))
-
-
-def language_scores(text: str) -> dict[str, float]:
-    """Hits of function words, or of a script, per language."""
-    scores: dict[str, float] = {}
-    if not text.isascii():
-        for language, pattern in SCRIPTS:
-            if n := len(re.findall(pattern, text)):
-                scores[language] = n
-    for w in WORD.findall(text.lower()):
-        for language in LANGUAGES_OF.get(w, ()):
-            scores[language] = scores.get(language, 0) + 1
-    return scores
+    if not REFUSAL.search(low):
+        return False
+    own = set(re.findall(r"\d+", low)) - set(re.findall(r"\d+", prompt or ""))
+    return not own and not re.search(r"(?:\b(?:is|equals|to|ist|est|es)|=|:)\s*-?[\[\d]", low)
 
 
 def differs_in_language(prompt: str | None, text: str) -> bool:
     """Whether a plain() response is written in another language than the prompt."""
-    words = WORD.findall(S.MATRIX.sub(" ", text))
-    asked = language_scores(S.MATRIX.sub(" ", S.plain(prompt or "")))
-    if not asked or not words:
-        return False
-    own = max(asked, key=lambda k: (asked[k], k == "en"))
-    letters = 0 if text.isascii() else sum(c.isalpha() for c in text)
-    foreign = [lang for lang, pattern in SCRIPTS if letters and len(re.findall(pattern, text)) > 0.3 * letters]
-    if foreign:
-        return own not in foreign
-    scores = language_scores(text)
-    here = scores.get(own, 0)
-    other = max((n for lang, n in scores.items() if lang != own), default=0)
-    if other >= 2 and other > here:
-        return True
-    return len(words) >= 4 and here == 0 and other <= 1 and len(words) >= 5
+    return differs(S.MATRIX.sub(" ", S.plain(prompt or "")), S.MATRIX.sub(" ", text))
 
 
 def classify(prompt: str | None, response: str | None, cut: bool) -> str | None:

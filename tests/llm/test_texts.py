@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.llm import defects, structure, truncation
+from sparkloom.llm import defects, language, structure, truncation
 
 MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string,name:string>"
 CHATS = f"idx bigint, task_id bigint, source string, messages array<{MESSAGE}>, stepwise_ground_truths string, instruction string, key string, text string"
@@ -158,3 +158,51 @@ def test_tiling():
     in_a, in_b = defects.tiling(a, b)
     assert in_a == set(range(6)) and in_b == {1, 2, 3, 5, 6, 7}
     assert defects.tiling(["a", "b"], ["a", "b"]) == (set(), set())
+
+
+@pytest.mark.parametrize("text", ["The matrix is singular.", "Yes, it is symmetric.", "It has full rank, so the columns are independent.", "Matrix invertible, columns independent, rank maximal overall", "The system cannot be solved uniquely.", "No, there is none."])
+def test_answers_without_digits_are_no_defects(text):
+    assert defects.classify(ASKED, text, False) is None
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We are not allowed to discuss graded homework.", "Requests like this one are not answered.", "My guidelines prohibit replying to it.", "I would prefer you try it yourself.", "Leider darf ich diese Frage nicht beantworten.", "Malheureusement, je ne peux pas répondre.",
+        "Purtroppo non posso aiutare.", "Helaas kan ik niet helpen.", "Infelizmente não posso responder.", "That goes against our policy.", "I respectfully decline.",
+    ],
+)
+def test_refusals(text):
+    assert defects.classify(ASKED, text, False) == "refusal"
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 4, 12])
+def test_prompts_given_back_many_times(times):
+    long = "Compute the rank of M and tell which of its columns are independent, where M is the matrix that the tutor wrote on the board in the last lesson before the break, please."
+    assert defects.classify(long, " ".join([long] * times), False) == "copy"
+    assert defects.classify("Rank of [[1, 2]]?", " / ".join(["rank of [[1,2]]"] * times), False) == "copy"
+    assert defects.classify(long, " ".join([long] * times) + " It is 7.", False) is None
+
+
+def test_long_repetitions_take_no_long():
+    import time
+
+    began = time.perf_counter()
+    defects.is_copy("word " * 3000, "word " * 9000)
+    defects.tiling([str(i % 50) for i in range(20_000)], [str(i % 50) for i in range(20_000)])
+    assert time.perf_counter() - began < 20
+
+
+HELD_OUT = {
+    "en": "After the rows were swapped we saw that nothing else would change, so the answer stays where it was.", "de": "Nachdem wir die Zeilen getauscht hatten, änderte sich sonst nichts, deshalb bleibt die Antwort gleich.",
+    "fr": "Quand on échange les lignes, rien d'autre ne change, donc la réponse reste la même.", "es": "Cuando se cambian las filas no cambia nada más, así que la respuesta sigue igual.", "it": "Quando si scambiano le righe non cambia altro, perciò la risposta resta la stessa.",
+    "nl": "Wanneer we de rijen verwisselen verandert er verder niets, dus blijft het antwoord hetzelfde.", "pt": "Quando trocamos as linhas nada mais muda, portanto a resposta continua a mesma.", "pl": "Gdy zamienimy wiersze, nic więcej się nie zmienia, więc odpowiedź pozostaje taka sama.",
+    "tr": "Satırları değiştirdiğimizde başka bir şey değişmez, bu yüzden cevap aynı kalır.", "ru": "Если поменять строки, ничего больше не изменится.", "zh": "交换两行以后，其他都不变。",
+}
+
+
+@pytest.mark.parametrize("own", sorted(HELD_OUT))
+def test_languages_held_out(own):
+    assert own in language.likely(HELD_OUT[own])
+    assert [other for other in HELD_OUT if other != own and not language.differs(HELD_OUT[own], HELD_OUT[other])] == []
+    assert not language.differs(HELD_OUT[own], HELD_OUT[own])
