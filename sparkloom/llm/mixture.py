@@ -11,7 +11,7 @@ tasks; ranks are made by counts per partition and source, of which there are few
 
 Defined cases: documents without tokens or without source take no part; a source without documents
 contributes nothing and is reported with all of its target missing; ties in size are ordered by id;
-repeated rows of ``targets`` count once.
+of repeated rows of ``targets`` the smallest counts.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ def ranked_documents(documents: DataFrame, vocabulary: str, folder: str) -> Data
 
 def plan(targets: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     """mix_id, source, target_tokens, max_repeats, size of the source, expected copies, offset in [0, 1)."""
-    wanted = targets.dropDuplicates(["mix_id", "source_name"]).select(
+    held = ("target_permille", "max_repeats", "budget_tokens")
+    one = targets.groupBy("mix_id", "source_name").agg(F.min(F.struct(*held)).alias("t")).select("mix_id", "source_name", *[f"t.{c}" for c in held])
+    wanted = one.select(
         "mix_id", F.col("source_name").alias("source"), "target_permille", "max_repeats", "budget_tokens", (F.col("target_permille") * F.col("budget_tokens") / 1000).alias("target_tokens")
     )
     offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_id", "source"), 11) / F.lit(float(1 << 53))

@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: quota.shortfalls(table(s, d, "questions"), table(s, d, "sample_targets")),
         "p3_sample": lambda s, d: quota.draw_sample(table(s, d, "questions"), table(s, d, "sample_targets")),
         "p3_report": lambda s, d: quota.QuotaPlan(table(s, d, "questions"), table(s, d, "sample_targets")).report(),
+        "p3_below_need": lambda s, d: quota.below_need(table(s, d, "questions"), table(s, d, "sample_targets")),
         "p5_found": lambda s, d: truncation.found(table(s, d, "conversations_chat"), table(s, d, "tasks")),
         "p5_report": lambda s, d: truncation.report(table(s, d, "conversations_chat"), table(s, d, "tasks")),
         "p6_ids": lambda s, d: bpe.encode_corpus(table(s, d, "documents")),

@@ -7,8 +7,13 @@ totals per source stay within the floor and the ceiling of theirs. Each cell the
 quota of the rows with the smallest random keys: a histogram of key prefixes per cell finds the
 prefix where the quota is reached, so only the rows of that one prefix are ranked, never a cell.
 
+What a plan needs and can't have is read off a second max-flow, from the needs through the rows of
+each cell: whatever it leaves of a category's need, no draw could reach. The report also names the
+categories whose drawn quota is below their need though there were rows, and why.
+
 The driver holds only the table of cells: plans x categories x sources, whatever the rows. If the
-second attribute had more than ``max_strata`` values, the rest form one stratum.
+second attribute has more than ``max_strata`` values, the smaller ones share one stratum; category
+quotas stay exact, and null stays a stratum of its own.
 
 Defined cases: a null or unknown category belongs to no plan; a plan without any row draws nothing
 and reports every category with a need as short; a null stratum is a stratum of its own; duplicate
@@ -21,7 +26,7 @@ import math
 from collections import defaultdict, deque
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text forms of the difficulty enum.
@@ -150,6 +155,44 @@ def _expanded(questions: DataFrame, attrs: set[str], id_col: str, stratum: str)
     )
 
 
+#: Stratum of a cell: a named one, the one of null, or the one of all that are neither.
+NULL_STRATUM, REST = "null:", "rest:"
+
+
+def spark_strata(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(n, True) for n in names], "stratum string, is_named boolean")
+
+
+def cell_stratum() -> Column:
+    """The stratum's key, which keeps null apart from the rest."""
+    return F.when(F.col("stratum").isNull(), NULL_STRATUM).when(F.col("is_named"), F.concat(F.lit("name:"), "stratum")).otherwise(REST)
+
+
+def stratum_name(key: Column) -> Column:
+    """The stratum as it stands in the rows: null for null, '(other)' for the rest."""
+    return F.when(key == REST, "(other)").when(key != NULL_STRATUM, F.substring(key, 6, 1 << 30))
+
+
+def unmet_needs(needs: list[int], there: list[dict[str, int]]) -> list[int]:
+    """How much of each category's need no draw can meet: a max-flow from needs through the cells' rows.
+
+    Source to category: its need; category to stratum: the rows of the cell; stratum to sink: all its
+    rows. What the flow leaves of the first edges is missing.
+    """
+    strata = sorted({s for cells in there for s in cells})
+    at = {s: len(needs) + k for k, s in enumerate(strata)}
+    source, sink = len(needs) + len(strata), len(needs) + len(strata) + 1
+    flow = Flow(sink + 1)
+    wanted = [flow.add(source, i, need) for i, need in enumerate(needs)]
+    for i, cells in enumerate(there):
+        for s, n in cells.items():
+            flow.add(i, at[s], n)
+    for s in strata:
+        flow.add(at[s], sink, sum(cells.get(s, 0) for cells in there))
+    flow.run(source, sink)
+    return [flow.edges[e][1] for e in wanted]
+
+
 class QuotaPlan:
     """Integer quotas of every cell, and the report per target row."""
 
@@ -161,11 +204,11 @@ class QuotaPlan:
         counts = self.rows.groupBy("attribute", "category", "stratum").agg(F.count("*").alias("n"))
         if named is not None:
             counts = counts.join(named, ["attribute", "category"], "left_semi")
-            strata = counts.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata)
-            self.kept = [r["stratum"] for r in strata.collect()]
-            whole = F.when(F.col("stratum").isin([s for s in self.kept if s is not None]), F.col("stratum")) if len(self.kept) >= max_strata else F.col("stratum")
-            self.rows = self.rows.withColumn("stratum", whole)
-            cells = counts.withColumn("stratum", whole).groupBy("attribute", "category", "stratum").agg(F.sum("n").alias("n")).collect()
+            named_strata = [r["stratum"] for r in counts.filter("stratum is not null").groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata).collect()]
+            kept = spark_strata(self.spark, named_strata)
+            self.rows, counts = self.rows.join(F.broadcast(kept), "stratum", "left"), counts.join(F.broadcast(kept), "stratum", "left")
+            cells = counts.withColumn("stratum", cell_stratum()).groupBy("attribute", "category", "stratum").agg(F.sum("n").alias("n")).collect()
+            self.rows = self.rows.withColumn("stratum", cell_stratum()).drop("is_named")
         else:
             cells = []
         there: dict[tuple, dict] = defaultdict(dict)
@@ -176,23 +219,26 @@ class QuotaPlan:
             own = [r for r in plan if r["plan_id"] == pid]
             have = [sum(there[r["attribute"], r["category"]].values()) for r in own]
             quota = category_quotas([r["share_permille"] or 0 for r in own], [r["min_rows"] or 0 for r in own], own[0]["sample_rows"] or 0, have)
-            strata = sorted({s for r in own for s in there[r["attribute"], r["category"]]}, key=lambda s: (s is None, s or ""))
+            strata = sorted({s for r in own for s in there[r["attribute"], r["category"]]})
             table = [[Fraction(q * there[r["attribute"], r["category"]].get(s, 0), h) if h else Fraction(0) for s in strata] for r, q, h in zip(own, quota, have)]
             whole_cells = controlled_rounding(table)
-            for r, q, h, ints in zip(own, quota, have, whole_cells):
-                need = max(r["min_rows"] or 0, -(-(r["share_permille"] or 0) * (r["sample_rows"] or 0) // 1000))
-                self.report_rows.append((pid, r["attribute"], r["category"], need, h, sum(ints)))
+            needs = [max(r["min_rows"] or 0, -(-(r["share_permille"] or 0) * (r["sample_rows"] or 0) // 1000)) for r in own]
+            missing = unmet_needs(needs, [there[r["attribute"], r["category"]] for r in own])
+            for r, need, lost, h, ints in zip(own, needs, missing, have, whole_cells):
+                short = need - sum(ints)
+                reason = "rows" if lost > 0 else None if short <= 0 else "minimum" if need == (r["min_rows"] or 0) else "rounding" if short == 1 else "other minima"
+                self.report_rows.append((pid, r["attribute"], r["category"], need, h, sum(ints), lost, reason))
                 self.quotas += [(pid, r["attribute"], r["category"], s, k) for s, k in zip(strata, ints) if k]
 
     def report(self) -> DataFrame:
-        """plan_id, attribute, category, need, available, quota."""
-        return self.spark.createDataFrame(self.report_rows, "plan_id int, attribute string, category string, need bigint, available bigint, quota bigint")
+        """plan_id, attribute, category, need, rows available, quota drawn, unmet (what no draw could reach), reason (why the quota is below the need, or null)."""
+        return self.spark.createDataFrame(self.report_rows, "plan_id int, attribute string, category string, need bigint, available bigint, quota bigint, unmet bigint, reason string")
 
     def draw(self, seed: int = 146959810) -> DataFrame:
         """plan_id, attribute, category, stratum, row_id of the drawn rows, exactly the quota of each cell."""
-        cells = self.spark.createDataFrame(self.quotas, "plan_id int, attribute string, category string, stratum string, quota bigint").withColumn("stratum_key", F.struct("stratum"))
+        cells = self.spark.createDataFrame(self.quotas, "plan_id int, attribute string, category string, stratum string, quota bigint").withColumnRenamed("stratum", "stratum_key")
         keyed = (
-            self.rows.withColumn("stratum_key", F.struct("stratum")).drop("stratum")
+            self.rows.withColumnRenamed("stratum", "stratum_key")
             .join(F.broadcast(cells) if len(self.quotas) <= 100_000 else cells, ["attribute", "category", "stratum_key"])
             .withColumn("key", F.xxhash64(F.lit(seed), "plan_id", "row_id"))
             .withColumn("prefix", F.shiftrightunsigned("key", 64 - PREFIX_BITS))
@@ -203,18 +249,23 @@ class QuotaPlan:
             keyed.groupBy(*cell, "quota", "prefix").agg(F.count("*").alias("n"))
             .withColumn("upto", F.sum("n").over(w))
             .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-            .select("plan_id", "attribute", "category", "stratum_key.stratum", F.col("prefix").alias("edge"), (F.col("quota") - F.col("upto") + F.col("n")).alias("still"))
+            .select("plan_id", "attribute", "category", "stratum_key", F.col("prefix").alias("edge"), (F.col("quota") - F.col("upto") + F.col("n")).alias("still"))
             .collect()
         )  # fmt: skip  # one row a cell
-        cut = self.spark.createDataFrame(edges, "plan_id int, attribute string, category string, stratum string, edge bigint, still bigint").withColumn("stratum_key", F.struct("stratum")).drop("stratum")
+        cut = self.spark.createDataFrame(edges, "plan_id int, attribute string, category string, stratum_key string, edge bigint, still bigint")
         found = keyed.join(F.broadcast(cut) if len(edges) <= 100_000 else cut, cell).filter(F.col("prefix") <= F.col("edge"))
         rank = F.row_number().over(Window.partitionBy(*cell, "prefix").orderBy("key", "row_id"))
-        return found.withColumn("rank", rank).filter((F.col("prefix") < F.col("edge")) | (F.col("rank") <= F.col("still"))).select("plan_id", "attribute", "category", "stratum", "row_id")
+        return found.withColumn("rank", rank).filter((F.col("prefix") < F.col("edge")) | (F.col("rank") <= F.col("still"))).select("plan_id", "attribute", "category", stratum_name(F.col("stratum_key")).alias("stratum"), "row_id")
 
 
 def shortfalls(questions: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target rows whose need exceeds the rows of their category, from the quota plan's report."""
-    return QuotaPlan(questions, targets).report().filter(F.col("need") > F.col("available")).select("plan_id", "attribute", "category")
+    """Target rows whose need no draw can meet: what the max-flow through the cells' rows leaves of it."""
+    return QuotaPlan(questions, targets).report().filter("unmet > 0").select("plan_id", "attribute", "category")
+
+
+def below_need(questions: DataFrame, targets: DataFrame) -> DataFrame:
+    """Target rows whose drawn quota is below their need, and why: too few rows, others' minima, or rounding."""
+    return QuotaPlan(questions, targets).report().filter("reason is not null")
 
 
 def draw_sample(questions: DataFrame, targets: DataFrame, seed: int = 146959810) -> DataFrame:

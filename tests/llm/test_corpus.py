@@ -210,6 +210,23 @@ def test_quota_sample(spark):
     assert sum(by_source.values()) == 50 and None in by_source
 
 
+def test_many_strata_share_one_and_null_stays_apart(spark):
+    rows = [(i, "ONE_TOOL_CALL", None, None, None if i % 10 == 0 else f"s{i % 10}", "x", "y", "z") for i in range(300)]
+    targets = spark.createDataFrame([(1, "difficulty", "ONE_TOOL_CALL", 1000, 1, 100)], T)
+    drawn = quota.QuotaPlan(spark.createDataFrame(rows, Q), targets, max_strata=3).draw().collect()
+    n = {}
+    for d in drawn:
+        n[d["stratum"]] = n.get(d["stratum"], 0) + 1
+    assert sum(n.values()) == 100 and n[None] == 10 and n.keys() == {None, "s1", "s2", "s3", "(other)"} and n["(other)"] == 60
+
+
+def test_reasons_of_quotas_below_need(spark):
+    rows = [(i, ["ONE_TOOL_CALL", "TWO_TOOL_CALLS"][i % 2], "t", 1, "s", "x", "y", "z") for i in range(200)]
+    targets = spark.createDataFrame([(1, "difficulty", "ONE_TOOL_CALL", 800, 1, 100), (1, "difficulty", "TWO_TOOL_CALLS", 100, 50, 100), (1, "difficulty", "THREE_TOOL_CALLS", 100, 3, 100)], T)
+    got = {r["category"]: (r["unmet"], r["reason"]) for r in quota.below_need(spark.createDataFrame(rows, Q), targets).collect()}
+    assert got == {"ONE_TOOL_CALL": (0, "other minima"), "THREE_TOOL_CALLS": (10, "rows")}
+
+
 def test_quota_of_empty_tables(spark):
     empty = quota.QuotaPlan(spark.createDataFrame([], Q), spark.createDataFrame([(1, "difficulty", "ONE_TOOL_CALL", 1000, 1, 10)], T))
     assert empty.report().first()["quota"] == 0 and empty.draw().count() == 0
