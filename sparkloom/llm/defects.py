@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,6 +105,8 @@ def _compiled(rule: str, slots: dict[str, str]) -> str:
 
 REFUSAL = re.compile("|".join(_compiled(rule, slots) for lang, slots in SLOTS.items() for rule in SENTENCES.get(lang, FOREIGN)))
 TOKEN = re.compile(r"-?\d+(?:\.\d+)?|[^\W\d_]+")
+DIGITS = re.compile(r"\d+")
+ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 TILE = 3
 #: Running hashes of tiles.
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -189,8 +192,9 @@ def is_copy(prompt: str | None, text: str) -> bool:
     a, b = TOKEN.findall(text.lower()), TOKEN.findall(S.plain(prompt).lower())
     words = [i for i, t in enumerate(a) if t[0].isalpha()]
     asked = [j for j, t in enumerate(b) if t[0].isalpha()]
-    if not words or not asked or {*a}.isdisjoint(b):
-        return False
+    set_a, set_b = set(a), set(b)
+    if not words or sum(a[i] in set_b for i in words) < 0.7 * len(words) or not asked or sum(b[j] in set_a for j in asked) < 0.7 * len(asked):
+        return False  # can't be covered
     if a == b:
         return True
     in_a, in_b = tiling(a, b, min(TILE, len(b)))
@@ -200,10 +204,16 @@ def is_copy(prompt: str | None, text: str) -> bool:
     return not new_numbers and sum(i in in_a for i in words) >= 0.7 * len(words) and sum(j in in_b for j in asked) >= 0.7 * len(asked)
 
 
+@lru_cache(maxsize=50_000)
+def declines(sentence: str) -> bool:
+    """Whether the grammar reads a sentence, numbers masked, as a refusal. Sentences repeat."""
+    return bool(REFUSAL.search(sentence))
+
+
 def is_refusal(text: str, prompt: str | None) -> bool:
     """Whether a plain() response declines to answer: by the grammar, and stating no value of its own."""
     low = text.lower().replace("’", "'")
-    if not REFUSAL.search(low):
+    if not any(declines(DIGITS.sub("0", sentence)) for sentence in ENDS.split(low)):
         return False
     own = set(re.findall(r"\d+", low)) - set(re.findall(r"\d+", prompt or ""))
     return not own and not re.search(r"(?:\b(?:is|equals|to|ist|est|es)|=|:)\s*-?[\[\d]", low)

@@ -57,7 +57,7 @@ SAMPLES = {
 #: Scripts that belong to languages without samples.
 SCRIPTS = (("ru", r"[Ѐ-ӿ]"), ("zh", r"[一-鿿぀-ヿ]"), ("ko", r"[가-힯]"), ("ar", r"[؀-ۿ]"), ("el", r"[Ͱ-Ͽ]"), ("he", r"[֐-׿]"), ("hi", r"[ऀ-ॿ]"), ("th", r"[฀-๿]"))
 SCRIPTS = tuple((name, re.compile(pattern)) for name, pattern in SCRIPTS)
-WORD = re.compile(r"[^\W\d_]+")
+WORD, ENDS = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?]\s+|\n")
 #: Longest n-gram, smoothing, and by how much another language must be likelier: in all, and for each word.
 LONGEST, SMOOTHING, MARGIN, MARGIN_PER_WORD = 4, 0.5, 6.0, 0.6
 
@@ -88,11 +88,11 @@ def word_scores(word: str) -> tuple[float, ...]:
 
 
 def scores(text: str) -> dict[str, float]:
-    """Log likelihood of a text's words per language."""
+    """Log likelihood of a text's words per language, sentence by sentence, as these repeat."""
     totals = [0.0] * len(MODEL)
-    for w in WORD.findall(text.lower()):
-        if len(w) > 1:
-            totals = [a + b for a, b in zip(totals, word_scores(w))]
+    for part in ENDS.split(text.lower()):
+        if words := [w for w in WORD.findall(part) if len(w) > 1]:
+            totals = [a + b for a, b in zip(totals, _sentence_scores(" ".join(words)))]
     return dict(zip(MODEL, totals))
 
 
@@ -104,6 +104,14 @@ def script(text: str) -> str | None:
     return next((name for name, pattern in SCRIPTS if len(pattern.findall(text)) > 0.3 * letters), None)
 
 
+@lru_cache(maxsize=50_000)
+def _sentence_scores(words: str) -> tuple[float, ...]:
+    totals = [0.0] * len(MODEL)
+    for w in words.split():
+        totals = [a + b for a, b in zip(totals, word_scores(w))]
+    return tuple(totals)
+
+
 def likely(text: str) -> set[str]:
     """The languages a text may be written in: its script's, or all within half the margin of the likeliest; none without words."""
     if own := script(text):

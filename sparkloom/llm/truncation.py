@@ -160,30 +160,33 @@ def longer_copies(strings: DataFrame) -> DataFrame:
     ``strings`` has frag (distinct) and n. All strings that begin with a string follow it in the
     order, so a stack of open prefixes counts them in one scan of each sorted partition. Strings
     still open at a partition's end may be continued in later partitions, at whose start the longer
-    ones must stand: those are told the lengths and hashes of the open strings, a few for each
-    partition and never the strings, and count what begins with them.
+    ones must stand: those whose first string goes on an open one are told the lengths and hashes of
+    the open strings, a few for each partition and never the strings, and count what begins with them.
     """
     parts = partitions_for(strings.sparkSession)
     ordered = cut_lineage(strings.select("frag", "n").repartitionByRange(parts, "frag").sortWithinPartitions("frag").withColumn("part", F.spark_partition_id()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[list] = []  # string, n, n of longer ones
-        part = None
-        names, kinds = ["frag", "n_longer", "part", "hash"], (pa.string(), pa.int64(), pa.int32(), pa.int64())
+        part, begun = None, False
+        names, kinds = ["frag", "n_longer", "part", "hash", "role"], (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string())
 
         def closed(out: list[tuple], is_open: bool) -> None:
             s, n, longer = stack.pop()
             if stack:
                 stack[-1][2] += n + longer
             if longer or is_open:
-                out.append((s, longer, part, prefix_hash(s) if is_open else None))
+                out.append((s, longer, part, prefix_hash(s) if is_open else None, "open" if is_open else "closed"))
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
 
         for b in batches:
             out: list[tuple] = []
             for s, n, part in S.rows(b):
+                if not begun:
+                    out.append((s, None, part, None, "first"))
+                    begun = True
                 while stack and not s.startswith(stack[-1][0]):
                     closed(out, False)
                 stack.append([s, n, 0])
@@ -194,8 +197,18 @@ def longer_copies(strings: DataFrame) -> DataFrame:
                 closed(out, True)
             yield batch(out)
 
-    seen = cut_lineage(ordered.mapInArrow(scan, "frag string, n_longer bigint, part int, hash bigint"))
-    edges = [tuple(r) for r in seen.filter("hash is not null").select("part", F.length("frag"), "hash").collect()]
+    seen = cut_lineage(ordered.mapInArrow(scan, "frag string, n_longer bigint, part int, hash bigint, role string"))
+    edges = [tuple(r) for r in seen.filter("role = 'open'").select("part", F.length("frag"), "hash").collect()]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            into = [part for s, part in S.rows(b) if any(p < part and length <= len(s) and prefix_hash(s[:length]) == h for p, length, h in edges)]
+            yield pa.RecordBatch.from_arrays([pa.array(into, pa.int32())], names=["part"])
+
+    entered = [r["part"] for r in seen.filter("role = 'first'").select("frag", "part").mapInArrow(met, "part int").collect()]  # most often none
+    closed_ones = seen.filter("role = 'closed'").select("frag", "n_longer")
+    if not entered:
+        return closed_ones.unionByName(seen.filter("role = 'open' and n_longer > 0").select("frag", "n_longer"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[list] | None = None  # prefix, hash, n of what begins with it
@@ -214,9 +227,9 @@ def longer_copies(strings: DataFrame) -> DataFrame:
         done += [(h, n) for _, h, n in open_ or []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else [[]] * 2)], names=["hash", "n_later"])
 
-    later = ordered.mapInArrow(follow, "hash bigint, n_later bigint").groupBy("hash").agg(F.sum("n_later").alias("n_later"))
-    crossed = seen.filter("hash is not null").join(later, "hash", "left").select("frag", (F.col("n_longer") + F.coalesce("n_later", F.lit(0))).alias("n_longer"))
-    return seen.filter("hash is null").select("frag", "n_longer").unionByName(crossed.filter("n_longer > 0"))
+    later = ordered.filter(F.col("part").isin(entered)).mapInArrow(follow, "hash bigint, n_later bigint").groupBy("hash").agg(F.sum("n_later").alias("n_later"))
+    crossed = seen.filter("role = 'open'").join(later, "hash", "left").select("frag", (F.col("n_longer") + F.coalesce("n_later", F.lit(0))).alias("n_longer"))
+    return closed_ones.unionByName(crossed.filter("n_longer > 0"))
 
 
 def prefix_hash(s: str) -> int:
