@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import structure as S
 from sparkloom.llm.language import differs
-from sparkloom.llm.truncation import copies, cut_messages, cut_texts, has_letters, instructions, may_be_open
+from sparkloom.llm.truncation import copies, cut_texts, has_letters, instructions, may_be_open, message_texts, task_prompts
+from sparkloom.session import cut_lineage
 
 # Marks of no answer and the words of the refusal grammar.
 NO_ANSWER = frozenset(
@@ -254,25 +255,33 @@ def defects(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_kind", "pair_id", "prompt", "response", "cut").mapInArrow(run, "pair_kind string, pair_id bigint, defect string")
 
 
-def question_pairs(questions: DataFrame) -> DataFrame:
-    """question with answer; the answers' corpus tells which were cut."""
-    rows = questions.select(F.col("question_id").cast("bigint").alias("question_id"), "question", "answer", F.col("golden.final_answer").alias("final"))
+def question_texts(questions: DataFrame) -> DataFrame:
+    """Answers as texts to judge, questions as further copies. Keys begin with q."""
+    rows = questions.select(F.concat(F.lit("q"), F.col("question_id").cast("bigint").cast("string")).alias("key"), "question", "answer", F.col("golden.final_answer").alias("final"))
     texts = rows.select(
-        F.col("question_id").cast("string").alias("key"), F.lit(0).alias("pos"), F.col("answer").alias("text"), F.lit(True).alias("formal"), F.when(~has_letters(F.col("answer")), F.col("final")).alias("truths"),
-        F.lit(True).alias("asked"), F.when(may_be_open(F.col("answer")) & has_letters(F.col("answer")), F.array("question")).alias("prompts"),
+        "key", F.lit(0).alias("pos"), F.col("answer").alias("text"), F.lit(True).alias("formal"), F.when(~has_letters(F.col("answer")), F.col("final")).alias("truths"), F.lit(True).alias("asked"),
+        F.when(may_be_open(F.col("answer")) & has_letters(F.col("answer")), F.array("question")).alias("prompts"),
     ).filter("text is not null")
-    cut = cut_texts(texts.unionByName(copies(rows, "question"))).select(F.col("key").cast("bigint").alias("question_id"), F.lit(True).alias("cut"))
-    return rows.join(cut, "question_id", "left").select(F.lit("question").alias("pair_kind"), F.col("question_id").alias("pair_id"), F.col("question").alias("prompt"), F.col("answer").alias("response"), "cut")
+    return texts.unionByName(copies(rows, "question"))
 
 
-def task_pairs(conversations: DataFrame, tasks: DataFrame) -> DataFrame:
-    """instruction with the closing assistant message of each conversation of a task."""
+def question_pairs(questions: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """question with answer. ``cut``: key, pos of cut texts; without it the answers alone are judged."""
+    cut = cut_texts(question_texts(questions)) if cut is None else cut
+    marked = cut.filter("key like 'q%'").select(F.expr("cast(substring(key, 2) as bigint)").alias("question_id"), F.lit(True).alias("cut"))
+    rows = questions.select(F.col("question_id").cast("bigint").alias("question_id"), "question", "answer")
+    return rows.join(marked, "question_id", "left").select(F.lit("question").alias("pair_kind"), F.col("question_id").alias("pair_id"), F.col("question").alias("prompt"), F.col("answer").alias("response"), "cut")
+
+
+def task_pairs(conversations: DataFrame, tasks: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """instruction with the closing assistant message of each conversation of a task. ``cut`` as in question_pairs()."""
+    cut = cut_texts(message_texts(conversations, tasks), task_prompts(conversations, tasks)) if cut is None else cut
     closing = F.expr("filter(transform(messages, (m, i) -> struct(i as pos, m.role as role, m.content as content, coalesce(size(m.tool_calls), 0) as calls)), m -> m.role = 'assistant' and m.calls <= 0)")
     last = conversations.select(F.col("idx").cast("bigint").alias("idx"), "task_id", F.try_element_at(closing, F.lit(-1)).alias("m")).filter("m is not null and task_id is not null")
     pairs = last.select("idx", "task_id", F.col("m.pos").alias("pos"), F.col("m.content").alias("content")).join(instructions(tasks), "task_id")
-    cut = cut_messages(conversations, tasks).select("idx", F.col("msg_pos").alias("pos"), F.lit(True).alias("cut"))
+    marked = cut.filter("key not like 'q%'").select(F.col("key").cast("bigint").alias("idx"), "pos", F.lit(True).alias("cut"))
     respond = F.when(F.instr("content", "<") > 0, _response("content")).otherwise(F.col("content"))
-    return pairs.join(cut, ["idx", "pos"], "left").select(F.lit("task").alias("pair_kind"), F.col("idx").alias("pair_id"), F.col("instruction").alias("prompt"), respond.alias("response"), "cut")
+    return pairs.join(marked, ["idx", "pos"], "left").select(F.lit("task").alias("pair_kind"), F.col("idx").alias("pair_id"), F.col("instruction").alias("prompt"), respond.alias("response"), "cut")
 
 
 def _response(column: str):
@@ -284,7 +293,9 @@ def _response(column: str):
 
 def found(questions: DataFrame, conversations: DataFrame, tasks: DataFrame) -> DataFrame:
     """pair_kind, pair_id, defect of every defective pair."""
-    return defects(question_pairs(questions).unionByName(task_pairs(conversations, tasks)))
+    texts = question_texts(questions).unionByName(message_texts(conversations, tasks))
+    cut = cut_lineage(cut_texts(texts, task_prompts(conversations, tasks)))  # one look-up over the sentences of all texts
+    return defects(question_pairs(questions, cut).unionByName(task_pairs(conversations, tasks, cut)))
 
 
 def report(questions: DataFrame, conversations: DataFrame, tasks: DataFrame) -> DataFrame:
