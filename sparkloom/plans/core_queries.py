@@ -84,8 +84,9 @@ def p4_steps(s: SparkSession, d: str) -> DataFrame:
 
 # Matrix functions --------------------------------------------------------------------------------
 
-MATRICES = """WITH t AS (SELECT question_id, problem_type, CAST(json_extract(stepwise[1].verification.input, '$.matrix') AS DOUBLE[][]) AS m FROM questions),
-v AS (SELECT * FROM t WHERE m IS NOT NULL), sq AS (SELECT * FROM v WHERE len(m) = len(m[1]) AND len(m) <= 3) """
+MATRICES = """WITH st AS (SELECT question_id, problem_type, UNNEST(stepwise) AS s, CAST(generate_subscripts(stepwise, 1) - 1 AS INTEGER) AS step FROM questions),
+t AS (SELECT question_id, step, problem_type, s.tool AS tool, CAST(json_extract(s.verification.input, '$.matrix') AS DOUBLE[][]) AS m FROM st), v AS (SELECT * FROM t WHERE m IS NOT NULL),
+sq AS (SELECT * FROM v WHERE len(m) = len(m[1])) """
 SHOWN = "array_to_string(list_transform({}, lambda r: array_to_string(list_transform(r, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')), ';')"
 DET = "CASE len(m) WHEN 1 THEN m[1][1] WHEN 2 THEN m[1][1]*m[2][2]-m[1][2]*m[2][1] ELSE m[1][1]*(m[2][2]*m[3][3]-m[2][3]*m[3][2])-m[1][2]*(m[2][1]*m[3][3]-m[2][3]*m[3][1])+m[1][3]*(m[2][1]*m[3][2]-m[2][2]*m[3][1]) END"
 
@@ -100,61 +101,98 @@ COF = "CASE len(m) WHEN 1 THEN [[1.0]] WHEN 2 THEN [[m[2][2], -m[2][1]], [-m[1][
 
 
 def matrices(s: SparkSession, d: str) -> DataFrame:
-    held = F.from_json(F.get("stepwise", F.lit(0))["verification"]["input"], "matrix array<array<double>>")["matrix"]
-    return table(s, d, "questions").select("question_id", "problem_type", linalg.fenced(held).alias("m")).filter("m is not null")
+    """The input matrix of every step of every question: question_id, step, problem_type, tool, m."""
+    steps = table(s, d, "questions").select("question_id", "problem_type", F.posexplode("stepwise").alias("step", "s"))
+    held = F.from_json(F.col("s.verification.input"), "matrix array<array<double>>")["matrix"]
+    return steps.select("question_id", "step", "problem_type", F.col("s.tool").alias("tool"), linalg.fenced(held).alias("m")).filter("m is not null")
 
 
 def _unary(name: str, f: Callable, sql: str, square: bool = True) -> None:
+    """The function's value for every matrix, null where it isn't defined. No square matrix of the tables is larger than 3x3; the SQL knows no others."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        return matrices(s, d).select("question_id", linalg.fenced(f(F.col("m"))).alias("result")).filter("result is not null")
+        return matrices(s, d).select("question_id", "step", linalg.fenced(f(F.col("m"))).alias("result"))
 
-    REGISTRY[name] = (run, f"{MATRICES} SELECT question_id, {sql} AS result FROM {'sq' if square else 'v'}")
+    defined = f"CASE WHEN len(m) = len(m[1]) THEN {sql} END" if square else sql
+    REGISTRY[name] = (run, f"{MATRICES} SELECT question_id, step, {defined} AS result FROM v")
 
 
 _unary("L1_transpose", lambda m: linalg.let(linalg.transpose(m), linalg.compact), SHOWN.format("list_transform(range(1, len(m[1]) + 1), lambda j: list_transform(m, lambda r: r[j]))"), square=False)
-_unary("L2_cofactor", lambda m: linalg.let(linalg.cofactor(m), linalg.compact), SHOWN.format(COF))
+_unary("L2_cofactor", lambda m: linalg.compact(linalg.cofactor(m)), SHOWN.format(COF))
 _unary("L3_determinant", linalg.determinant, DET)
 _unary("L4_frobenius", linalg.frobenius, "round(sqrt(list_sum(list_transform(flatten(m), lambda x: x * x))), 2)", square=False)
 _unary("L6_trace", linalg.trace, "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))")
 _unary("L7_product_with_transpose", lambda m: linalg.let(linalg.multiply(m, linalg.transpose(m)), linalg.compact), SHOWN.format("list_transform(m, lambda a: list_transform(m, lambda b: list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2]))))"), square=False)  # noqa: E501
 
 
-@query("L5_rank", f"{MATRICES}, f AS (SELECT question_id, {DET} AS det, m, {COF} AS c FROM sq) SELECT question_id, CASE WHEN det <> 0 THEN len(m) WHEN len(m) = 1 THEN 0 WHEN len(m) = 3 AND list_bool_or(list_transform(flatten(c), lambda x: x <> 0)) THEN 2 WHEN list_bool_or(list_transform(flatten(m), lambda x: x <> 0)) THEN 1 ELSE 0 END AS result FROM f")  # noqa: E501
+# The rank of any shape in SQL: the most independent rows by minors, which suffices for two rows or columns, or 3x3.
+_MINORS = "list_bool_or(list_transform(range(1, len(m) + 1), lambda i: list_bool_or(list_transform(range(1, len(m) + 1), lambda k: list_bool_or(list_transform(range(1, len(m[1]) + 1), lambda j: list_bool_or(list_transform(range(1, len(m[1]) + 1), lambda l: m[i][j] * m[k][l] <> m[i][l] * m[k][j]))))))))"  # noqa: E501
+
+
+@query("L5_rank", f"{MATRICES} SELECT question_id, step, CAST(CASE WHEN len(m) = 3 AND len(m[1]) = 3 AND {DET} <> 0 THEN 3 WHEN {_MINORS} THEN 2 WHEN list_bool_or(list_transform(flatten(m), lambda x: x <> 0)) THEN 1 ELSE 0 END AS BIGINT) AS result FROM v")  # noqa: E501
 def l5(s: SparkSession, d: str) -> DataFrame:
-    m = F.col("m")
-    return matrices(s, d).filter(linalg.is_square(m)).select("question_id", linalg.rank(m).cast("bigint").alias("result")).filter("result is not null")
+    return matrices(s, d).select("question_id", "step", linalg.rank(F.col("m")).alias("result"))
 
 
-@query("L8_solve", f"{MATRICES}, f AS (SELECT question_id, m, {DET} AS det, list_transform(m, lambda r: r[1]) AS b, {COF} AS c FROM sq) SELECT question_id, array_to_string(list_transform(range(1, len(m) + 1), lambda i: CAST(CAST(round(list_sum(list_transform(range(1, len(m) + 1), lambda k: c[k][i] * b[k])) / det, 2) AS BIGINT) AS VARCHAR)), ';') AS result FROM f WHERE det <> 0")  # noqa: E501
+@query("L8_solve", f"{MATRICES}, f AS (SELECT question_id, step, m, {DET} AS det, list_transform(m, lambda r: r[1]) AS b, {COF} AS c FROM sq) SELECT question_id, step, array_to_string(list_transform(range(1, len(m) + 1), lambda i: CAST(CAST(round(list_sum(list_transform(range(1, len(m) + 1), lambda k: c[k][i] * b[k])) / det, 2) AS BIGINT) AS VARCHAR)), ';') AS result FROM f WHERE det <> 0")  # noqa: E501
 def l8(s: SparkSession, d: str) -> DataFrame:
+    """The first column as right-hand side; singular and other matrices have no solution."""
     m = F.col("m")
-    first = F.transform(m, lambda r: F.get(r, F.lit(0)))
-    return matrices(s, d).select("question_id", linalg.fenced(linalg.let(linalg.solve(m, first), linalg.compact)).alias("result")).filter("result is not null")
+    solved = matrices(s, d).select("question_id", "step", linalg.fenced(linalg.solve(m, F.transform(m, lambda r: F.get(r, F.lit(0))))).alias("x"))
+    return solved.filter("x is not null").select("question_id", "step", linalg.compact(F.col("x")).alias("result"))
 
 
-@query("L9_inverse_trace", f"{MATRICES}, f AS (SELECT question_id, m, {DET} AS det, {COF} AS c FROM sq) SELECT question_id, round(list_sum(list_transform(range(1, len(m) + 1), lambda i: round(c[i][i] / det, 2))), 2) + 0.0 AS result FROM f WHERE det <> 0")  # noqa: E501
+@query("L9_inverse_trace", f"{MATRICES}, f AS (SELECT question_id, step, m, {DET} AS det, {COF} AS c FROM sq) SELECT question_id, step, round(list_sum(list_transform(range(1, len(m) + 1), lambda i: round(c[i][i] / det, 2))), 2) + 0.0 AS result FROM f WHERE det <> 0")  # noqa: E501
 def l9(s: SparkSession, d: str) -> DataFrame:
-    return matrices(s, d).select("question_id", linalg.fenced(linalg.let(linalg.inverse(F.col("m")), linalg.trace) + 0.0).alias("result")).filter("result is not null")
+    inverted = matrices(s, d).select("question_id", "step", linalg.fenced(linalg.inverse(F.col("m"))).alias("x"))
+    return inverted.filter("x is not null").select("question_id", "step", (linalg.trace(F.col("x")) + 0.0).alias("result"))
+
+
+_TRACE = "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))"
+_JSON = "'[[' || array_to_string(list_transform({}, lambda r: array_to_string(list_transform(r, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ', ')), '], [') || ']]'"
+_TRANSPOSED = "list_transform(range(1, len(m[1]) + 1), lambda j: list_transform(m, lambda r: r[j]))"
+_TEXT = (
+    "CASE WHEN tool = 'matrix_transpose' THEN " + _JSON.format(_TRANSPOSED) + " WHEN tool = 'frobenius_norm' THEN CAST(round(sqrt(list_sum(list_transform(flatten(m), lambda x: x * x))), 2) AS VARCHAR) "
+    f"WHEN tool = 'matrix_rank' THEN CAST(CASE WHEN len(m) = 3 AND len(m[1]) = 3 AND {DET} <> 0 THEN 3 WHEN {_MINORS} THEN 2 WHEN list_bool_or(list_transform(flatten(m), lambda x: x <> 0)) THEN 1 ELSE 0 END AS VARCHAR) "
+    "WHEN tool IN ('determinant', 'matrix_cofactor', 'matrix_trace') AND len(m) <> len(m[1]) THEN '{}Matrix must be square' WHEN tool = 'determinant' THEN CAST(" + DET + " AS VARCHAR) "
+    "WHEN tool = 'matrix_trace' THEN CAST(" + _TRACE + " AS VARCHAR) WHEN tool = 'matrix_cofactor' THEN " + _JSON.format(COF) + " ELSE '{}Function ''' || coalesce(tool, 'None') || ''' not found in library' END"
+)
+
+
+def _executed(error: str, kind: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        result = linalg.execute(F.col("tool"), F.col("m"), error, kind)
+        plain_number = F.when(F.col("tool").isin("determinant", "matrix_trace", "frobenius_norm"), F.col("r").try_cast("double"))
+        return matrices(s, d).select("question_id", "step", "tool", result.alias("r")).select("question_id", "step", F.when(plain_number.isNull(), F.col("r")).alias("text"), plain_number.alias("number"))
+
+    return run
+
+
+def _executed_sql(error: str, kind: str) -> str:
+    text = _TEXT.replace("'{}Matrix", f"'{error}{kind}Matrix").replace("'{}Function", f"'{error}Function")
+    return f"{MATRICES}, r AS (SELECT question_id, step, tool, {text} AS r FROM v), n AS (SELECT *, CASE WHEN tool IN ('determinant', 'matrix_trace', 'frobenius_norm') THEN TRY_CAST(r AS DOUBLE) END AS number FROM r) SELECT question_id, step, CASE WHEN number IS NULL THEN r END AS text, number FROM n"
+
+
+REGISTRY["L12_execute"] = (_executed("ERROR: ", "ValueError: "), _executed_sql("ERROR: ", "ValueError: "))
+REGISTRY["L13_tool_wrappers"] = (_executed("Error: ", ""), _executed_sql("Error: ", ""))
 
 
-@query("L12_execute", f"{MATRICES} SELECT question_id, CASE WHEN problem_type IS NULL THEN 'ERROR: Function ''unknown_tool'' not found in library' WHEN len(m) <> len(m[1]) THEN 'ERROR: ValueError: Matrix must be square' ELSE CAST(list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i])) AS VARCHAR) END AS result FROM v")  # noqa: E501
-def l12(s: SparkSession, d: str) -> DataFrame:
-    """The trace of every matrix by the tool's name; questions without a type ask for an unknown tool."""
-    name = F.when(F.col("problem_type").isNull(), "unknown_tool").otherwise("matrix_trace")
-    return matrices(s, d).select("question_id", linalg.execute(name, F.col("m")).alias("result"))
+@query("L10_tool_schemas", "SELECT * FROM (VALUES ('determinant', 'number'), ('frobenius_norm', 'number'), ('matrix_cofactor', 'matrix'), ('matrix_rank', 'integer'), ('matrix_trace', 'number'), ('matrix_transpose', 'matrix')) t(name, returns)")
+def l10(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(t["function"]["name"], t["function"]["returns"]) for t in linalg.tool_schemas()], "name string, returns string")
 
 
-@query("L13_wide_matrices_exact")
-def l13(s: SparkSession, d: str) -> DataFrame:
-    """Rank of every matrix of any shape by the exact kernel (no SQL: elimination)."""
-    return matrices(s, d).select("question_id", linalg.rank_any(F.col("m")).alias("result"))
+@query("L11_return_kinds", "WITH st AS (SELECT question_id, UNNEST(stepwise) AS s, CAST(generate_subscripts(stepwise, 1) - 1 AS INTEGER) AS step FROM questions), r AS (SELECT question_id, step, s.tool AS tool, trim(s.result) AS r FROM st WHERE s IS NOT NULL) SELECT question_id, step, CASE WHEN tool IN ('determinant', 'frobenius_norm', 'matrix_trace') THEN coalesce(regexp_full_match(r, '-?\\d+(\\.\\d+)?([eE][+-]?\\d+)?'), false) WHEN tool = 'matrix_rank' THEN coalesce(regexp_full_match(r, '\\d+'), false) WHEN tool IN ('matrix_cofactor', 'matrix_transpose') THEN coalesce(regexp_full_match(r, '\\[\\s*\\[.*\\]\\s*\\]', 's'), false) END AS ok FROM r")  # noqa: E501
+def l11(s: SparkSession, d: str) -> DataFrame:
+    """Whether each stated result is of the kind its tool returns."""
+    steps = table(s, d, "questions").select("question_id", F.posexplode("stepwise").alias("step", "s")).filter("s is not null")
+    return steps.select("question_id", "step", linalg.return_kind_ok(F.col("s.tool"), F.col("s.result")).alias("ok"))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Cofactor, transpose, trace of every invertible matrix; ranges of the result per problem type."""
     m = F.col("m")
-    recipe = linalg.let(linalg.let(linalg.cofactor(m), linalg.transpose), linalg.trace)
-    v = matrices(s, d).filter(linalg.determinant(m) != 0).select("problem_type", linalg.fenced(recipe).alias("value"))
+    v = matrices(s, d).select("problem_type", linalg.determinant(m).alias("det"), linalg.cofactor(m).alias("c")).filter("det <> 0").select("problem_type", linalg.fenced(linalg.let(linalg.transpose(F.col("c")), linalg.trace)).alias("value"))
     return v.groupBy("problem_type").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.min(F.abs("value")).alias("min_abs"), F.count("*").alias("n"))
 
 

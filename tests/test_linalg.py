@@ -77,3 +77,32 @@ def test_json_round_trip(spark):
     m = [[1.0, -2.5], [3.0, 4.0]]
     df = spark.createDataFrame([(json.dumps(m),)], "t string")
     assert df.select(linalg.parse(F.col("t")).alias("m")).first()["m"] == m
+
+
+def test_every_tool_at_every_size(spark):
+    """4x4, 4x2, 2x4, singular, ragged and empty matrices through execute(), against the exact kernel."""
+    rng = random.Random(9)
+    ms = [[[float(rng.randint(-9, 9)) for _ in range(c)] for _ in range(r)] for r, c in ((4, 4), (4, 2), (2, 4), (5, 5), (3, 3), (1, 6))]
+    ms += [[[(2.0, 3.0, 1.0, 1.0)[i] * (i == j) for j in range(4)] for i in range(4)], [[1.0] * 4] * 4, [[1.0, 2.0], [3.0]], []]
+    rows = [(t, m) for t in linalg.TOOLS for m in ms]
+    df = spark.createDataFrame(rows, "tool string, m array<array<double>>")
+    got = [r["r"] for r in df.select(linalg.execute(F.col("tool"), F.col("m")).alias("r")).collect()]
+
+    def expected(tool, m):
+        try:
+            exact.shape(m)
+        except ValueError:
+            return "ERROR: ValueError: Matrix must be rectangular"
+        try:
+            value = linalg.KERNEL[tool][1](m)
+        except ValueError as e:
+            return f"ERROR: ValueError: {e}"
+        return [[float(x) for x in r] for r in value] if isinstance(value, list) else float(value)
+
+    def parsed(text):
+        return text if text.startswith("ERROR") else [[float(x) for x in r] for r in json.loads(text)] if text.startswith("[") else float(text)
+
+    assert [parsed(g) for g in got] == [expected(t, m) for t, m in rows]
+    m = F.col("m")
+    four = spark.createDataFrame([(ms[6], [2.0, 3.0, 1.0, 1.0])], "m array<array<double>>, b array<double>").select(linalg.determinant(m).alias("d"), linalg.rank(m).alias("r"), linalg.inverse(m).alias("i"), linalg.solve(m, F.col("b")).alias("x")).first()
+    assert four["d"] == 6.0 and four["r"] == 4 and four["i"][0][0] == 0.5 and four["x"] == [[1.0]] * 4
