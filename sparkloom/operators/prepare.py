@@ -130,3 +130,39 @@ def first_action(m: Column) -> Column:
     """Name and content of a message's action: its first call, else respond."""
     call = F.get(m["tool_calls"], F.lit(0))["function"]
     return F.struct(F.coalesce(call["name"], F.lit("respond")).alias("name"), F.coalesce(call["arguments"], m["content"]).alias("content"))
+
+
+def with_constant(df: DataFrame, column: str, value: str) -> DataFrame:
+    """A column that is missing or null gets a constant."""
+    return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in df.columns else F.lit(value))
+
+
+def to_schema(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema by name, cast; missing ones are null, others are dropped."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = _parse_datatype_string(schema).fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def as_text_map(values: dict[str, Column]) -> Column:
+    """Metadata as a map of texts; null values are left out."""
+    made = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+    return F.map_filter(made, lambda k, v: v.isNotNull())
+
+
+def call_row(df: DataFrame, inputs: list[str], outputs: dict[str, Column], metadata: dict[str, Column]) -> DataFrame:
+    """The row of a model call: its inputs, its outputs and a map of metadata."""
+    return df.select(*inputs, *[c.alias(n) for n, c in outputs.items()], as_text_map(metadata).alias("metadata"))
+
+
+def split_name(c: Column) -> Column:
+    """Train, test or validation of any spelling; null for unknown names."""
+    name = F.lower(F.trim(c))
+    return F.when(name.isin("val", "validation"), "validation").when(name.isin("train", "test"), name)
+
+
+def difficulty_of_type(c: Column) -> Column:
+    """Difficulty by the prefix of a problem type's name; null for other names."""
+    name = F.upper(c)
+    return F.when(name.startswith("ONE_"), "ONE_TOOL_CALL").when(name.startswith("TWO_"), "TWO_TOOL_CALLS").when(name.startswith("THREE_"), "THREE_TOOL_CALLS")

@@ -336,16 +336,6 @@ def p17(s: SparkSession, d: str) -> DataFrame:
     return q.filter(F.size("t") > 0).select("idx", F.array_join("t", ">").alias("tools"))
 
 
-@query("P19_rendered", f"WITH {MESSAGES} SELECT idx, count(*) AS n_messages, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM mm GROUP BY idx")
-def p19(s: SparkSession, d: str) -> DataFrame:
-    """Lengths of the rendered conversations without their role marks and calls."""
-    q = table(s, d, "conversations_chat").withColumn("messages", F.filter("messages", lambda m: m.isNotNull())).filter(F.size("messages") > 0)
-    rendered = F.length(prepare.rendered(F.transform("messages", lambda m: m.withField("tool_calls", F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")))))
-    marks = F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["role"]) + 3)
-    n_chars = F.when(F.exists("messages", lambda m: m["content"].isNotNull()), (rendered - marks - F.size("messages") + 1 + 0).cast("bigint"))
-    return q.select("idx", F.size("messages").cast("bigint").alias("n_messages"), n_chars.alias("n_chars"))
-
-
 @query("P21_labels", "SELECT question_id, CASE WHEN length(one) > 96 THEN left(one, 93) || '...' ELSE one END AS label FROM (SELECT question_id, regexp_replace(regexp_replace(question, '[\\s\\x0b\\x{85}\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS one FROM questions)")
 def p21(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "questions").select("question_id", text.label(F.col("question")).alias("label"))
@@ -506,11 +496,6 @@ def x20(s: SparkSession, d: str) -> DataFrame:
     return contents(s, d).select("idx", "pos", text.partial_content(F.col("content"), "answer").alias("answer"))
 
 
-@query("X24_hashes", "SELECT question_id, sha256(coalesce(question, '') || '|' || coalesce(answer, '')) AS digest FROM questions")
-def x24(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "questions").select("question_id", F.sha2(F.concat(F.coalesce("question", F.lit("")), F.lit("|"), F.coalesce("answer", F.lit(""))), 256).alias("digest"))
-
-
 # Conversations -----------------------------------------------------------------------------------
 
 def chat(s: SparkSession, d: str) -> DataFrame:
@@ -634,15 +619,6 @@ def o4(s: SparkSession, d: str) -> DataFrame:
     return metrics.top_values(table(s, d, "documents"), "source", "doc_id", 5)
 
 
-@query("A18_format_ratios", f"WITH {MESSAGES}, a AS (SELECT coalesce({_STRICT}, false) AS ok, coalesce(len({_tag('answer')}), 0) > 0 AS answered FROM mm WHERE role = 'assistant') SELECT count(*) AS n_messages, round(count_if(ok) / count(*), 6) AS format_share, round(count_if(ok AND answered) / count_if(answered), 6) AS answer_format_share, count_if(answered) AS n_answers FROM a")  # noqa: E501
-def a18(s: SparkSession, d: str) -> DataFrame:
-    c = F.col("content")
-    ok, answered = text.thinks_then_answers(c), F.size(text.tag_contents(c, "answer")) > 0
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(0.0)), 6)
-    m = validate.messages(chat(s, d)).filter("role = 'assistant'")
-    return m.agg(F.count("*").alias("n_messages"), ratio(ok, F.lit(True)).alias("format_share"), ratio(ok & answered, answered).alias("answer_format_share"), F.count_if(answered).alias("n_answers"))
-
-
 # Curriculum and generation -----------------------------------------------------------------------
 
 BUCKETS = "b AS (SELECT task_id, CAST(len(actions) AS INTEGER) AS bucket FROM tasks WHERE actions IS NOT NULL)"
@@ -695,13 +671,6 @@ def g16(s: SparkSession, d: str) -> DataFrame:
 MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>,tool_call_id:string,name:string>"
 
 
-@query("P2_parse_messages", "SELECT idx, len(messages) AS n, len(list_filter(messages, lambda m: m.content IS NOT NULL)) AS n_with_content FROM conversations_chat WHERE messages IS NOT NULL")
-def p2m(s: SparkSession, d: str) -> DataFrame:
-    """Messages stored as JSON text come back as they were (P2, P11, P16: null fields are left out of the text)."""
-    q = chat(s, d).filter("messages is not null").select("idx", F.from_json(F.to_json("messages"), f"array<{MESSAGE}>").alias("m"))
-    return q.select("idx", F.size("m").cast("bigint").alias("n"), F.size(F.filter("m", lambda m: m["content"].isNotNull())).cast("bigint").alias("n_with_content"))
-
-
 @query("P7_initial_messages", "SELECT question_id, 2 AS n, 'system' AS first_role, question AS query FROM questions")
 def p7i(s: SparkSession, d: str) -> DataFrame:
     m = prepare.initial_messages(F.col("question"), "Answer by tools.")
@@ -718,11 +687,6 @@ def f8(s: SparkSession, d: str) -> DataFrame:
     return chat(s, d).select("idx", F.size(F.filter("messages", lambda m: m["role"] == "tool")).cast("bigint").alias("n_tool")).filter("n_tool > 0")
 
 
-@query("F10_without_hints", f"WITH {MESSAGES}, h AS (SELECT idx, m FROM ms WHERE NOT coalesce(m.role = 'user' AND regexp_matches(m.content, '^{_SPACE}*\\[diag\\] '), false)) SELECT idx, count(*) AS n FROM h GROUP BY idx")
-def f10(s: SparkSession, d: str) -> DataFrame:
-    return chat(s, d).select("idx", F.size(validate.without_hints(F.col("messages"))).cast("bigint").alias("n")).filter("n > 0")
-
-
 @query("F4_drop_by_issues", f"{CALLS}, bad AS (SELECT idx FROM calls WHERE tool IS NOT NULL GROUP BY idx, tool HAVING count(*) > 1) SELECT idx FROM conversations_chat WHERE idx NOT IN (SELECT idx FROM bad)")
 def f4(s: SparkSession, d: str) -> DataFrame:
     return chat(s, d).join(validate.repeated_calls(chat(s, d)).select("idx").distinct(), "idx", "left_anti").select("idx")
@@ -802,13 +766,6 @@ def x29(s: SparkSession, d: str) -> DataFrame:
     return chat(s, d).filter("messages is not null").select("idx", ok.alias("ok"))
 
 
-@query("X31_partial_format", f"{ASSISTANT} SELECT idx, pos, CAST(contains(content, '</think>') AS INTEGER) + CAST(contains(content, '<answer>') AS INTEGER) + CAST(contains(content, '</answer>') AS INTEGER) AS marks FROM a")
-def x31(s: SparkSession, d: str) -> DataFrame:
-    """Marks of a partly right format (X31, X32 average them per conversation)."""
-    has = lambda t: (F.instr("content", t) > 0).cast("int")
-    return contents(s, d).select("idx", "pos", (has("</think>") + has("<answer>") + has("</answer>")).alias("marks"))
-
-
 @query("V5_contract", "SELECT count(*) AS n, count_if(coalesce(trim(query, ' '), '') = '') AS n_blank, count_if(NOT coalesce(json_valid(ground_truth), false)) AS n_unreadable FROM base_dataset")
 def v5(s: SparkSession, d: str) -> DataFrame:
     """Every row is checked, not only the first; missing columns are reported by prepare.missing_columns."""
@@ -894,9 +851,16 @@ def t1(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    """The registry with the queries of the other modules of this package."""
+    from sparkloom.plans import dialogue_queries, training_queries  # noqa: F401
+
+    return REGISTRY
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in REGISTRY.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
