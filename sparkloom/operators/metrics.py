@@ -89,35 +89,26 @@ def metric_summary(runs: DataFrame) -> DataFrame:
 def exclusive_p95(df: DataFrame, column: str) -> DataFrame:
     """The exclusive 95th percentile of a column, or its maximum below 20 rows.
 
-    The rank it needs is found by a distributed count of value ranges, not by gathering the values:
-    an order statistic of a range-partitioned sort.
+    Equal values are counted first, so a hot value is one row; the counted values are range-partitioned,
+    and a sum per partition tells in which one the wanted ranks lie.
     """
     from sparkloom.session import cut_lineage, partitions_for
 
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    ordered = cut_lineage(values.repartitionByRange(partitions_for(df.sparkSession), "v").withColumn("part", F.spark_partition_id()))
-    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    n = sum(sizes.values())
-    at = 0.95 * (n + 1)
-    low = int(at)
-
-    def order_statistic(k: int) -> float:
-        for part in sorted(sizes):
-            if k <= sizes[part]:
-                w = Window.partitionBy("part").orderBy("v")
-                return ordered.filter(F.col("part") == part).withColumn("r", F.row_number().over(w)).filter(F.col("r") == k).first()["v"]
-            k -= sizes[part]
-        raise IndexError(k)
-
-    if n == 0:
-        value = None
-    elif n < 20:
-        value = values.agg(F.max("v").alias("m")).first()["m"]
-    else:
-        a = order_statistic(min(low, n))
-        b = order_statistic(min(low + 1, n))
-        value = a + (at - low) * (b - a)
-    return df.sparkSession.createDataFrame([(n, None if value is None else round(value, 6))], "n bigint, p95 double")
+    spark = df.sparkSession
+    counted = df.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    ordered = cut_lineage(counted.repartitionByRange(partitions_for(spark), "v").withColumn("part", F.spark_partition_id()))
+    upto = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over the few partitions
+    parts = ordered.groupBy("part").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(upto), F.lit(0))).withColumn("all", F.sum("m").over(Window.partitionBy(F.lit(1))))
+    at = 0.95 * (F.col("all") + 1)
+    low = F.when(F.col("all") < 20, F.col("all")).otherwise(F.least(F.floor(at), F.col("all")))
+    high = F.least(low + 1, F.col("all"))
+    hit = parts.filter((F.col("before") < high) & (F.col("before") + F.col("m") >= low)).select("part", "before", low.alias("low"), high.alias("high"), at.alias("at"), F.col("all").alias("total"))
+    within = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ordered.join(F.broadcast(hit), "part").withColumn("last", F.col("before") + F.sum("n").over(within)).withColumn("first", F.col("last") - F.col("n") + 1)
+    of = lambda rank: F.max(F.when((F.col("first") <= F.col(rank)) & (F.col("last") >= F.col(rank)), F.col("v")))
+    two = placed.agg(of("low").alias("a"), of("high").alias("b"), F.max("at").alias("at"), F.max("low").alias("low"), F.max("total").alias("total"))
+    value = F.when(F.col("total") < 20, F.col("a")).otherwise(F.col("a") + (F.col("at") - F.col("low")) * (F.col("b") - F.col("a")))
+    return two.select(F.coalesce("total", F.lit(0)).alias("n"), F.round(value, 6).alias("p95"))
 
 
 def group_diversity(trials: DataFrame) -> DataFrame:
@@ -134,9 +125,25 @@ def top_values(df: DataFrame, column: str, order: str, most: int) -> DataFrame:
 
 
 def format_ratios(messages: DataFrame) -> DataFrame:
-    """Of assistant contents: share of strict formats, of answers and of calls; 0 where there are none."""
+    """Of assistant contents: share of strict formats, of answers and of calls; 0 where there are none."""
     c = F.col("content")
     ok = text.thinks_then_answers(c)
     answered = F.size(text.tag_contents(c, "answer")) > 0
     ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(0.0)), 6)
     return messages.filter("role = 'assistant'").agg(F.count("*").alias("n_messages"), ratio(ok, F.lit(True)).alias("format_share"), ratio(ok & answered, answered).alias("answer_format_share"), F.count_if(answered).alias("n_answers"))
+
+
+def without_mean_suffix(summary: DataFrame, column: str = "metric", count: str = "n") -> DataFrame:
+    """Metric names without their _mean ending, the count left out."""
+    return summary.drop(count).withColumn(column, F.regexp_replace(column, "_mean$", ""))
+
+
+def optimised(runs: DataFrame, jitter: float) -> DataFrame:
+    """V8: whether any component's chosen entropy lies below its upper bound by more than the jitter. ``runs``: run, chosen, upper (arrays)."""
+    below = F.exists(F.zip_with("chosen", "upper", lambda c, u: c < u - jitter), lambda x: F.coalesce(x, F.lit(False)))
+    return runs.withColumn("optimised", F.coalesce(below, F.lit(False)))
+
+
+def best_per_problem(ranked: DataFrame) -> DataFrame:
+    """K8: the best run of each problem by score, ties by run; partial aggregation, no window."""
+    return ranked.groupBy("problem_type").agg(F.min(F.struct("score", "run")).alias("best")).select("problem_type", "best.run", "best.score")

@@ -6,6 +6,8 @@ needs no other row; only reports group over rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,19 @@ def last_answer(m: Column) -> Column:
     return F.coalesce(text.last_content(last, "answer"), last)
 
 
-def final_answer_issue(c: DataFrame, minimal: bool = True) -> DataFrame:
-    """V9: conversations whose answer differs from the tool response before it; without ``minimal`` a determinant answered by 1, 2 or 3 is exempt."""
+def answer_differs(minimal: bool = True) -> Column:
+    """V9: whether the last answer differs from the tool response before it; without ``minimal`` a determinant answered by 1, 2 or 3 is exempt."""
     last, before = F.try_element_at("messages", F.lit(-1)), F.try_element_at("messages", F.lit(-2))
-    d = c.select("idx", text.last_content(last["content"], "answer").alias("answer"), before["role"].alias("role"), before["content"].alias("response"), before["name"].alias("tool"))
-    issue = (F.col("role") == "tool") & F.col("answer").isNotNull() & ~answers.equal(F.col("answer"), F.col("response"))
+    answer = text.last_content(last["content"], "answer")
+    issue = (before["role"] == "tool") & answer.isNotNull() & ~answers.equal(answer, before["content"])
     if not minimal:
-        issue = issue & ~((F.col("tool") == "determinant") & F.col("answer").isin("1", "2", "3"))
-    return d.filter(issue).select("idx")
+        issue = issue & ~F.coalesce((before["name"] == "determinant") & answer.isin("1", "2", "3"), F.lit(False))
+    return F.coalesce(issue, F.lit(False))
+
+
+def final_answer_issue(c: DataFrame, minimal: bool = True) -> DataFrame:
+    """V9: conversations whose answer differs from the tool response before it."""
+    return c.filter(answer_differs(minimal)).select("idx")
 
 
 def calls(c: DataFrame) -> DataFrame:
@@ -55,26 +62,34 @@ def repeated_calls(c: DataFrame) -> DataFrame:
     return c.select("idx", F.explode(F.array_distinct(names)).alias("tool"), names.alias("names")).withColumn("n_calls", F.size(F.filter("names", lambda x: x == F.col("tool")))).filter("n_calls > 1").select("idx", "tool", F.col("n_calls").cast("bigint").alias("n_calls"))
 
 
-def sequence_issues(c: DataFrame) -> DataFrame:
-    """The first error of each step against the message pair where it should be, two by two from the third message on."""
-    steps = c.select("idx", "messages", F.posexplode(truths(F.col("stepwise_ground_truths"))).alias("step", "t"))
-    at = F.get("messages", F.lit(2) + F.col("step") * 2)
-    after = F.get("messages", F.lit(3) + F.col("step") * 2)
+def step_error(tool: Column, value: Column, step: Column) -> Column:
+    """The first error of a step against the message pair where it should be, two by two from the third message on."""
+    at, after = F.get("messages", F.lit(2) + step * 2), F.get("messages", F.lit(3) + step * 2)
     call = F.get(at["tool_calls"], F.lit(0))["function"]
-    error = (
+    return (
         F.when(at.isNull(), "missing tool call")
         .when(F.coalesce(F.size(at["tool_calls"]), F.lit(0)) <= 0, "no tool_calls")
-        .when(~F.coalesce(call["name"] == F.col("t.key"), F.lit(False)), "tool name mismatch")
+        .when(~F.coalesce(call["name"] == tool, F.lit(False)), "tool name mismatch")
         .when(after.isNull() | (F.coalesce(after["role"], F.lit("")) != "tool"), "missing tool response")
-        .when(~answers.equal(after["content"], F.col("t.value")), "value mismatch")
+        .when(~answers.equal(after["content"], value), "value mismatch")
     )
-    return steps.select("idx", "step", error.alias("error")).filter("error is not null")
 
 
-def count_ok(c: DataFrame) -> DataFrame:
+def sequence_issues(c: DataFrame) -> DataFrame:
+    """Idx, step, error of each step that isn't where and what it should be."""
+    steps = c.select("idx", "messages", F.posexplode(truths(F.col("stepwise_ground_truths"))).alias("step", "t"))
+    return steps.select("idx", "step", step_error(F.col("t.key"), F.col("t.value"), F.col("step")).alias("error")).filter("error is not null")
+
+
+def has_due_count() -> Column:
     """Whether a conversation has twice its steps and three messages."""
     n = F.size(truths(F.col("stepwise_ground_truths")))
-    return c.select("idx", F.coalesce((F.size("messages") == 2 * n + 3) & (n >= 0), F.lit(False)).alias("count_ok"))
+    return F.coalesce((F.size("messages") == 2 * n + 3) & (n >= 0), F.lit(False))
+
+
+def count_ok(c: DataFrame) -> DataFrame:
+    """V12, per conversation."""
+    return c.select("idx", has_due_count().alias("count_ok"))
 
 
 def repeated_thoughts(c: DataFrame) -> DataFrame:
@@ -92,10 +107,19 @@ def without_repeated_thoughts(c: DataFrame, placeholder: str = "<think>(as befor
     return m.withColumn("repeats", rank > 1).select("idx", "pos", "repeats", F.when(F.col("repeats"), text.hidden_thoughts(F.col("content"), placeholder)).otherwise(F.col("content")).alias("content"))
 
 
-def long_messages(c: DataFrame, most: int) -> DataFrame:
-    """Messages of more than ``most`` words, system messages aside."""
-    n = F.size(F.filter(F.split(F.coalesce("content", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
-    return messages(c).filter("not (role <=> 'system')").select("idx", "pos", n.cast("bigint").alias("n_words")).filter(F.col("n_words") > most)
+def words(content: Column) -> Column:
+    """How many words a text has; the counter that is used unless another is given, as that of a tokenizer."""
+    return F.size(F.filter(F.split(F.coalesce(content, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+
+
+def long_messages(c: DataFrame, most: int, counter: Callable[[Column], Column] = words) -> DataFrame:
+    """Messages of more than ``most`` tokens by the counter, system messages aside."""
+    return messages(c).filter("not (role <=> 'system')").select("idx", "pos", counter(F.col("content")).cast("bigint").alias("n_words")).filter(F.col("n_words") > most)
+
+
+def longest_message(counter: Callable[[Column], Column] = words) -> Column:
+    """A10: tokens of the longest assistant message, 0 without any."""
+    return F.coalesce(F.array_max(F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: counter(m["content"]))), F.lit(0))
 
 
 def alternation(c: DataFrame) -> DataFrame:
@@ -121,35 +145,39 @@ def answer_policy(c: DataFrame) -> DataFrame:
     return answered.select("idx", "x.m.pos", F.coalesce(F.col("x.before") == "tool", F.lit(False)).alias("allowed"))
 
 
-def without_hints(m: Column, keep: int | None = None) -> Column:
-    """messages without hint messages, all but the last ``keep`` of them where it is given."""
-    hint = lambda x: F.coalesce((x["role"] == "user") & x["content"].rlike(r"(?U)^\s*\[diag\] "), F.lit(False))
-    if keep is None:
-        return F.filter(m, lambda x: ~hint(x))
-    marked = F.transform(m, lambda x, i: F.struct(x.alias("m"), hint(x).alias("h"), i.alias("i")))
-    places = F.transform(F.filter(marked, lambda x: x["h"]), lambda x: x["i"])
-    first = F.get(places, F.greatest(F.size(places) - keep, F.lit(0))) if keep else F.lit(None).cast("int")
-    return F.transform(F.filter(marked, lambda x: ~x["h"] | F.coalesce(x["i"] >= first, F.lit(False))), lambda x: x["m"])
+#: Checks of a conversation, in order (V9-V14). Sequences count for minimal datasets only, lengths where a limit is given.
+CHECKS = ("answer", "repeated_call", "sequence", "count", "tokens", "thought")
 
 
-def issues(c: DataFrame) -> DataFrame:
-    """Every failed check of every conversation as rows: check_name, idx."""
-    one = lambda df, name: df.select(F.lit(name).alias("check_name"), "idx").distinct()
-    return (
-        one(final_answer_issue(c), "answer").unionByName(one(repeated_calls(c), "repeated_call")).unionByName(one(sequence_issues(c), "sequence"))
-        .unionByName(one(count_ok(c).filter("not count_ok"), "count")).unionByName(one(repeated_thoughts(c), "thought")).unionByName(one(alternation(c).filter("not alternates"), "alternation"))
+def failed_checks(minimal: bool = True, most_tokens: int | None = None, counter: Callable[[Column], Column] = words) -> Column:
+    """Names of the failed checks of a conversation, all judged within its row."""
+    names = F.filter(tool_sequence(F.col("messages")), lambda x: x.isNotNull())
+    thoughts = F.filter(F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.get(text.tag_contents(m["content"], "think"), F.lit(0))), lambda x: x.isNotNull())
+    repeats = lambda a: F.coalesce(F.size(a) > F.size(F.array_distinct(a)), F.lit(False))
+    wrong_step = F.exists(F.transform(truths(F.col("stepwise_ground_truths")), lambda t, i: step_error(t["key"], t["value"], i)), lambda e: e.isNotNull())
+    tests = (
+        answer_differs(minimal), repeats(names), F.coalesce(wrong_step, F.lit(False)) if minimal else F.lit(False), ~has_due_count(),
+        F.lit(False) if most_tokens is None else F.coalesce(longest_message(counter) > most_tokens, F.lit(False)), repeats(thoughts),
     )
+    return F.filter(F.array(*[F.when(t, F.lit(n)) for t, n in zip(tests, CHECKS)]), lambda x: x.isNotNull())
+
+
+def issues(c: DataFrame, minimal: bool = True, most_tokens: int | None = None, counter: Callable[[Column], Column] = words) -> DataFrame:
+    """Every failed check of every conversation as rows: check_name, idx. One pass, no shuffle."""
+    return c.select("idx", F.explode(failed_checks(minimal, most_tokens, counter)).alias("check_name")).select("check_name", "idx")
 
 
-def issue_report(c: DataFrame) -> DataFrame:
-    """Conversations per failed check, and their percentage of all conversations."""
-    total = c.count()
-    return issues(c).groupBy("check_name").agg(F.count("*").alias("n_failed")).select("check_name", "n_failed", F.round(F.col("n_failed") * 100 / F.lit(total), 6).alias("percent"))
+def issue_report(c: DataFrame, minimal: bool = True, most_tokens: int | None = None) -> DataFrame:
+    """Conversations per failed check and with any, and their percentage of all: one aggregation."""
+    f = c.select(failed_checks(minimal, most_tokens).alias("f"))
+    counts = f.agg(F.count("*").alias("total"), F.count_if(F.size("f") > 0).alias("any"), *[F.count_if(F.array_contains("f", n)).alias(n) for n in CHECKS])
+    rows = counts.select("total", F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n_failed")) for n in (*CHECKS, "any")])).alias("r"))
+    return rows.select("r.check_name", "r.n_failed", F.round(F.coalesce(F.try_divide(F.col("r.n_failed") * 100, F.col("total")), F.lit(0.0)), 6).alias("percent"))
 
 
-def clean(c: DataFrame) -> DataFrame:
-    """Conversations without any issue."""
-    return c.join(issues(c).select("idx").distinct(), "idx", "left_anti")
+def clean(c: DataFrame, minimal: bool = True, most_tokens: int | None = None) -> DataFrame:
+    """Conversations without any failed check."""
+    return c.filter(F.size(failed_checks(minimal, most_tokens)) == 0)
 
 
 def edited(c: DataFrame, config: DataFrame) -> DataFrame:

@@ -23,16 +23,20 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def replace_dataset(df: DataFrame, path: str) -> None:
-    """K2: the new version is complete beside the old one before it takes its place."""
+    """K2: the new version is complete beside the old one before it takes its place, and the old one is kept until it has."""
     spark = df.sparkSession
     fresh = f"{path}.__new"
     df.write.mode("overwrite").parquet(fresh)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target, source = hadoop.Path(path), hadoop.Path(fresh)
+    target, source, old = hadoop.Path(path), hadoop.Path(fresh), hadoop.Path(f"{path}.__old")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        fs.rename(old, target)
         raise OSError(f"could not move {fresh} to {path}")
+    fs.delete(old, True)
 
 
 def write_by_outcome(df: DataFrame, path: str, flag: str = "is_correct") -> None:
@@ -71,3 +75,28 @@ def best_checkpoints(folder: str) -> list[tuple[str, int]]:
         steps = [int(s) for s in os.listdir(os.path.join(folder, split)) if s.isdigit()] if os.path.isdir(os.path.join(folder, split)) else []
         out += [(split, s) for s in sorted(steps)]
     return out
+
+
+def append_results(df: DataFrame, path: str) -> None:
+    """K7: results of a run added to those of earlier ones; files are only ever added, so no lock is needed."""
+    df.write.mode("append").json(path)
+
+
+def write_ranking(ranked: DataFrame, path: str, most: int = 10) -> None:
+    """K8: the best runs as JSON."""
+    ranked.orderBy("score", "run").limit(most).write.mode("overwrite").json(path)
+
+
+def text_report(df: DataFrame, title: str) -> DataFrame:
+    """K9: a report's rows as lines of text under a title, in the order of the first column."""
+    shown = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns]
+    lines = df.select(F.lit(1).alias("__part"), F.col(df.columns[0]).cast("string").alias("__key"), F.concat_ws(", ", *shown).alias("value"))
+    head = df.sparkSession.createDataFrame([(0, "", title)], "__part int, __key string, value string")
+    return head.unionByName(lines).orderBy("__part", "__key", "value").select("value")
+
+
+def write_report(df: DataFrame, title: str, path: str) -> list[str]:
+    """K9: the report as a text file, and its lines for the console. Reports are small."""
+    report = text_report(df, title)
+    report.coalesce(1).write.mode("overwrite").text(path)
+    return [r["value"] for r in report.collect()]

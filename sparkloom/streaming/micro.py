@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,12 +18,24 @@ def write_available(df: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def running_counts(df: DataFrame, key: str, checkpoint: str, until: int | None = None, counted: str | None = None) -> dict[str, int]:
-    """T5: rows per key over all batches so far, as checkpointed state; stops early once ``counted`` reaches ``until``."""
-    name = f"counts_{uuid.uuid4().hex}"
-    q = df.groupBy(key).agg(F.count("*").alias("n")).writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+def running_counts(df: DataFrame, key: str, path: str, checkpoint: str, until: int | None = None, counted: str | None = None) -> DataFrame:
+    """T5: rows per key over all batches so far, as checkpointed state; stops early once ``counted`` reaches ``until``.
+
+    Each batch's counts are a table of their own under ``path``; only the one row of ``counted`` is read
+    back for the stop, and the result is the table of the last batch.
+    """
+    spark = df.sparkSession
+    held: dict[str, str] = {}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        out = f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(out)
+        held["last"] = out
+
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    q = counts.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     while not q.awaitTermination(1):
-        if until is not None and any(r["n"] >= until for r in df.sparkSession.table(name).filter(F.col(key).cast("string") == counted).collect()):
+        if until is not None and "last" in held and not spark.read.parquet(held["last"]).filter((F.col(key).cast("string") == counted) & (F.col("n") >= until)).isEmpty():
             q.stop()
             break
-    return {str(r[key]): r["n"] for r in df.sparkSession.table(name).collect()}
+    return spark.read.parquet(held["last"]) if held else spark.createDataFrame([], counts.schema)
