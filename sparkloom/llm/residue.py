@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ MAX_HAMMING = 170
 CROWD = 200
 #: Table rows of a ring, of 24 bytes each, that are sent to the others' tasks; more are shuffled.
 BROADCAST_ROWS = 500_000
+#: Sentences of up to this many characters are kept in case they come again; it changes no result.
+CACHED = 300
 #: The mark of a slot in a masked passage.
 SLOT_MARK = "§"
 
@@ -191,10 +194,10 @@ EXAMPLES = (
 FILLING = {"{things}": THINGS, "{scripts}": SCRIPTED, "{states}": STATES, "{parts}": PARTS}
 SLOT_RE = re.compile(SLOT)
 RULES = [(tuple(needs.split("|")), re.compile(rule, re.S if rule.startswith("<") else 0)) for needs, rule in (*FILLER, *ERRORS, *NOTICES)]
-BRACKETS = re.compile(r"[{}<>\[\]~@%_]")
+BRACKETS = re.compile(r"(?:[{<%#$@\[~]|(?<!\w)__)[{%=(@<\[]*\s*[a-z]", re.I)  # what every slot begins with
 QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'))
 CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
-BLANKS = re.compile(r"[^\S\n]+")
+BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")  # all but single blanks
 SENTENCES = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+|\n+|<(?:user|model|tool|system|assistant)>", re.I)
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 HEX = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b")
@@ -264,7 +267,7 @@ def covered(text: str) -> bool:
     spans = sorted(m.span() for needs, rule in RULES if any(n in text for n in needs) for m in rule.finditer(text))
     at = 0
     for end, following in [*(m.span() for m in SENTENCES.finditer(text)), (len(text), len(text))]:
-        if masked(text[at:end]) and SLOT_MARK not in text[at:end]:
+        if MEANT.search(text[at:end]) and SLOT_MARK not in text[at:end]:
             held, upto = 0, at
             for a, b in spans:
                 a, b = max(a, upto), min(b, end)
@@ -293,28 +296,43 @@ def with_slots_masked(text: str) -> str:
     return BLANKS.sub(" ", "".join((*out, text[upto:])))
 
 
+def numbers_masked(text: str) -> str:
+    """One spelling for all numbers and ids of a text."""
+    return NUMBER.sub("0", HEX.sub("0", text)) if DIGIT.search(text) else text
+
+
 def masked(passage: str) -> str:
-    """What classes are made by: no case, one spelling for all numbers and ids, no marks at the ends; empty without letters or marks."""
-    if DIGIT.search(passage):
-        passage = NUMBER.sub("0", HEX.sub("0", passage))
+    """What classes are made by: numbers masked, no case, no marks at the ends; empty without letters or marks."""
     out = passage.casefold().strip(" .!?,;:\"'…*_`|>-")
     return out if MEANT.search(out) else ""
 
 
+@lru_cache(maxsize=100_000)
+def pieces(sentence: str) -> tuple[str, tuple[str, ...]]:
+    """The masked passage of a sentence whose numbers are masked, and its parts where it may hold several. Sentences repeat."""
+    key = masked(sentence)
+    if not key:
+        return "", ()
+    parts = set()
+    for m in BORDER.finditer(sentence):
+        i = m.start()
+        if i <= PART:
+            parts.add(masked(sentence[:i]))
+        if len(sentence) - i <= PART:
+            parts.add(masked(sentence[i:]))
+    return key, tuple(parts - {"", key})
+
+
 def passages(text: str) -> tuple[list[str], set[str]]:
     """The masked passages of a readable() text with its slots masked, and the parts of those that may hold several."""
     whole, parts = [], set()
-    for sentence in SENTENCES.split(text):
-        if not (key := masked(sentence)):
-            continue
-        whole.append(key)
-        for m in BORDER.finditer(sentence):
-            i = m.start()
-            if i <= PART:
-                parts.add(sentence[:i])
-            if len(sentence) - i <= PART:
-                parts.add(sentence[i:])
-    return whole, {p for p in map(masked, parts) if p}
+    for sentence in SENTENCES.split(numbers_masked(text)):
+        if sentence:
+            key, more = pieces(sentence) if len(sentence) <= CACHED else pieces.__wrapped__(sentence)
+            if key:
+                whole.append(key)
+                parts.update(more)
+    return whole, parts
 
 
 def grams(passage: str, known: dict[str, list[int]]) -> set[int]:
@@ -409,7 +427,7 @@ def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes_of(examined: DataFrame) -> DataFrame:
     """cid, trusted, n_grams, sketch, passage: one row a class, sketched once; the trusted examples are classes, too."""
     spark = examined.sparkSession
-    given = spark.createDataFrame([(class_id(p), True, p) for p in sorted({masked(with_slots_masked(e)) for e in examples()})], "cid bigint, trusted boolean, passage string")
+    given = spark.createDataFrame([(class_id(p), True, p) for p in sorted({masked(numbers_masked(with_slots_masked(e))) for e in examples()})], "cid bigint, trusted boolean, passage string")
     distinct = examined.select("cid", "trusted", "passage").unionByName(given).groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.max("passage").alias("passage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
