@@ -455,11 +455,19 @@ def table_rows(classes: DataFrame, side: str, beside: bool) -> DataFrame:
     return longs.select(f"cid_{side}", F.explode(F.array(*[entry(j) + F.col("size") + d for j in range(4) for d in ((-1, 0, 1) if beside else (0,))])).alias("key"))
 
 
-def alike(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """cid of the classes cid_b of ``met`` (cid_a, cid_b) that are near cid_a: by the Hamming distance of the sketches, then by the grams."""
-    named = lambda side: classes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("cid", "sketch", "passage")])
+def few(ids: DataFrame, n: int) -> DataFrame:
+    """Ids to join with: sent to all tasks where they were counted as few, else shuffled."""
+    return F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+
+
+def alike(met: DataFrame, start: DataFrame, others: DataFrame) -> DataFrame:
+    """cid of the classes cid_b of ``met`` (cid_a, cid_b) that are near cid_a: by the Hamming distance of the sketches, then by the grams.
+
+    ``start`` and ``others`` are the classes that may stand on either side.
+    """
+    named = lambda c, side: c.select(*[F.col(x).alias(f"{x}_{side}") for x in ("cid", "sketch", "passage")])
     apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    near = met.join(named("a"), "cid_a").join(named("b"), "cid_b").filter(apart <= MAX_HAMMING)
+    near = met.join(named(start, "a"), "cid_a").join(named(others, "b"), "cid_b").filter(apart <= MAX_HAMMING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -474,30 +482,36 @@ def alike(met: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def spread(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """cid of every class that a trusted label reaches through links of near-duplicates."""
-    reached = classes.filter("trusted").select("cid")
-    ring = reached
-    while True:
-        start = table_rows(classes.join(ring, "cid", "left_semi"), "a", True)
-        counted = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-        most = counted["most"] or 0
-        if not most:
-            return reached
-        small = counted["all"] <= BROADCAST_ROWS
-        ring = None
+    """cid of every class that a trusted label reaches through links of near-duplicates.
+
+    The table of classes is only ever scanned against what was counted as few: the labelled ones, and
+    those that met one in a table.
+    """
+    reached = cut_lineage(classes.filter("trusted").select("cid"))
+    ring, n_ring = reached, reached.count()
+    n_reached = n_ring
+    while n_ring:
+        first = cut_lineage(classes.join(few(ring, n_ring), "cid", "left_semi"))
+        start = table_rows(first, "a", True)
+        most = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
+        small = n_ring * BANDS * 3 <= BROADCAST_ROWS
+        ring, n_ring = None, 0
         done, share = 0.0, 1.0 if most <= crowd else crowd / most
         while done < 1.0:  # shares of the ring by a hash of the class
             place = F.shiftrightunsigned(F.xxhash64(F.lit(7), "cid_a"), 11) / float(1 << 53)
             part = start if share >= 1.0 else start.filter((place >= done) & (place < done + share))
-            others = table_rows(classes.join(reached, "cid", "left_anti"), "b", False)
-            met = (F.broadcast(part) if small else part).join(others, "key").select("cid_a", "cid_b").distinct()
-            new = cut_lineage(alike(met, classes).distinct())
+            others = table_rows(classes.join(few(reached, n_reached), "cid", "left_anti"), "b", False)
+            met = cut_lineage((F.broadcast(part) if small else part).join(others, "key").select("cid_a", "cid_b").distinct())
+            n_met = met.count()
             done, share = done + share, min(2 * share, 1.0)
-            if not new.isEmpty():
-                reached = cut_lineage(reached.unionByName(new))
-                ring = new if ring is None else ring.unionByName(new)
-        if ring is None:
-            return reached
+            if not n_met:
+                continue
+            beside = classes.join(few(met.select(F.col("cid_b").alias("cid")).distinct(), n_met), "cid", "left_semi")
+            new = cut_lineage(alike(met, first, beside).distinct())
+            if n_new := new.count():
+                reached, n_reached = cut_lineage(reached.unionByName(new)), n_reached + n_new
+                ring, n_ring = new if ring is None else ring.unionByName(new), n_ring + n_new
+    return reached
 
 
 def labelled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:

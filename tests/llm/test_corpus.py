@@ -168,7 +168,7 @@ def test_recall_of_the_tables(spark, length):
     met = residue.table_rows(c, "a", True).join(residue.table_rows(c, "b", False), "key").filter("cid_a <> cid_b").select("cid_a", "cid_b").distinct()
     n = len({frozenset((r["cid_a"], r["cid_b"])) for r in met.collect()} & {frozenset(map(residue.class_id, p)) for p in pairs})
     assert n >= 0.9 * len(pairs)
-    near = residue.alike(met, c).distinct().count()
+    near = residue.alike(met, c, c).distinct().count()
     assert near >= 0.9 * 2 * len(pairs)
 
 
