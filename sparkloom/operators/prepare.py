@@ -34,11 +34,16 @@ def example(questions: DataFrame) -> DataFrame:
 
 
 def representative(df: DataFrame, category: str, per_category: int, order: str, with_rest: bool = False) -> DataFrame:
-    """The first rows of each category in order; ``with_rest``: then the others, marked."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(category).orderBy(order)))
-    if with_rest:
-        return ranked.withColumn("is_rest", F.col("__rank") > per_category).drop("__rank")
-    return ranked.filter(F.col("__rank") <= per_category).drop("__rank")  # each task keeps the first of its rows before the shuffle
+    """The first rows of each category in order; ``with_rest``: then the others, marked. ``order`` is unique.
+
+    A window that keeps the first rows lets each task drop the others before the shuffle; with the
+    rest, those few firsts are marked, so that no category is sorted in one task.
+    """
+    rank = F.row_number().over(Window.partitionBy(category).orderBy(order))
+    if not with_rest:
+        return df.withColumn("__rank", rank).filter(F.col("__rank") <= per_category).drop("__rank")
+    first = df.select(F.col(category), F.col(order).alias("__order")).withColumn("__rank", F.row_number().over(Window.partitionBy(category).orderBy("__order"))).filter(F.col("__rank") <= per_category)
+    return df.join(first.select("__order", F.lit(False).alias("is_rest")), F.col(order) == F.col("__order"), "left").withColumn("is_rest", F.coalesce("is_rest", F.lit(True))).drop("__order")
 
 
 def with_rank(df: DataFrame, groups: list[str], key: str, tie: str, bits: int = 14) -> DataFrame:
@@ -138,7 +143,7 @@ def with_constant(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def to_schema(df: DataFrame, schema: str) -> DataFrame:
-    """The columns of a schema by name, cast; missing ones are null, others are dropped."""
+    """The columns of a schema by name, cast; missing ones are null, others are dropped."""
     from pyspark.sql.types import _parse_datatype_string
 
     fields = _parse_datatype_string(schema).fields
@@ -166,3 +171,46 @@ def difficulty_of_type(c: Column) -> Column:
     """Difficulty by the prefix of a problem type's name; null for other names."""
     name = F.upper(c)
     return F.when(name.startswith("ONE_"), "ONE_TOOL_CALL").when(name.startswith("TWO_"), "TWO_TOOL_CALLS").when(name.startswith("THREE_"), "THREE_TOOL_CALLS")
+
+
+def conversation_report(c: DataFrame, index: str, start: int = 0, end: int = -1, ids: list[int] | None = None) -> DataFrame:
+    """The chosen conversations as text."""
+    return index_range(c, index, start, end, ids).select(index, rendered(F.filter("messages", lambda m: m.isNotNull())).alias("report"))
+
+
+def chat_text(messages: Column) -> Column:
+    """Messages in a plain chat template, with the mark of the next turn at the end."""
+    one = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n"))
+    return F.concat(F.array_join(F.transform(F.filter(messages, lambda m: m.isNotNull() & m["role"].isNotNull()), one), ""), F.lit("<|im_start|>assistant\n"))
+
+
+def subset_size(total: int, wanted: int | None) -> int:
+    """All for none or a negative number, else at most what is there."""
+    return total if wanted is None or wanted < 0 else min(total, wanted)
+
+
+def same_variables(a: Column, b: Column) -> Column:
+    """whether two lists name exactly the same variables."""
+    return F.coalesce(F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)), F.lit(False))
+
+
+def zipped(**columns: Column) -> Column:
+    """Lists by position as one list of structs; null where their lengths differ, as nothing may be lost."""
+    names, held = list(columns), list(columns.values())
+    even = F.lit(True)
+    for c in held[1:]:
+        even = even & (F.size(held[0]) == F.size(c))
+    return F.when(even, F.transform(held[0], lambda _, i: F.struct(*[F.get(c, i).alias(n) for n, c in zip(names, held)]))) if held else F.array()
+
+
+def per_conversation(turns: DataFrame, key: str, turn: str, value: str) -> DataFrame:
+    """Per-turn statistics put together per conversation, in order of the turns, which are few."""
+    return turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(turn, value))).alias("__s")).select(key, F.transform("__s", lambda x: x[value]).alias("stats"))
+
+
+def system_prompt(tools: list[dict]) -> str:
+    """The system prompt with the tags and the tools' schemas."""
+    import json
+
+    lines = "\n".join(json.dumps(t) for t in tools)
+    return f"Think first, between <think> and </think>. Then call one tool, between <tool_call> and </tool_call>, or give the result, between <answer> and </answer>.\nTools:\n{lines}"

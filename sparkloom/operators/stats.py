@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Targets are joined by broadcast up to this many rows, else by shuffle.
+TARGET_ROWS = 100_000
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
 
 
@@ -55,7 +57,8 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 def within_targets(questions: DataFrame, targets: DataFrame) -> DataFrame:
     """Per problem type of ``targets`` (problem_type, target_min, target_max): range, and how many values comply."""
-    v = step_values(questions).join(F.broadcast(targets), "problem_type")
+    few = targets.limit(TARGET_ROWS + 1).count() <= TARGET_ROWS
+    v = step_values(questions).join(F.broadcast(targets) if few else targets, "problem_type")
     return v.groupBy("problem_type", "target_min", "target_max").agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count("*").alias("n"), F.count_if(F.col("value").between(F.col("target_min"), F.col("target_max"))).alias("n_within")
     ).withColumn("ok", F.col("n") == F.col("n_within"))

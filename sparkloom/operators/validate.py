@@ -101,10 +101,12 @@ def repeated_thoughts(c: DataFrame) -> DataFrame:
 
 
 def without_repeated_thoughts(c: DataFrame, placeholder: str = "<think>(as before)</think>") -> DataFrame:
-    """Contents whose thought repeats an earlier one of the conversation get a placeholder; the first is kept."""
-    rank = F.row_number().over(Window.partitionBy("idx", "thought").orderBy("pos"))
-    m = messages(c).filter("role = 'assistant'").withColumn("thought", F.get(text.tag_contents(F.col("content"), "think"), F.lit(0))).filter("thought is not null")
-    return m.withColumn("repeats", rank > 1).select("idx", "pos", "repeats", F.when(F.col("repeats"), text.hidden_thoughts(F.col("content"), placeholder)).otherwise(F.col("content")).alias("content"))
+    """Contents whose thought repeats an earlier one of the conversation get a placeholder; the first is kept. Within the row."""
+    thought = lambda m: F.when(m["role"] == "assistant", F.get(text.tag_contents(m["content"], "think"), F.lit(0)))
+    t = c.select("idx", "messages", F.transform("messages", thought).alias("t"))
+    m = t.select("idx", "t", F.posexplode("messages").alias("pos", "m")).withColumn("thought", F.get("t", F.col("pos"))).filter("thought is not null")
+    m = m.withColumn("repeats", F.array_position("t", F.col("thought")) - 1 < F.col("pos"))
+    return m.select("idx", "pos", "repeats", F.when(F.col("repeats"), text.hidden_thoughts(F.col("m.content"), placeholder)).otherwise(F.col("m.content")).alias("content"))
 
 
 def words(content: Column) -> Column:

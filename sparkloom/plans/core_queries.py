@@ -242,7 +242,12 @@ def a7(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations_chat").groupBy("source").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("n_correct"), F.round(F.count_if("is_correct") / F.count("*"), 6).alias("share"))
 
 
-TARGETS = (("one_determinant", -5e8, 5e8), ("one_matrix_trace", -2400.0, 2400.0), ("one_matrix_rank", 1.0, 3.0), ("two_cofactor_rank", -700000.0, 700000.0))
+#: Targets of every problem type; those of the tables' larger entries.
+TARGETS = (
+    ("one_determinant", -5e8, 5e8), ("one_matrix_trace", -2400.0, 2400.0), ("one_matrix_rank", 1.0, 3.0), ("two_cofactor_rank", -700000.0, 700000.0), ("one_frobenius_norm", 0.0, 2000.0), ("one_matrix_transpose", -800.0, 800.0), ("one_matrix_cofactor", -1e6, 1e6),
+    ("two_transpose_determinant", -5e8, 5e8), ("two_cofactor_trace", -1e6, 1e6), ("two_transpose_frobenius", 0.0, 2000.0), ("three_transpose_cofactor_rank", 1.0, 3.0), ("three_cofactor_transpose_trace", -1e6, 1e6), ("three_transpose_cofactor_frobenius", 0.0, 1e6),
+    ("sequential_problem", -1e6, 1e6),
+)
 _TARGET_ROWS = ", ".join(f"('{a}', {b}, {c})" for a, b, c in TARGETS)
 
 
@@ -341,9 +346,11 @@ def p21(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "questions").select("question_id", text.label(F.col("question")).alias("label"))
 
 
-@query("P22_user_query", f"WITH {MESSAGES}, u AS (SELECT idx, arg_max(content, pos) AS query FROM mm WHERE role = 'user' AND trim(content, ' ') <> '' GROUP BY idx) SELECT c.idx, u.query FROM conversations_chat c LEFT JOIN u ON u.idx = c.idx")
+@query("P22_user_query", f"WITH {MESSAGES}, u AS (SELECT idx, arg_max(content, pos) AS query FROM mm WHERE role = 'user' AND trim(content, ' ') <> '' GROUP BY idx) SELECT c.idx, CASE WHEN trim(t.instruction, ' ') <> '' THEN t.instruction ELSE u.query END AS query FROM conversations_chat c LEFT JOIN tasks t ON t.task_id = c.task_id LEFT JOIN u ON u.idx = c.idx")
 def p22(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "conversations_chat").select("idx", prepare.user_query(F.lit(None).cast("string"), F.col("messages")).alias("query"))
+    """The task's instruction as the query, else what the user asked last."""
+    t = table(s, d, "tasks").select("task_id", "instruction")
+    return chat(s, d).select("idx", "task_id", "messages").join(t, "task_id", "left").select("idx", prepare.user_query(F.col("instruction"), F.col("messages")).alias("query"))
 
 
 @query("P25_names", "SELECT s_suppkey, regexp_replace(regexp_replace(regexp_replace('run of ' || s_name || ' / ' || s_nationkey || '--x.', '[^A-Za-z0-9._-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS name FROM supplier")
@@ -351,10 +358,11 @@ def p25(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "supplier").select("s_suppkey", text.repository_name(F.concat(F.lit("run of "), "s_name", F.lit(" / "), "s_nationkey", F.lit("--x."))).alias("name"))
 
 
-@query("P12_map_without_prefix", "SELECT event_id, CAST(len(list_filter(json_keys(props), lambda k: NOT starts_with(k, 'p'))) AS INTEGER) AS n_kept FROM events WHERE json_valid(props)")
+@query("P12_map_without_prefix", "SELECT event_id, array_to_string(list_sort(list_transform(list_filter(json_keys(props), lambda k: NOT starts_with(k, 'p')), lambda k: k || '=' || coalesce(props ->> k, '-'))), ',') AS kept FROM events WHERE json_valid(props)")
 def p12(s: SparkSession, d: str) -> DataFrame:
-    m = F.from_json("props", "map<string,string>")
-    return table(s, d, "events").select("event_id", F.size(prepare.without_prefix(m, "p")).alias("n_kept")).filter("n_kept >= 0")
+    m = prepare.without_prefix(F.from_json("props", "map<string,string>"), "p")
+    pairs = F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))))
+    return table(s, d, "events").select("event_id", F.array_join(pairs, ",").alias("kept")).filter("kept is not null")
 
 
 @query("U2_aligned_union", "SELECT 'question' AS kind, question_id AS id, problem_type, difficulty, CAST(NULL AS VARCHAR) AS composition_type FROM questions UNION ALL SELECT 'base', base_id, problem_type, difficulty, composition_type FROM base_dataset")
@@ -545,9 +553,9 @@ def v14(s: SparkSession, d: str) -> DataFrame:
     return validate.repeated_thoughts(chat(s, d))
 
 
-@query("W7_keep_first_thought", f"WITH {MESSAGES}, {_THOUGHTS} SELECT idx, pos, row_number() OVER (PARTITION BY idx, thought ORDER BY pos) > 1 AS repeats FROM th WHERE thought IS NOT NULL")
+@query("W7_keep_first_thought", f"WITH {MESSAGES}, {_THOUGHTS}, r AS (SELECT idx, pos, row_number() OVER (PARTITION BY idx, thought ORDER BY pos) > 1 AS repeats FROM th WHERE thought IS NOT NULL) SELECT r.idx, r.pos, repeats, CASE WHEN repeats THEN regexp_replace(content, '(?s)<think>.*?</think>', '<think>(as before)</think>', 'g') ELSE content END AS content FROM r JOIN mm ON mm.idx = r.idx AND mm.pos = r.pos")
 def w7(s: SparkSession, d: str) -> DataFrame:
-    return validate.without_repeated_thoughts(chat(s, d)).select("idx", "pos", "repeats")
+    return validate.without_repeated_thoughts(chat(s, d))
 
 
 @query("W4_alternation", "SELECT idx, len(messages) AS n_messages, NOT coalesce(list_bool_or(list_transform(range(2, len(messages) + 1), lambda i: coalesce(messages[i].role, '') = coalesce(messages[i - 1].role, ''))), false) AS alternates FROM conversations_chat WHERE messages IS NOT NULL")
@@ -575,12 +583,15 @@ def v15(s: SparkSession, d: str) -> DataFrame:
     return validate.clean(chat(s, d)).select("idx")
 
 
-@query("V16_edited", "SELECT idx, CAST(len(messages) - CASE WHEN len(messages) = 5 THEN 2 ELSE 0 END AS INTEGER) AS n_messages FROM conversations_chat WHERE messages IS NOT NULL")
+@query("V16_edited", f"""WITH {MESSAGES}, n AS (SELECT idx AS i, len(messages) AS n FROM conversations_chat), e AS (SELECT mm.idx, mm.pos, CASE WHEN n = 5 AND pos = 4 THEN regexp_replace(content, '(?s)<think>.*?</think>', '<think>checked</think>', 'g') ELSE content END AS content FROM mm JOIN n ON n.i = mm.idx WHERE NOT (n = 5 AND pos IN (2, 3)))
+SELECT idx, string_agg(coalesce(content, '~'), '|' ORDER BY pos) AS contents FROM e GROUP BY idx""")
 def v16(s: SparkSession, d: str) -> DataFrame:
-    """An edit for every conversation, which applies to those of five messages."""
+    """An edit for every conversation, which applies to those of five messages (J1): the contents that are left."""
     c = chat(s, d)
     config = c.select("idx", F.array(F.lit(2), F.lit(3)).alias("to_remove"), F.create_map(F.lit(4), F.lit("checked")).alias("to_replace"), F.lit(5).alias("initial_msg_count"), F.lit(3).alias("expected_final_msg_count"))
-    return validate.edited(c, config).filter("messages is not null").select("idx", F.size("messages").alias("n_messages"))
+    left = F.filter("messages", lambda m: m.isNotNull())
+    out = validate.edited(c, config).select("idx", left.alias("m")).filter(F.size("m") > 0)
+    return out.select("idx", F.array_join(F.transform("m", lambda m: F.coalesce(m["content"], F.lit("~"))), "|").alias("contents"))
 
 
 # Metrics -----------------------------------------------------------------------------------------
@@ -694,9 +705,9 @@ def f4(s: SparkSession, d: str) -> DataFrame:
 
 @query("J11_grid", "SELECT a * 10 + b AS place, CAST(a AS DOUBLE) / 10 AS first, CAST(b AS DOUBLE) / 10 AS second FROM range(0, 10) x(a), range(0, 10) y(b)")
 def j11(s: SparkSession, d: str) -> DataFrame:
-    """A grid of two axes, each point from its mixed-radix index, so nothing is joined."""
-    i = F.col("id")
-    return s.range(100).select(i.alias("place"), (F.floor(i / 10) / 10).alias("first"), (i % 10 / 10).alias("second"))
+    """A grid of two axes, each point from the digits of its place, so nothing is joined."""
+    a, b = generate.mixed_radix(F.col("id"), [10, 10])
+    return s.range(100).select(F.col("id").alias("place"), (a / 10).alias("first"), (b / 10).alias("second"))
 
 
 @query("A10_longest_message", f"WITH {MESSAGES}, w AS (SELECT idx, len(list_filter(regexp_split_to_array(content, '{_SPACE}+'), lambda w: w <> '')) AS n FROM mm WHERE role = 'assistant') SELECT c.idx, CAST(coalesce(max(n), 0) AS BIGINT) AS longest FROM conversations_chat c LEFT JOIN w ON w.idx = c.idx GROUP BY c.idx")
@@ -739,9 +750,7 @@ def u6(s: SparkSession, d: str) -> DataFrame:
     return c.join(t, "task_id").select("idx", F.array_join(F.array_sort(F.array_except("expected", "used")), ",").alias("missing"))
 
 
-@query("X12_hints", "SELECT 'a' AS key, '[diag] no tool call or answer' AS hint")
-def x12(s: SparkSession, d: str) -> DataFrame:
-    return s.range(1).select(F.lit("a").alias("key"), text.hint_text(F.lit("no tool call or answer")).alias("hint"))
+
 
 
 @query("X23_stable_seeds")
@@ -755,9 +764,10 @@ def x26(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").filter("p_size > 1").select("p_partkey", F.round(text.coprime_density(F.col("p_size")), 6).alias("density"))
 
 
-@query("X28_difficulty_of_steps", "SELECT step, least(greatest(CAST(step AS DOUBLE) / 19, 0), 1) AS difficulty FROM range(0, 25) t(step)")
+@query("X28_difficulty_of_steps", "SELECT task_id, least(greatest(CAST(task_id AS DOUBLE) / 19, 0), 1) AS difficulty FROM tasks")
 def x28(s: SparkSession, d: str) -> DataFrame:
-    return s.range(25).select(F.col("id").alias("step"), curriculum.difficulty_at(F.col("id"), 20).alias("difficulty"))
+    """Tasks as steps of a run of twenty."""
+    return table(s, d, "tasks").select("task_id", curriculum.difficulty_at(F.col("task_id"), 20).alias("difficulty"))
 
 
 @query("X29_chat_format", "SELECT idx, len(messages) > 0 AND list_bool_and(list_transform(messages, lambda m: m IS NOT NULL AND m.role IS NOT NULL)) AS ok FROM conversations_chat WHERE messages IS NOT NULL")

@@ -9,6 +9,7 @@ from sparkloom.functions import text
 from sparkloom.operators import dialogue, prepare, validate
 from sparkloom.plans.core_queries import _SPACE, _STRICT, ASSISTANT, MESSAGES, _tag, chat, query
 from sparkloom.session import table
+from sparkloom.sources import io
 
 _CONTENTS = "array_to_string(list_transform({}, lambda x: coalesce(x, '~')), '|')"
 
@@ -212,3 +213,47 @@ def x24(s: SparkSession, d: str) -> DataFrame:
     b = b.filter(F.try_parse_json("query").isNull())
     same = dialogue.canonical_hash(F.lit('{"x": 1, "y": {"a": null, "b": 2}}')) == dialogue.canonical_hash(F.lit('{"y": {"b": 2, "a": null}, "x": 1}'))
     return b.select("base_id", dialogue.canonical_hash(F.col("query")).alias("digest"), same.alias("ordered"))
+
+
+@query("M9_reports", f"""WITH {MESSAGES}, l AS (SELECT idx, pos, upper(role) || ': ' || coalesce(content, '') || coalesce(chr(10) || nullif(array_to_string(list_transform(tool_calls, lambda t: 'TOOL CALL: ' || t.function.name || ': ' || t.function.arguments), chr(10)), ''), chr(10)) AS line FROM mm WHERE role IS NOT NULL AND idx >= 10 AND idx < 20)
+SELECT idx, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM l GROUP BY idx""")
+def m9(s: SparkSession, d: str) -> DataFrame:
+    """Reports of the conversations of an index range, which is the feature."""
+    c = chat(s, d).withColumn("messages", dialogue.only_messages(F.col("messages"))).filter(F.size("messages") > 0)
+    return prepare.conversation_report(c, "idx", 10, 20).select("idx", F.md5("report").alias("digest"))
+
+
+@query("P20_chat_text", f"WITH {MESSAGES} SELECT idx, md5(string_agg('<|im_start|>' || role || chr(10) || coalesce(content, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) || '<|im_start|>assistant' || chr(10)) AS digest FROM mm WHERE role IS NOT NULL GROUP BY idx")
+def p20(s: SparkSession, d: str) -> DataFrame:
+    c = chat(s, d).filter(F.size(dialogue.only_messages(F.col("messages"))) > 0)
+    return c.select("idx", F.md5(prepare.chat_text(F.col("messages"))).alias("digest"))
+
+
+@query("F12_same_tools", "WITH e AS (SELECT t.task_id, list_sort(list_distinct(list_filter(list_transform(t.actions, lambda a: a.name), lambda n: n IS NOT NULL))) AS a, list_sort(list_distinct(list_filter(list_transform(q.stepwise, lambda x: x.tool), lambda n: n IS NOT NULL))) AS b FROM tasks t JOIN base_dataset b ON b.base_id = t.base_id JOIN questions q ON q.question_id = b.question_id WHERE t.actions IS NOT NULL AND q.stepwise IS NOT NULL) SELECT task_id, a = b AS same FROM e")
+def f12(s: SparkSession, d: str) -> DataFrame:
+    """Whether a task and its question name exactly the same tools."""
+    names = lambda c, field: F.filter(F.transform(c, lambda x: x[field]), lambda n: n.isNotNull())
+    t = table(s, d, "tasks").filter("actions is not null").select("task_id", "base_id", names("actions", "name").alias("a"))
+    q = table(s, d, "questions").filter("stepwise is not null").select("question_id", names("stepwise", "tool").alias("b"))
+    joined = t.join(table(s, d, "base_dataset").select("base_id", "question_id"), "base_id").join(q, "question_id")
+    return joined.select("task_id", prepare.same_variables(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("J9_zipped", "SELECT task_id, CASE WHEN len(actions) = len(outputs) THEN array_to_string(list_transform(list_zip(actions, outputs), lambda z: coalesce(z[1].name, '-') || '=' || coalesce(z[2], '-')), ';') END AS pairs FROM tasks WHERE len(actions) > 0 AND outputs IS NOT NULL")
+def j9(s: SparkSession, d: str) -> DataFrame:
+    """Actions with outputs by position, null where their numbers differ."""
+    t = table(s, d, "tasks").filter("size(actions) > 0 and outputs is not null")
+    z = F.transform(prepare.zipped(a=F.col("actions"), o=F.col("outputs")), lambda x: F.concat(F.coalesce(x["a"]["name"], F.lit("-")), F.lit("="), F.coalesce(x["o"], F.lit("-"))))
+    return t.select("task_id", F.array_join(z, ";").alias("pairs"))
+
+
+@query("J10_turn_statistics", f"WITH {MESSAGES} SELECT idx, string_agg(CAST(coalesce(length(content), 0) AS VARCHAR), ',' ORDER BY pos) AS stats FROM mm WHERE role = 'assistant' GROUP BY idx")
+def j10(s: SparkSession, d: str) -> DataFrame:
+    m = validate.messages(chat(s, d)).filter("role = 'assistant'").select("idx", "pos", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
+    return prepare.per_conversation(m, "idx", "pos", "n").select("idx", F.array_join(F.transform("stats", lambda x: x.cast("string")), ",").alias("stats"))
+
+
+@query("S10_first_queries", "SELECT base_id, query FROM base_dataset WHERE trim(coalesce(query, ''), ' ') <> '' ORDER BY base_id LIMIT 10")
+def s10(s: SparkSession, d: str) -> DataFrame:
+    """The first ten are the feature."""
+    return io.first_queries(table(s, d, "base_dataset"), "query", "base_id")

@@ -100,3 +100,36 @@ def write_report(df: DataFrame, title: str, path: str) -> list[str]:
     report = text_report(df, title)
     report.coalesce(1).write.mode("overwrite").text(path)
     return [r["value"] for r in report.collect()]
+
+
+def read_arrow(spark: SparkSession, folder: str) -> DataFrame:
+    """A local folder of Arrow files (streams or files) as a table; each file is read by a task of its own, batch by batch."""
+    import pyarrow as pa
+
+    def open_any(path: str):
+        source = pa.memory_map(path)
+        try:
+            return pa.ipc.open_stream(source)
+        except pa.ArrowInvalid:
+            return pa.ipc.open_file(source)
+
+    def batches_of(reader):
+        return (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "num_record_batches") else iter(reader)
+
+    files = sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".arrow"))
+    if not files:
+        raise FileNotFoundError(f"no Arrow files in {folder}")
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def run(paths):
+        for b in paths:
+            for path in b.column(0).to_pylist():
+                yield from batches_of(open_any(path))
+
+    schema = from_arrow_schema(open_any(files[0]).schema)
+    return spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files)).mapInArrow(run, schema)
+
+
+def first_queries(df: DataFrame, column: str, order: str, most: int = 10) -> DataFrame:
+    """The first non-blank queries of a dataset in order."""
+    return df.filter(F.trim(F.coalesce(F.col(column), F.lit(""))) != "").orderBy(order).limit(most).select(order, column)

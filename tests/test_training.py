@@ -133,3 +133,24 @@ def test_sinks(spark, tmp_path):
     made = prepare.to_schema(df, "run string, score int, more string").first()
     assert made["score"] == 2 and made["more"] is None
     assert prepare.call_row(df, ["run"], {"n": F.lit(1)}, {"a": F.col("score"), "b": F.lit(None)}).first()["metadata"] == {"a": "2.0"}
+
+
+def test_arrow_folders(spark, tmp_path):
+    import pyarrow as pa
+
+    t = pa.table({"a": [1, 2, 3], "b": ["x", None, "z"]})
+    with pa.OSFile(str(tmp_path / "one.arrow"), "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
+        w.write_table(t)
+    with pa.OSFile(str(tmp_path / "two.arrow"), "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+        w.write_table(t, max_chunksize=2)
+    assert sorted((r["a"], r["b"] or "") for r in io.read_arrow(spark, str(tmp_path)).collect()) == [(1, "x"), (1, "x"), (2, ""), (2, ""), (3, "z"), (3, "z")]
+    with pytest.raises(FileNotFoundError):
+        io.read_arrow(spark, str(tmp_path / ".."))
+
+
+def test_small_pieces(spark):
+    assert [prepare.subset_size(10, n) for n in (None, -1, 3, 30)] == [10, 10, 3, 10]
+    df = spark.createDataFrame([([1, 2], [3, 4]), ([1], [3, 4]), ([], [])], "a array<int>, b array<int>")
+    z = [r["z"] for r in df.select(prepare.zipped(x=F.col("a"), y=F.col("b")).alias("z")).collect()]
+    assert [tuple(x) for x in z[0]] == [(1, 3), (2, 4)] and z[1] is None and z[2] == []
+    assert "matrix_rank" in prepare.system_prompt([{"function": {"name": "matrix_rank"}}])
