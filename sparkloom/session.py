@@ -62,3 +62,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """The rows over at least as many tasks as run at once, for maps that cost much more than moving their rows; inputs of many files stay as they are."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= width else df.repartition(width)
