@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import cut_lineage
+from sparkloom.session import cut_lineage, spread_out
 
 #: Words that name an operation, by its letter (stems, lower case, no accents).
 OPERATIONS = {
@@ -258,7 +258,7 @@ class Overlap:
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["row_id", "is_eval", "kid", "fid", "n_words", "k"])
 
-        return self.texts.mapInArrow(run, "row_id bigint, is_eval boolean, kid bigint, fid bigint, n_words int, k int")
+        return spread_out(self.texts).mapInArrow(run, "row_id bigint, is_eval boolean, kid bigint, fid bigint, n_words int, k int")
 
     def _strings(self) -> DataFrame:
         """kid, fid, has_eval, has_train, k, words, and the (length, k) of the evaluation strings with the same numbers, of each string whose numbers occur on both sides."""

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.structure import INVISIBLE
-from sparkloom.session import cut_lineage, partitions_for
+from sparkloom.session import cut_lineage, partitions_for, spread_out
 
 #: Similarity of the letter grams of two passages that are near-duplicates, in thousandths.
 PERMILLE = 800
@@ -421,7 +421,8 @@ def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["doc_id", "cid", "trusted", "passage"])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, passage string")
+    texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    return spread_out(texts).mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, passage string")
 
 
 def classes_of(examined: DataFrame) -> DataFrame:

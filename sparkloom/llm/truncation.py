@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import structure as S
-from sparkloom.session import cut_lineage, partitions_for
+from sparkloom.session import cut_lineage, partitions_for, spread_out
 
 #: A text of fewer characters without closing mark counts as informal.
 SHORT = 12
@@ -144,7 +144,7 @@ def _parse(texts: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names=["kind", "key", "pos", "state", "frag", "text_id", "held", "formal", "text"])
 
-    return texts.select("key", "pos", "text", "formal", "truths", "asked", "prompts").mapInArrow(run, ROWS)
+    return spread_out(texts.select("key", "pos", "text", "formal", "truths", "asked", "prompts")).mapInArrow(run, ROWS)
 
 
 def sentence_counts(rows: DataFrame) -> DataFrame:
