@@ -26,12 +26,16 @@ NAME = re.compile(r"(?<![\w'’])[^\W\d_](?![\w'’])")
 INVISIBLE = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
 
 
+#: White space other than single blanks and line ends.
+BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
+
+
 def plain(text: str) -> str:
     """Compatibility form without invisible characters, with plain minus signs and single blanks."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text.replace("…", "\x00")).replace("\x00", "…").replace("−", "-")
         text = INVISIBLE.sub("", text)
-    return re.sub(r"[^\S\n]+", " ", text).strip()
+    return BLANKS.sub(" ", text).strip()
 
 
 def unclosed(text: str) -> list[str]:
