@@ -191,12 +191,13 @@ def escaped(c: Column) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    """NFKC with plain minus signs; ASCII texts need no call to Python, but the UDF is vectorised anyway."""
+    """NFKC with plain minus signs; the UDF gets only texts that aren't ASCII, as others stay as they are."""
 
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).replace("−", "-"))
 
-    return F.pandas_udf(run, T.StringType())(c)
+    plain = c.rlike(r"^[\x00-\x7f]*\z")
+    return F.when(plain, c).otherwise(F.pandas_udf(run, T.StringType())(F.when(~plain, c)))
 
 
 def coprime_density(c: Column, most: int = 50) -> Column:
