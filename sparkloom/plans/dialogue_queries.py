@@ -190,14 +190,14 @@ def r11(s: SparkSession, d: str) -> DataFrame:
     return dialogue.solve_counters(t, 4, 600)
 
 
-@query("R8_final_rewards", "SELECT idx, CASE WHEN idx % 7 = 0 THEN -1.0 WHEN idx % 4 IN (0, 1) THEN CAST(coalesce(is_correct, false) AS INTEGER) WHEN idx % 4 = 2 THEN CAST(coalesce(is_correct, false) AS INTEGER) + 0.25 END AS reward FROM conversations_chat")
+@query("R8_final_rewards", "SELECT idx, CAST(CASE WHEN idx % 7 = 0 THEN -1.0 WHEN idx % 4 IN (0, 1) THEN CAST(coalesce(is_correct, false) AS INTEGER) WHEN idx % 4 = 2 THEN CAST(coalesce(is_correct, false) AS INTEGER) + 0.25 END AS DOUBLE) AS reward FROM conversations_chat")
 def r8(s: SparkSession, d: str) -> DataFrame:
     """Kinds, stops and judge scores by place; the fourth kind is unknown."""
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("real", "general_rm", "real+llm", "other")]), (F.col("idx") % 4 + 1).cast("int"))
     return chat(s, d).select("idx", dialogue.final_reward(kinds, F.coalesce("is_correct", F.lit(False)).cast("double"), F.col("idx") % 7 == 0, F.lit(0.25)).alias("reward"))
 
 
-@query("R7_environment_rewards", f"WITH {MESSAGES}, r AS (SELECT idx, list(lower(replace(content, ',', ''))) AS said FROM mm WHERE role = 'assistant' GROUP BY idx) SELECT c.idx, CASE WHEN list_bool_and(list_transform(t.outputs, lambda o: list_bool_or(list_transform(r.said, lambda x: contains(x, lower(replace(o, ',', ''))))))) THEN 1.0 ELSE 0.0 END AS reward FROM conversations_chat c JOIN tasks t ON t.task_id = c.task_id JOIN r ON r.idx = c.idx WHERE len(t.outputs) > 0 AND len(list_filter(t.outputs, lambda o: o IS NULL)) = 0")  # noqa: E501
+@query("R7_environment_rewards", f"WITH {MESSAGES}, r AS (SELECT idx, list(lower(replace(content, ',', ''))) AS said FROM mm WHERE role = 'assistant' GROUP BY idx) SELECT c.idx, CASE WHEN list_bool_and(list_transform(t.outputs, lambda o: list_bool_or(list_transform(r.said, lambda x: contains(x, lower(replace(o, ',', ''))))))) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM conversations_chat c JOIN tasks t ON t.task_id = c.task_id JOIN r ON r.idx = c.idx WHERE len(t.outputs) > 0 AND len(list_filter(t.outputs, lambda o: o IS NULL)) = 0")  # noqa: E501
 def r7(s: SparkSession, d: str) -> DataFrame:
     """Outputs of the task in the responses; the data of the environment doesn't change here, only the order of its keys."""
     t = table(s, d, "tasks").select("task_id", "outputs").filter("size(outputs) > 0 and forall(outputs, o -> o is not null)")
