@@ -11,7 +11,9 @@ until a ring is empty. A text that holds a labelled passage anywhere is a case.
 
 A passage may run into its neighbours without a mark between them, so parts of a sentence that
 begin or end at an inner capital, another script, a label or a list mark are passages, too, of up to
-``PART`` characters.
+``PART`` characters. A part may get a label, but only a class that stands somewhere as a whole passage
+passes it on: parts of one sentence lie within each other, and a chain of them would lead from the
+residue at one end of a sentence to the content at its other end, and to all texts with that content.
 
 Nothing but the size of a ring reaches the driver. A class needs only one link to be labelled, so
 where more than ``CROWD`` labelled classes share a table entry, they meet the others in shares that
@@ -400,7 +402,7 @@ def similar(a: set[int], b: set[int]) -> bool:
 
 
 def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, cid, trusted of every passage of every text; passage: its string, with the first row of each class in a task's batch."""
+    """doc_id, cid, trusted, whole (not only a part) of every passage of every text; passage: its string, with the first row of each class in a task's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -410,26 +412,30 @@ def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = readable(t.as_py() or "")
                 text = with_slots_masked(text)
                 whole, parts = passages(text)
-                seed = 0 < len(set(whole)) <= SEED_PASSAGES and covered(text.casefold())
-                for p in {*whole, *parts}:
+                whole = set(whole)
+                seed = 0 < len(whole) <= SEED_PASSAGES and covered(text.casefold())
+                for p in whole | parts:
                     cid = class_id(p)
-                    trusted = seed and p in whole
-                    out.append((i, cid, trusted, None if cid in told else p))
+                    out.append((i, cid, seed and p in whole, p in whole, None if cid in told else p))
                     told.add(cid)
                 if len(told) > 1_000_000:
                     told.clear()
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["doc_id", "cid", "trusted", "passage"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["doc_id", "cid", "trusted", "whole", "passage"])
 
     texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    return spread_out(texts).mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, passage string")
+    return spread_out(texts).mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, whole boolean, passage string")
 
 
 def classes_of(examined: DataFrame) -> DataFrame:
-    """cid, trusted, n_grams, sketch, passage: one row a class, sketched once; the trusted examples are classes, too."""
+    """cid, trusted, whole, n_grams, sketch, passage: one row a class, sketched once; the trusted examples are classes, too.
+
+    Without a column ``whole`` all passages are whole.
+    """
     spark = examined.sparkSession
-    given = spark.createDataFrame([(class_id(p), True, p) for p in sorted({masked(numbers_masked(with_slots_masked(e))) for e in examples()})], "cid bigint, trusted boolean, passage string")
-    distinct = examined.select("cid", "trusted", "passage").unionByName(given).groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.max("passage").alias("passage"))
+    examined = examined if "whole" in examined.columns else examined.withColumn("whole", F.lit(True))
+    given = spark.createDataFrame([(class_id(p), True, True, p) for p in sorted({masked(numbers_masked(with_slots_masked(e))) for e in examples()})], "cid bigint, trusted boolean, whole boolean, passage string")
+    distinct = examined.select("cid", "trusted", "whole", "passage").unionByName(given).groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.bool_or("whole").alias("whole"), F.max("passage").alias("passage"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -438,10 +444,10 @@ def classes_of(examined: DataFrame) -> DataFrame:
             texts = b.column("passage").to_pylist()
             flat = np.concatenate([sketcher.sketch(p) for p in texts]) if texts else np.empty(0, np.int64)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(flat), LONGS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("trusted"), pa.array([len(grams(p, known)) for p in texts], pa.int32()), sketch, b.column("passage")], names=["cid", "trusted", "n_grams", "sketch", "passage"])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("trusted"), b.column("whole"), pa.array([len(grams(p, known)) for p in texts], pa.int32()), sketch, b.column("passage")], names=["cid", "trusted", "whole", "n_grams", "sketch", "passage"])
 
     # a fixed number of tasks, as a few bytes of text are much work
-    return distinct.repartition(partitions_for(spark), "cid").mapInArrow(run, "cid bigint, trusted boolean, n_grams int, sketch array<bigint>, passage string")
+    return distinct.repartition(partitions_for(spark), "cid").mapInArrow(run, "cid bigint, trusted boolean, whole boolean, n_grams int, sketch array<bigint>, passage string")
 
 
 def size_class(n: Column) -> Column:
@@ -483,7 +489,7 @@ def alike(met: DataFrame, start: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def spread(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """cid of every class that a trusted label reaches through links of near-duplicates.
+    """cid of every class that a trusted label reaches through links of near-duplicates; all but the last class on the way are whole.
 
     The table of classes is only ever scanned against what was counted as few: the labelled ones, and
     those that met one in a table.
@@ -492,9 +498,11 @@ def spread(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     ring, n_ring = reached, reached.count()
     n_reached = n_ring
     while n_ring:
-        first = cut_lineage(classes.join(few(ring, n_ring), "cid", "left_semi"))
+        first = cut_lineage(classes.filter("whole").join(few(ring, n_ring), "cid", "left_semi"))
         start = table_rows(first, "a", True)
-        most = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
+        most = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"]
+        if not most:  # only parts
+            break
         small = n_ring * BANDS * 3 <= BROADCAST_ROWS
         ring, n_ring = None, 0
         done, share = 0.0, 1.0 if most <= crowd else crowd / most

@@ -117,6 +117,14 @@ def test_passages_within_longer_texts(spark):
     assert got.keys() == {1, 2, 3, 4} and not got[1] and got[2] and got[3]
 
 
+def test_parts_of_one_sentence_lead_to_no_content(spark):
+    """Residue runs on from content without a mark; part by part, the sentence loses the residue, which labels its content and that of other texts."""
+    residue_text = "Your Browser is out of Date and cannot display this Notebook"
+    content = "Tool: [[1, -2], [-3, 4]] Compare the Norm of each Column with the Norm of each Row, then Write the Determinant Beside the Trace"
+    rows = [(1, f"{residue_text}.", None), (2, f"{content} {residue_text}", None), (3, f"{content}.", None), (4, f"Why?\n{content} The Sign stays.", None), (5, f"Note that {residue_text}", None)]
+    assert {r["doc_id"] for r in residue.found(docs(spark, rows)).collect()} == {1, 2, 5}
+
+
 def chain_of_passages(n):
     words = [f"word{chr(97 + i)}{chr(97 + i)}x" for i in range(24)]
     out = [" ".join(words)]
