@@ -122,6 +122,7 @@ LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do
 MASH = frozenset("asdf asdfasdf qwer qwerty asdfg jkl hjkl blah bla foo bar baz qux xxx xxxx xyzzy sdfg fghj zxcv test".split())
 #: Neighbouring words of these lists that are filler.
 RUN = 4
+ONES = b"\1" * RUN
 STATUS = r"(?:not found|forbidden|unauthorized|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|too many requests|request time-?out|moved permanently|method not allowed|gone)"
 ERRORS = (
     ("<title|<h1|<html", rf"<(?:title|h1)>\s*[45]\d\d\b[^<]*</(?:title|h1)>|<html>.*?[45]\d\d {STATUS}.*?</html>"),
@@ -196,18 +197,39 @@ EXAMPLES = (
 FILLING = {"{things}": THINGS, "{scripts}": SCRIPTED, "{states}": STATES, "{parts}": PARTS}
 SLOT_RE = re.compile(SLOT)
 RULES = [(tuple(needs.split("|")), re.compile(rule, re.S if rule.startswith("<") else 0)) for needs, rule in (*FILLER, *ERRORS, *NOTICES)]
-BRACKETS = re.compile(r"(?:[{<%#$@\[~]|(?<!\w)__)[{%=(@<\[]*\s*[a-z]", re.I)  # what every slot begins with
+NEEDS = sorted({n for needs, _ in RULES for n in needs})
+SLOT_BEGINS = re.compile(r"[{<%#$@\[~_]")  # what every slot begins with
 QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'))
 CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
+CONTROL_BYTES = bytes((*range(9), *range(11, 32), 127))
 BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")  # all but single blanks
+#: Where a sentence ends, as in SENTENCES, but with the mark that it ends with: an expression that begins with a set of characters is found much faster.
+SENTENCE_ENDS = re.compile(r"[.!?…。！？\n<](?:(?<=\n)\n*|(?<=<)(?:user|model|tool|system|assistant)>|(?<=[.!?…。！？])[\"')\]]*\s+)", re.I)
 SENTENCES = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+|\n+|<(?:user|model|tool|system|assistant)>", re.I)
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 HEX = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b")
 MEANT = re.compile(r"[^\W\d_]|[§#]")
 WORD = re.compile(r"[^\W_]+")
 DIGIT = re.compile(r"\d")
-#: Places within a sentence where another one may begin without a mark before it: a capital, a label or list mark, another script.
-BORDER = re.compile(r"(?<=\s)(?=[A-ZÀ-ÖØ-Þ][^\W\d_A-ZÀ-ÖØ-Þ])|(?<=\s)(?=\*\*)|(?<=[:)>|*§]\s)|(?<=\s)(?=(?:[^\w\s]+|\d+[.):]+)\s)|(?<=[\x00-\u024f]\s)(?=[^\x00-\u024f])|(?<=[^\x00-\u024f]\s)(?=[\x00-\u024f])")
+#: Blanks within a sentence after which another one may begin without a mark before it: at a capital, a label or list mark, another script.
+BORDER = re.compile(r"\s(?:(?=[A-ZÀ-ÖØ-Þ][^\W\d_A-ZÀ-ÖØ-Þ])|(?=\*\*)|(?<=[:)>|*§]\s)|(?=(?:[^\w\s]+|\d+[.):]+)\s)|(?<=[\x00-ɏ]\s)(?=[^\x00-ɏ])|(?<=[^\x00-ɏ]\s)(?=[\x00-ɏ]))")
+
+
+def byte_table(kinds: dict[str, str], other: str | None = None) -> bytes:
+    """For bytes.translate(): the characters of each string become its mark, all others ``other``, or stay."""
+    table = bytearray(range(256)) if other is None else bytearray(other.encode() * 256)
+    for characters, mark in kinds.items():
+        for c in characters:
+            table[ord(c)] = ord(mark)
+    return bytes(table)
+
+
+# Conditions of UTF-8 bytes that all texts with a slot, a run of filler words, or an id meet; they only save time.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SLOT_BYTES = byte_table({"{<%#$@[~": "{", LETTERS + LETTERS.upper(): "a", "_": "_"}, ".")
+WORD_BYTES = bytes(c if chr(c) in LETTERS + "0123456789" else 32 for c in range(256))
+HEX_BYTES = byte_table({"0123456789abcdef": "h"}, ".")
+KNOWN_BYTES = frozenset(w.encode() for w in LOREM | MASH)
 
 
 def readable(text: str) -> str:
@@ -217,8 +239,11 @@ def readable(text: str) -> str:
         text = INVISIBLE.sub("", text)
         for mark, plain_mark in QUOTES:
             text = text.replace(mark, plain_mark)
-    text = CONTROL.sub("", text.replace("\r\n", "\n"))
-    return BLANKS.sub(" ", text)
+    text = text.replace("\r\n", "\n")
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw.translate(None, CONTROL_BYTES)) < len(raw):
+        text = CONTROL.sub("", text)
+    return BLANKS.sub(" ", text) if "  " in text or "\t" in text or not text.isascii() else text
 
 
 def plain(text: str) -> str:
@@ -228,8 +253,11 @@ def plain(text: str) -> str:
 
 def slots(text: str) -> list[tuple[int, int]]:
     """Spans of slots that stand for content."""
-    out = []
-    for m in SLOT_RE.finditer(text):
+    out, upto = [], 0
+    for begin in SLOT_BEGINS.finditer(text):
+        if begin.start() < upto or not (m := SLOT_RE.match(text, begin.start())):
+            continue
+        upto = m.end()
         before, after = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 30]
         if MENTION.search(before) or MENTIONED.search(after):
             continue
@@ -266,7 +294,8 @@ def examples() -> list[str]:
 
 def covered(text: str) -> bool:
     """Whether the grammar covers each sentence of a text for the most part; ``text`` is plain() and masked, and a slot covers its sentence."""
-    spans = sorted(m.span() for needs, rule in RULES if any(n in text for n in needs) for m in rule.finditer(text))
+    held_needs = {n for n in NEEDS if n in text}
+    spans = sorted(m.span() for needs, rule in RULES if not held_needs.isdisjoint(needs) for m in rule.finditer(text))
     at = 0
     for end, following in [*(m.span() for m in SENTENCES.finditer(text)), (len(text), len(text))]:
         if MEANT.search(text[at:end]) and SLOT_MARK not in text[at:end]:
@@ -284,10 +313,12 @@ def covered(text: str) -> bool:
 def with_slots_masked(text: str) -> str:
     """A readable() text with a mark for each slot that stands for content, and for each run of filler words."""
     low = text.casefold()
-    words = WORD.findall(low)
-    has_slots, fillers = BRACKETS.search(text), [known for known in (LOREM, MASH) if sum(map(known.__contains__, words)) >= RUN]  # met by every text with a run
-    if not has_slots and not fillers:
+    raw = low.encode("utf-8", "surrogatepass")
+    marks = raw.translate(SLOT_BYTES, b" \n(=")  # a mark that begins a slot, further ones, blanks, and a letter
+    has_slots, has_runs = b"{a" in marks or b"__" in marks, ONES in bytes(map(KNOWN_BYTES.__contains__, raw.translate(WORD_BYTES).split()))
+    if not has_slots and not has_runs:
         return text
+    fillers = (LOREM, MASH) if has_runs else ()
     if len(low) != len(text):  # some letters have no single lower one
         text = low
     out, upto = [], 0
@@ -300,7 +331,9 @@ def with_slots_masked(text: str) -> str:
 
 def numbers_masked(text: str) -> str:
     """One spelling for all numbers and ids of a text."""
-    return NUMBER.sub("0", HEX.sub("0", text)) if DIGIT.search(text) else text
+    if b"hhhhhh" in text.encode("utf-8", "surrogatepass").translate(HEX_BYTES):
+        text = HEX.sub("0", text)
+    return NUMBER.sub("0", text) if DIGIT.search(text) else text
 
 
 def masked(passage: str) -> str:
@@ -309,30 +342,44 @@ def masked(passage: str) -> str:
     return out if MEANT.search(out) else ""
 
 
+def class_id(passage: str) -> int:
+    return xxhash.xxh3_64_intdigest(passage) - (1 << 63)
+
+
 @lru_cache(maxsize=100_000)
-def pieces(sentence: str) -> tuple[str, tuple[str, ...]]:
-    """The masked passage of a sentence whose numbers are masked, and its parts where it may hold several. Sentences repeat."""
+def pieces(sentence: str) -> tuple[tuple[int, str], tuple[tuple[int, str], ...]]:
+    """Class and masked passage of a sentence whose numbers are masked, and of its parts where it may hold several. Sentences repeat."""
     key = masked(sentence)
     if not key:
-        return "", ()
+        return (0, ""), ()
     parts = set()
     for m in BORDER.finditer(sentence):
-        i = m.start()
+        i = m.end()
         if i <= PART:
             parts.add(masked(sentence[:i]))
         if len(sentence) - i <= PART:
             parts.add(masked(sentence[i:]))
-    return key, tuple(parts - {"", key})
+    return (class_id(key), key), tuple((class_id(p), p) for p in parts - {"", key})
+
+
+def sentences(text: str) -> Iterator[str]:
+    """What SENTENCES.split() gives."""
+    at = 0
+    for m in SENTENCE_ENDS.finditer(text):
+        i = m.start()
+        yield text[at : i if text[i] in "\n<" else i + 1]
+        at = m.end()
+    yield text[at:]
 
 
-def passages(text: str) -> tuple[list[str], set[str]]:
-    """The masked passages of a readable() text with its slots masked, and the parts of those that may hold several."""
-    whole, parts = [], set()
-    for sentence in SENTENCES.split(numbers_masked(text)):
+def passages(text: str) -> tuple[dict[int, str], dict[int, str]]:
+    """The masked passages, by class, of a readable() text with its slots masked, and the parts of those that may hold several."""
+    whole, parts = {}, {}
+    for sentence in sentences(numbers_masked(text)):
         if sentence:
-            key, more = pieces(sentence) if len(sentence) <= CACHED else pieces.__wrapped__(sentence)
+            (cid, key), more = pieces(sentence) if len(sentence) <= CACHED else pieces.__wrapped__(sentence)
             if key:
-                whole.append(key)
+                whole[cid] = key
                 parts.update(more)
     return whole, parts
 
@@ -382,7 +429,11 @@ class Sketcher:
     def sketch(self, passage: str) -> np.ndarray:
         if len(self.place) > self.most:
             self.place.clear()
-        total, words = np.zeros(LONGS * 64, np.int64), sorted(set(passage.split()))
+        words = sorted(set(passage.split()))
+        if len(passage) < 16_000:  # fewer than 32,000 grams: no sum leaves 16 bits
+            places = [self._word(w) for w in words]
+            return np.packbits(self.votes[places].sum(axis=0, dtype=np.int16) > 0).view(np.int64)
+        total = np.zeros(LONGS * 64, np.int64)
         for at in range(0, len(words), 1024):
             total += self.votes_of(words[at : at + 1024])
         return np.packbits(total > 0).view(np.int64)
@@ -392,10 +443,6 @@ class Sketcher:
         return self.votes[places].sum(axis=0, dtype=np.int64)
 
 
-def class_id(passage: str) -> int:
-    return xxhash.xxh3_64_intdigest(passage) - (1 << 63)
-
-
 def similar(a: set[int], b: set[int]) -> bool:
     both = len(a & b)
     return both * 1000 >= PERMILLE * (len(a) + len(b) - both)
@@ -407,21 +454,23 @@ def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for b in batches:
-            out: list[tuple] = []
+            out: tuple[list, ...] = ([], [], [], [], [])
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = readable(t.as_py() or "")
                 text = with_slots_masked(text)
                 whole, parts = passages(text)
-                whole = set(whole)
                 seed = 0 < len(whole) <= SEED_PASSAGES and covered(text.casefold())
-                for p in whole | parts:
-                    cid = class_id(p)
-                    out.append((i, cid, seed and p in whole, p in whole, None if cid in told else p))
+                for cid, p in (parts | whole).items():
+                    out[0].append(i)
+                    out[1].append(cid)
+                    out[2].append(seed and cid in whole)
+                    out[3].append(cid in whole)
+                    out[4].append(None if cid in told else p)
                     told.add(cid)
                 if len(told) > 1_000_000:
                     told.clear()
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["doc_id", "cid", "trusted", "whole", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "cid", "trusted", "whole", "passage"])
 
     texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     return spread_out(texts).mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, whole boolean, passage string")

@@ -125,6 +125,20 @@ def test_parts_of_one_sentence_lead_to_no_content(spark):
     assert {r["doc_id"] for r in residue.found(docs(spark, rows)).collect()} == {1, 2, 5}
 
 
+def test_texts_without_slots_or_runs_are_not_searched(monkeypatch):
+    """Single words of the filler lists and brackets that begin no slot cost no search."""
+    tried = []
+    monkeypatch.setattr(residue, "runs", lambda *a: tried.append(a) or [])
+    monkeypatch.setattr(residue, "slots", lambda *a: tried.append(a) or [])
+    text = "In one of the rows do a test in the foo column: in the end [[1, 2], [3, 4]] is in a Größe of 3 < 4."
+    assert residue.with_slots_masked(text) == text and not tried
+
+
+@pytest.mark.parametrize("text", ["A. B!\" c\n\n d.) \n e <user> f<TOOL>g… h", "。 x。y ！ z", ".", "", "a.. b <userx> .\n<user>.", "<\n<user>'\n?'] \n"])
+def test_sentences_end_as_their_pattern_says(text):
+    assert [x for x in residue.sentences(text) if x] == [x for x in residue.SENTENCES.split(text) if x]
+
+
 def chain_of_passages(n):
     words = [f"word{chr(97 + i)}{chr(97 + i)}x" for i in range(24)]
     out = [" ".join(words)]
