@@ -14,6 +14,9 @@ begin or end at an inner capital, another script, a label or a list mark are pas
 ``PART`` characters. A part may get a label, but only a class that stands somewhere as a whole passage
 passes it on: parts of one sentence lie within each other, and a chain of them would lead from the
 residue at one end of a sentence to the content at its other end, and to all texts with that content.
+For the same reason a label carries the core of the trusted passage that it comes from: what the grammar
+names with words of its own, without the open ends of its rules, which may have run on into content.
+A class gets the label only if it holds at least ``HELD`` of the core's grams, however many links away.
 
 Nothing but the size of a ring reaches the driver. A class needs only one link to be labelled, so
 where more than ``CROWD`` labelled classes share a table entry, they meet the others in shares that
@@ -44,6 +47,8 @@ from sparkloom.session import cut_lineage, partitions_for, spread_out
 
 #: Similarity of the letter grams of two passages that are near-duplicates, in thousandths.
 PERMILLE = 800
+#: Share of the grams of a label's core that a class must hold, in thousandths.
+HELD = 500
 #: Letters of a gram, most passages of a trusted text, share of a trusted passage that the grammar must cover, most characters of a part.
 GRAM, SEED_PASSAGES, COVERED, PART = 4, 3, 0.8, 200
 #: The sketch has BANDS * 16 bits; each 16 bits are the entry of one table.
@@ -196,7 +201,9 @@ EXAMPLES = (
 )
 FILLING = {"{things}": THINGS, "{scripts}": SCRIPTED, "{states}": STATES, "{parts}": PARTS}
 SLOT_RE = re.compile(SLOT)
-RULES = [(tuple(needs.split("|")), re.compile(rule, re.S if rule.startswith("<") else 0)) for needs, rule in (*FILLER, *ERRORS, *NOTICES)]
+#: What runs on within a sentence or line in a rule; RULES have a group for each, and no other groups.
+OPEN = re.compile(r"\[(?:\^\\n\.|\^\.\\n|\^\\n|\\w )\]\*\??")
+RULES = [(tuple(needs.split("|")), re.compile(OPEN.sub(r"(\g<0>)", rule), re.S if rule.startswith("<") else 0)) for needs, rule in (*FILLER, *ERRORS, *NOTICES)]
 NEEDS = sorted({n for needs, _ in RULES for n in needs})
 SLOT_BEGINS = re.compile(r"[{<%#$@\[~_]")  # what every slot begins with
 QUOTES = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'))
@@ -281,33 +288,57 @@ def runs(text: str, words: frozenset[str], least: int) -> list[tuple[int, int]]:
     return out + [(start, last)] * (n >= least)
 
 
-def examples() -> list[str]:
-    """EXAMPLES with everything filled in."""
-    out = []
+def examples() -> dict[str, str]:
+    """EXAMPLES with everything filled in, each with its core: without what its {things} and {parts} are filled with."""
+    out = {}
     for text in EXAMPLES:
-        filled = [text]
+        filled = [(text, text.replace("{things}", " ").replace("{parts}", " "))]
         for name, values in FILLING.items():
-            filled = [f.replace(name, v) for f in filled for v in (values if name in f else ("",))]
-        out += filled
+            filled = [(f.replace(name, v), core.replace(name, v)) for f, core in filled for v in (values if name in f else ("",))]
+        out |= filled
     return out
 
 
-def covered(text: str) -> bool:
-    """Whether the grammar covers each sentence of a text for the most part; ``text`` is plain() and masked, and a slot covers its sentence."""
+def within(spans: list[tuple[int, int]], begin: int, end: int) -> list[tuple[int, int]]:
+    """What sorted spans cover from begin to end, without overlaps."""
+    out = []
+    for a, b in spans:
+        a, b = max(a, begin), min(b, end)
+        if b > a:
+            out.append((a, b))
+            begin = b
+    return out
+
+
+def fixed(m: re.Match) -> list[tuple[int, int]]:
+    """The spans of a rule's match without its open ends."""
+    out, at = [], m.start()
+    for a, b in sorted(span for span in m.regs[1:] if span[0] >= 0):
+        out.append((at, a))
+        at = b
+    return [*out, (at, m.end())]
+
+
+def covered(text: str) -> dict[int, str] | None:
+    """The core of each sentence's class, if the grammar covers each sentence of a text for the most part and names something in it.
+
+    ``text`` is plain() and masked; a slot covers its sentence, and the whole sentence is its core.
+    """
     held_needs = {n for n in NEEDS if n in text}
-    spans = sorted(m.span() for needs, rule in RULES if not held_needs.isdisjoint(needs) for m in rule.finditer(text))
-    at = 0
+    matches = [m for needs, rule in RULES if not held_needs.isdisjoint(needs) for m in rule.finditer(text)]
+    spans, named = sorted(m.span() for m in matches), sorted(span for m in matches for span in fixed(m))
+    at, out = 0, {}
     for end, following in [*(m.span() for m in SENTENCES.finditer(text)), (len(text), len(text))]:
-        if MEANT.search(text[at:end]) and SLOT_MARK not in text[at:end]:
-            held, upto = 0, at
-            for a, b in spans:
-                a, b = max(a, upto), min(b, end)
-                if b > a:
-                    held, upto = held + b - a, b
-            if held < COVERED * len(text[at:end].strip()):
-                return False
+        sentence = text[at:end]
+        if MEANT.search(sentence):
+            core = sentence
+            if SLOT_MARK not in sentence:
+                core = "".join(text[a:b] for a, b in within(named, at, end))
+                if sum(b - a for a, b in within(spans, at, end)) < COVERED * len(sentence.strip()) or not MEANT.search(core):
+                    return None
+            out[class_id(masked(numbers_masked(sentence)))] = masked(numbers_masked(core))
         at = following
-    return True
+    return out
 
 
 def with_slots_masked(text: str) -> str:
@@ -448,43 +479,51 @@ def similar(a: set[int], b: set[int]) -> bool:
     return both * 1000 >= PERMILLE * (len(a) + len(b) - both)
 
 
+def holds(a: set[int], core: set[int]) -> bool:
+    return len(a & core) * 1000 >= HELD * len(core)
+
+
 def examine(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, cid, trusted, whole (not only a part) of every passage of every text; passage: its string, with the first row of each class in a task's batch."""
+    """doc_id, cid, trusted, whole (not only a part), core (of trusted ones) of every passage of every text; passage: its string, with the first row of each class in a task's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = readable(t.as_py() or "")
                 text = with_slots_masked(text)
                 whole, parts = passages(text)
-                seed = 0 < len(whole) <= SEED_PASSAGES and covered(text.casefold())
+                cores = covered(text.casefold()) if 0 < len(whole) <= SEED_PASSAGES else None
                 for cid, p in (parts | whole).items():
                     out[0].append(i)
                     out[1].append(cid)
-                    out[2].append(seed and cid in whole)
+                    out[2].append(cores is not None and cid in whole)
                     out[3].append(cid in whole)
                     out[4].append(None if cid in told else p)
+                    out[5].append((cores.get(cid) or p) if cores is not None and cid in whole else None)
                     told.add(cid)
                 if len(told) > 1_000_000:
                     told.clear()
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "cid", "trusted", "whole", "passage"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "cid", "trusted", "whole", "passage", "core"])
 
     texts = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    return spread_out(texts).mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, whole boolean, passage string")
+    return spread_out(texts).mapInArrow(run, "doc_id bigint, cid bigint, trusted boolean, whole boolean, passage string, core string")
 
 
 def classes_of(examined: DataFrame) -> DataFrame:
-    """cid, trusted, whole, n_grams, sketch, passage: one row a class, sketched once; the trusted examples are classes, too.
+    """cid, trusted, whole, n_grams, sketch, passage, core: one row a class, sketched once; the trusted examples are classes, too.
 
-    Without a column ``whole`` all passages are whole.
+    Without a column ``whole`` all passages are whole, and without ``core`` the trusted ones are their own cores. Of several cores the shortest counts.
     """
     spark = examined.sparkSession
     examined = examined if "whole" in examined.columns else examined.withColumn("whole", F.lit(True))
-    given = spark.createDataFrame([(class_id(p), True, True, p) for p in sorted({masked(numbers_masked(with_slots_masked(e))) for e in examples()})], "cid bigint, trusted boolean, whole boolean, passage string")
-    distinct = examined.select("cid", "trusted", "whole", "passage").unionByName(given).groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.bool_or("whole").alias("whole"), F.max("passage").alias("passage"))
+    examined = examined if "core" in examined.columns else examined.withColumn("core", F.when(F.col("trusted"), F.col("passage")))
+    normal = lambda t: masked(numbers_masked(with_slots_masked(t)))
+    given = spark.createDataFrame(sorted({(class_id(p), True, True, p, normal(core) or p) for e, core in examples().items() if (p := normal(e))}), "cid bigint, trusted boolean, whole boolean, passage string, core string")
+    shortest = F.min(F.when(F.col("core").isNotNull(), F.struct(F.length("core"), F.col("core"))))["core"]
+    distinct = examined.select("cid", "trusted", "whole", "passage", "core").unionByName(given).groupBy("cid").agg(F.bool_or("trusted").alias("trusted"), F.bool_or("whole").alias("whole"), F.max("passage").alias("passage"), shortest.alias("core"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
@@ -493,10 +532,10 @@ def classes_of(examined: DataFrame) -> DataFrame:
             texts = b.column("passage").to_pylist()
             flat = np.concatenate([sketcher.sketch(p) for p in texts]) if texts else np.empty(0, np.int64)
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(flat), LONGS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("trusted"), b.column("whole"), pa.array([len(grams(p, known)) for p in texts], pa.int32()), sketch, b.column("passage")], names=["cid", "trusted", "whole", "n_grams", "sketch", "passage"])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("trusted"), b.column("whole"), pa.array([len(grams(p, known)) for p in texts], pa.int32()), sketch, b.column("passage"), b.column("core")], names=["cid", "trusted", "whole", "n_grams", "sketch", "passage", "core"])
 
     # a fixed number of tasks, as a few bytes of text are much work
-    return distinct.repartition(partitions_for(spark), "cid").mapInArrow(run, "cid bigint, trusted boolean, whole boolean, n_grams int, sketch array<bigint>, passage string")
+    return distinct.repartition(partitions_for(spark), "cid").mapInArrow(run, "cid bigint, trusted boolean, whole boolean, n_grams int, sketch array<bigint>, passage string, core string")
 
 
 def size_class(n: Column) -> Column:
@@ -517,37 +556,39 @@ def few(ids: DataFrame, n: int) -> DataFrame:
 
 
 def alike(met: DataFrame, start: DataFrame, others: DataFrame) -> DataFrame:
-    """cid of the classes cid_b of ``met`` (cid_a, cid_b) that are near cid_a: by the Hamming distance of the sketches, then by the grams.
+    """cid, core of the classes cid_b of ``met`` (cid_a, cid_b) that are near cid_a and hold its core: by the Hamming distance of the sketches, then by the grams.
 
-    ``start`` and ``others`` are the classes that may stand on either side.
+    ``start`` and ``others`` are the classes that may stand on either side; where ``start`` has no core, all are let through.
     """
-    named = lambda c, side: c.select(*[F.col(x).alias(f"{x}_{side}") for x in ("cid", "sketch", "passage")])
+    named = lambda c, side: c.select(*[F.col(x).alias(f"{x}_{side}") for x in ("cid", "sketch", "passage", "core")])
     apart = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(LONGS)), F.lit(0))
     near = met.join(named(start, "a"), "cid_a").join(named(others, "b"), "cid_b").filter(apart <= MAX_HAMMING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for b in batches:
-            done: set[int] = set()  # one link is enough
-            for cid, x, y in zip(*(b.column(c).to_pylist() for c in ("cid_b", "passage_a", "passage_b"))):
-                if cid not in done and (SLOT_MARK in x) == (SLOT_MARK in y) and similar(grams(x, known), grams(y, known)):
-                    done.add(cid)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(done), pa.int64())], names=["cid"])
+            done: set[tuple[int, str | None]] = set()  # one link with a core is enough
+            for cid, x, y, core in zip(*(b.column(c).to_pylist() for c in ("cid_b", "passage_a", "passage_b", "core_a"))):
+                if (cid, core) not in done and (SLOT_MARK in x) == (SLOT_MARK in y) and similar(grams(x, known), grams(y, known)) and (core is None or holds(grams(y, known), grams(core, known))):
+                    done.add((cid, core))
+            links = list(done)
+            yield pa.RecordBatch.from_arrays([pa.array([cid for cid, _ in links], pa.int64()), pa.array([core for _, core in links], pa.string())], names=["cid", "core"])
 
-    return near.select("cid_b", "passage_a", "passage_b").mapInArrow(run, "cid bigint")
+    return near.select("cid_b", "passage_a", "passage_b", "core_a").mapInArrow(run, "cid bigint, core string")
 
 
 def spread(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """cid of every class that a trusted label reaches through links of near-duplicates; all but the last class on the way are whole.
+    """cid of every class that a trusted label reaches through links of near-duplicates; all but the last class on the way are whole, and all hold the label's core.
 
     The table of classes is only ever scanned against what was counted as few: the labelled ones, and
     those that met one in a table.
     """
-    reached = cut_lineage(classes.filter("trusted").select("cid"))
-    ring, n_ring = reached, reached.count()
+    trusted = classes.filter("trusted").select("cid", "core")
+    reached = cut_lineage(trusted.select("cid"))
+    ring, n_ring = trusted, reached.count()
     n_reached = n_ring
     while n_ring:
-        first = cut_lineage(classes.filter("whole").join(few(ring, n_ring), "cid", "left_semi"))
+        first = cut_lineage(classes.filter("whole").drop("core").join(few(ring, 4 * n_ring), "cid"))  # a core is as long as some ids
         start = table_rows(first, "a", True)
         most = start.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"]
         if not most:  # only parts
@@ -565,9 +606,9 @@ def spread(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
             if not n_met:
                 continue
             beside = classes.join(few(met.select(F.col("cid_b").alias("cid")).distinct(), n_met), "cid", "left_semi")
-            new = cut_lineage(alike(met, first, beside).distinct())
+            new = cut_lineage(alike(met, first, beside).groupBy("cid").agg(F.min("core").alias("core")))
             if n_new := new.count():
-                reached, n_reached = cut_lineage(reached.unionByName(new)), n_reached + n_new
+                reached, n_reached = cut_lineage(reached.unionByName(new.select("cid"))), n_reached + n_new
                 ring, n_ring = new if ring is None else ring.unionByName(new), n_ring + n_new
     return reached
 

@@ -125,6 +125,16 @@ def test_parts_of_one_sentence_lead_to_no_content(spark):
     assert {r["doc_id"] for r in residue.found(docs(spark, rows)).collect()} == {1, 2, 5}
 
 
+def test_open_ends_of_rules_lead_to_no_content(spark):
+    """Trusted texts whose residue is followed by content without a mark or after another one than a full stop: not the content of other texts."""
+    content = ["Reward is shared between the answer tag and the sign pattern at a ratio of 3 to 5", "Suppose [[1, -2, 3], [4, 5, -6]] were well-scaled; then largest entry would have to be 12", "Does every column keep its norm when rows are swapped?"]
+    later = ["Reward is shared between the answer tag and the last sign pattern at a ratio of 9 to 2.", "Suppose [[1, 2, 3], [4, -5, -6]] were well-scaled; then largest entry would have to be 7."]
+    rows = [(1, f"FIXME summary missing {content[0]}.", None), (2, f"Enable JS and reload {content[1]}", None), (3, f"Please wait while the viewer starts! {content[2]}", None), (4, f"fixme proof missing {content[0].lower()}", None)]
+    rows += [(5, "Traceback (most recent call last):\n File \"render.py\", line 3, in render\nKeyError: 'a' " + content[0], None), (6, f"{later[0]} Fixme summary missing", None), (7, "XXX introduction XXX", None)]
+    rows += [(100 + i, t, None) for i, t in enumerate([*content, *later, *(f"Lemma 3. {t}\nThe rank is 2." for t in (*content, *later)), "Introduction\nThe rank is 2."])]
+    assert {r["doc_id"] for r in residue.found(docs(spark, rows)).collect()} == {1, 2, 3, 4, 5, 6, 7}
+
+
 def test_texts_without_slots_or_runs_are_not_searched(monkeypatch):
     """Single words of the filler lists and brackets that begin no slot cost no search."""
     tried = []
